@@ -77,7 +77,7 @@ def enc_select(src: str, rounded: bool = False, keep_parts: bool = True) -> str:
     """The encode step (binary maps, time features, one-hots, day flag) over ``src``."""
     lat, lon = O.geohash_rounded_sql("geohash") if rounded else O.geohash_sql("geohash")[:2]
     parts = "hour, minute, " if keep_parts else ""
-    return (f"SELECT row_id, geohash, NumberofLanes, Temperature, {lat} AS latitude, {lon} AS longitude, "
+    return (f"SELECT row_id, geohash, demand, NumberofLanes, Temperature, {lat} AS latitude, {lon} AS longitude, "
             f"CAST(CASE LargeVehicles WHEN 'Allowed' THEN 1 WHEN 'Not Allowed' THEN 0 END AS INTEGER) AS LargeVehicles, "
             f"CAST(CASE Landmarks WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS INTEGER) AS Landmarks, {parts}"
             f"sin({PI2} * hour / 24.0) AS hour_sin, cos({PI2} * hour / 24.0) AS hour_cos, "
@@ -108,7 +108,8 @@ def target_apply(src: str) -> str:
 
 def feat_cols(alias: str = "") -> str:
     a = f"{alias}." if alias else ""
-    return ", ".join(f"{O.r6(a + c)} AS {c}" if c in P.CONTINUOUS else f"{a}{c}" for c in P.FEATURES)
+    return ", ".join(f"{O.r6(a + c)} AS {c}" if c in P.CONTINUOUS and c != "NumberofLanes" else f"{a}{c}"
+                     for c in P.FEATURES)
 
 
 TRAIN_IMP, TRAIN_LAST = O.plan_ctes("rh", TRAIN_PLAN)
@@ -651,6 +652,7 @@ def q_to_int_float(spark, sf):
     f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) = 0 OR stddev_pop({c}) IS NULL THEN 1.0 ELSE stddev_pop({c}) END AS {c}_s"
     for c in P.CONTINUOUS) + " FROM tf WHERE NOT is_val")],
     "SELECT row_id, " + ", ".join(f"{O.r6(f'({c} - {c}_m) / {c}_s')} AS {c}" for c in P.CONTINUOUS) + " FROM tf CROSS JOIN st"))
+# NumberofLanes is an int column; the scaler turns it into a double on both sides
 def q_scaler_apply(spark, sf):
     df, _ = P.train_features(R(spark, sf))
     params = scaler_params(scaler_fit(df.filter(~F.col("is_val")), P.CONTINUOUS), P.CONTINUOUS)
