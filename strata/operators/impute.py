@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.stats import CONST_KEY, MAX_DISTINCT, group_stat
-from strata.session import cut_lineage
+from strata.session import cut_lineage, materialize
 
 BROADCAST_FILL_ROWS = 2_000_000
 WINDOW_MAX_BINS = MAX_DISTINCT
@@ -98,9 +98,9 @@ def impute_cascade(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str
                     F.col(col).alias("_v"), "_n", F.lit(False).alias("_isnull")))
     nulls = (src.filter(F.col(col).isNull()).groupBy(*null_keys).agg(F.count(F.lit(1)).alias("_n"))
              .select(*null_keys, F.lit(None).cast(dtype).alias("_v"), "_n", F.lit(True).alias("_isnull")))
-    bins = cut_lineage(vals.unionByName(nulls).withColumn("_rule", F.lit(None).cast("string")))
-    counts = {r["_isnull"]: r["count"] for r in bins.groupBy("_isnull").count().collect()}
-    n_total, n_null = sum(counts.values()), counts.get(True, 0)
+    bins, m = materialize(vals.unionByName(nulls).withColumn("_rule", F.lit(None).cast("string")),
+                          F.count_if(F.col("_isnull")).alias("n_null"))
+    n_total, n_null = m["count"], m["n_null"]
 
     if strategy == "auto":
         strategy = "window" if n_total <= window_max_bins else "bins"

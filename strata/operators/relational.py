@@ -49,20 +49,21 @@ def split_label(df: DataFrame, candidates: Sequence[str], keep: Sequence[str] =
 
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str] | str, defaults: Mapping[str, object] | None = None,
-           broadcast_rows: int | None = BROADCAST_LOOKUP_ROWS, check_unique: bool = False) -> DataFrame:
+           broadcast_rows: int | None = BROADCAST_LOOKUP_ROWS, check_unique: bool = False,
+           n_rows: int | None = None) -> DataFrame:
     """Left equi-join onto a unique-key table; missing matches take ``defaults``.
 
     The lookup side is broadcast only when its measured row count is within
     ``broadcast_rows``; otherwise the planner's shuffle join (AQE splits a
     skewed key). ``check_unique`` fails on duplicate keys (they would multiply
-    rows)."""
+    rows). ``n_rows``: the table's already measured row count, if known."""
     on = [on] if isinstance(on, str) else list(on)
     if check_unique:
         dup = table.groupBy(*on).count().filter(F.col("count") > 1).limit(1).count()
         if dup:
             raise ValueError(f"lookup key {on} is not unique")
     right = table
-    if broadcast_rows is not None and table.count() <= broadcast_rows:
+    if broadcast_rows is not None and (n_rows if n_rows is not None else table.count()) <= broadcast_rows:
         right = F.broadcast(table)
     out = df.join(right, on, "left")
     if defaults:

@@ -22,21 +22,27 @@ def split_hash(row_id: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}")))
 
 
-def split_cutoff(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = 42) -> str | None:
-    """The largest hash inside the validation set (``None`` if it is empty)."""
-    h = split_hash(row_id, seed)
-    hashed = df.select(h.alias("_h"))
-    n = hashed.count()
-    need = math.ceil(frac * n)
-    if need == 0:
-        return None
-    prefix = ""
-    for depth in (4, 8):  # two levels of 65,536 buckets: the last one holds ~n / 2**32 rows
+def split_cutoff(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = 42,
+                 direct_rows: int = 1_000_000) -> str | None:
+    """The largest hash inside the validation set (``None`` if it is empty).
+
+    Reads only the row-id column. Each level is one small job over a bounded
+    histogram; a level is skipped once the boundary bucket holds at most
+    ``direct_rows`` rows, which are then ranked directly (a top-k)."""
+    hashed = df.select(split_hash(row_id, seed).alias("_h"))
+    prefix, need, n_bucket = "", None, None
+    for depth in (4, 8):  # 65,536 buckets per level: ~n / 2**32 rows remain after two
+        if n_bucket is not None and n_bucket <= direct_rows:
+            break
         sub = hashed.filter(F.col("_h").startswith(prefix)) if prefix else hashed
-        hist = (sub.groupBy(F.substring("_h", 1, depth).alias("_p")).count().orderBy("_p").collect())
+        hist = sub.groupBy(F.substring("_h", 1, depth).alias("_p")).count().orderBy("_p").collect()
+        if need is None:
+            need = math.ceil(frac * sum(r["count"] for r in hist))
+            if need == 0:
+                return None
         for row in hist:
             if need <= row["count"]:
-                prefix = row["_p"]
+                prefix, n_bucket = row["_p"], row["count"]
                 break
             need -= row["count"]
     last = (hashed.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(need)
@@ -44,9 +50,12 @@ def split_cutoff(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = 42)
     return last[0]["m"]
 
 
+def split_flag(row_id: str, cutoff: str | None, seed: int = 42) -> Column:
+    """The split as a row predicate: no join is needed to apply it."""
+    return F.lit(False) if cutoff is None else (split_hash(row_id, seed) <= F.lit(cutoff))
+
+
 def split_exact(df: DataFrame, row_id: str = "row_id", frac: float = 0.2, seed: int = 42,
                 out: str = "is_val") -> DataFrame:
     """Adds boolean ``out``: True for the validation rows (row ids must be unique)."""
-    cutoff = split_cutoff(df, row_id, frac, seed)
-    flag = F.lit(False) if cutoff is None else (split_hash(row_id, seed) <= F.lit(cutoff))
-    return df.withColumn(out, flag)
+    return df.withColumn(out, split_flag(row_id, split_cutoff(df, row_id, frac, seed), seed))

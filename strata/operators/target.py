@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strata.operators.relational import lookup
 from strata.operators.stats import group_stat, value_bins
+from strata.session import materialize
 
 
 @dataclass
@@ -21,23 +22,29 @@ class TargetEncoding:
     median_col: str
     global_mean: float | None
     global_median: float | None
+    n_keys: int | None = None  # measured rows of ``table``
 
 
 def target_encode_fit(train: DataFrame, key: str, y: str, prefix: str | None = None) -> TargetEncoding:
     """Mean and exact median of ``y`` per ``key`` on the given (training) rows,
-    plus the global mean/median. One set of value bins serves all four."""
+    plus the global mean/median, from one set of value bins (written once).
+    The per-key table is written too: it is small, reused by every apply, and
+    its measured row count decides whether an apply may broadcast it."""
     prefix = prefix or f"{key}_target"
     mean_col, median_col = f"{prefix}_mean", f"{prefix}_median"
-    bins = value_bins(train, [key], y)
+    bins, m = materialize(value_bins(train, [key], y))
+    bound = m["count"]
     per_key = (group_stat(bins, [key], y, "mean", out=mean_col, count_out=None)
-               .join(group_stat(bins, [key], y, "median", out=median_col, count_out=None), key))
+               .join(group_stat(bins, [key], y, "median", out=median_col, count_out=None, bins_bound=bound), key))
+    table, tm = materialize(per_key)
     gbins = bins.groupBy(y).agg(F.sum("_n").alias("_n"))
-    g_mean = group_stat(gbins, [], y, "mean", out="m", count_out=None).collect()[0]["m"]
-    g_median = group_stat(gbins, [], y, "median", out="m", count_out=None).collect()[0]["m"]
-    return TargetEncoding(per_key, key, mean_col, median_col, g_mean, g_median)
+    g = (group_stat(gbins, [], y, "mean", out="m", count_out=None).withColumn("_k", F.lit(0))
+         .join(group_stat(gbins, [], y, "median", out="md", count_out=None, bins_bound=bound)
+               .withColumn("_k", F.lit(0)), "_k").collect()[0])
+    return TargetEncoding(table, key, mean_col, median_col, g["m"], g["md"], tm["count"])
 
 
 def target_encode_apply(df: DataFrame, enc: TargetEncoding) -> DataFrame:
     """Left join the per-key statistics; unseen keys take the global values."""
     return lookup(df, enc.table, enc.key, defaults={enc.mean_col: enc.global_mean,
-                                                    enc.median_col: enc.global_median})
+                                                    enc.median_col: enc.global_median}, n_rows=enc.n_keys)

@@ -17,7 +17,7 @@ from strata.operators.impute import impute_all, prov_cols
 from strata.operators.model import mlp_score
 from strata.operators.relational import align
 from strata.operators.scale import scaler_apply, scaler_fit, scaler_params
-from strata.operators.split import split_exact
+from strata.operators.split import split_cutoff, split_flag
 from strata.operators.target import TargetEncoding, target_encode_apply, target_encode_fit
 from strata.plans import ladders
 from strata.functions.columns import clip_lower
@@ -76,19 +76,26 @@ def fit_target(train_rows: DataFrame) -> TargetEncoding:
 
 def train_features(readings: DataFrame, strategy: str = "auto") -> tuple[DataFrame, TargetEncoding]:
     """Training path: impute -> exact decode -> encode -> exact 80/20 split ->
-    target encoding fitted on training rows -> (row_id, 21 features, demand, is_val)."""
+    target encoding fitted on training rows -> (row_id, 21 features, demand, is_val).
+
+    The split and the target statistics depend only on columns that are never
+    imputed (row_id, geohash, demand), so both are fitted on a narrow scan of
+    the raw table; the split is then a row predicate and the encoding a lookup
+    on the imputed frame, whose plan runs once."""
+    cutoff = split_cutoff(readings, "row_id", VAL_FRACTION, SPLIT_SEED)
+    enc = train_encoding_from_raw(readings, cutoff)
     df = encode(decode(_drop_provenance(clean(readings, strategy=strategy))))
-    df = split_exact(df, "row_id", VAL_FRACTION, SPLIT_SEED)
-    enc = fit_target(df.filter(~F.col("is_val")))
-    df = target_encode_apply(df, enc)
+    df = target_encode_apply(df.withColumn("is_val", split_flag("row_id", cutoff, SPLIT_SEED)), enc)
     return df.select("row_id", *FEATURES, "demand", "is_val"), enc
 
 
-def train_encoding_from_raw(train_raw: DataFrame) -> TargetEncoding:
+def train_encoding_from_raw(train_raw: DataFrame, cutoff: str | None | bool = False) -> TargetEncoding:
     """Target statistics straight from the raw training table, split with the
     same seed on the same row ids (so the same rows as the training path)."""
-    raw = split_exact(train_raw.select("row_id", "geohash", "demand"), "row_id", VAL_FRACTION, SPLIT_SEED)
-    return fit_target(raw.filter(~F.col("is_val")))
+    if cutoff is False:
+        cutoff = split_cutoff(train_raw, "row_id", VAL_FRACTION, SPLIT_SEED)
+    train = train_raw.select("row_id", "geohash", "demand").filter(~split_flag("row_id", cutoff, SPLIT_SEED))
+    return fit_target(train)
 
 
 def serve_features(test: DataFrame, train_raw: DataFrame, strategy: str = "auto") -> DataFrame:

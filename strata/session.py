@@ -10,7 +10,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
@@ -59,14 +60,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a parquet table in the shared checkpoint folder and
-    return a frame that reads it back, so its plan starts there.
+def materialize(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` as a parquet table in the shared checkpoint folder and return
+    (a frame reading it back, observed metrics). ``count`` (rows) is always
+    observed; extra aggregate ``metrics`` (aliased) are computed in the same
+    job via ``Observation`` — no second pass to learn a table's size.
 
-    Used between cascade tiers so the plan does not double per tier. A written
-    table survives executor loss like a reliable checkpoint, but costs one job
-    instead of two (``Dataset.checkpoint`` recomputes its input to write it)."""
+    A written table cuts the lineage and survives executor loss like a
+    reliable checkpoint, at one job instead of two (``Dataset.checkpoint``
+    recomputes its input to write it)."""
     spark = df.sparkSession
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/strata-tables/{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    obs = Observation(f"m_{uuid.uuid4().hex[:12]}")
+    df.observe(obs, F.count(F.lit(1)).alias("count"), *metrics).write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), obs.get
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` (see ``materialize``) and return the read-back frame."""
+    return materialize(df)[0]
