@@ -30,6 +30,7 @@ row with a null key is left for a later tier, as pandas does.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -75,11 +76,18 @@ def prov_cols(col: str) -> tuple[str, str]:
     return f"_null_{col}", f"_rule_{col}"
 
 
-def impute_cascade(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str = "auto",
-                   window_max_bins: int = WINDOW_MAX_BINS,
-                   broadcast_rows: int = BROADCAST_FILL_ROWS) -> DataFrame:
-    """Fill ``col`` tier by tier. Adds ``_null_<col>`` (was null) and
-    ``_rule_<col>`` (rule that filled it, null if none).
+@dataclass
+class Fills:
+    """A cascade's result in bin space: one row per null-key combination."""
+    col: str
+    table: DataFrame     # keys..., _fill, _rule
+    keys: list[str]
+    n_rows: int          # measured
+
+
+def cascade_fills(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str = "auto",
+                  window_max_bins: int = WINDOW_MAX_BINS, materialize_fills: bool = True) -> Fills:
+    """Run the tiers of one column in bin space and return its fill table.
 
     strategy: ``window`` (all tiers in one linear plan of windows over the bin
     table), ``bins`` (per-tier aggregate + join, cut after each tier, exact
@@ -110,9 +118,18 @@ def impute_cascade(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str
         fills = _tiers_join(bins, tiers, group_keys, null_keys, dtype, n_total)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    # the fill table (one row per null bin) is what later cascades and the
-    # final join reuse: materialise it once instead of re-running the tiers
-    return apply_fills(df, col, cut_lineage(fills), null_keys, broadcast=n_null <= broadcast_rows)
+    if materialize_fills:
+        fills = cut_lineage(fills)
+    return Fills(col, fills, null_keys, n_null)
+
+
+def impute_cascade(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str = "auto",
+                   window_max_bins: int = WINDOW_MAX_BINS,
+                   broadcast_rows: int = BROADCAST_FILL_ROWS) -> DataFrame:
+    """Fill ``col`` tier by tier. Adds ``_null_<col>`` (was null) and
+    ``_rule_<col>`` (rule that filled it, null if none). See ``cascade_fills``."""
+    f = cascade_fills(df, col, tiers, strategy, window_max_bins, materialize_fills=False)
+    return apply_fills(df, col, f.table, f.keys, broadcast=f.n_rows <= broadcast_rows)
 
 
 def _tier_update(c: DataFrame, cols: Sequence[str], cond: Column, cand: Column, rule: str) -> DataFrame:
@@ -236,11 +253,37 @@ def apply_fills(df: DataFrame, col: str, fills: DataFrame, keys: Sequence[str],
     return filled.unionByName(kept)
 
 
-def impute_all(df: DataFrame, plan: Sequence[tuple[str, Sequence[Tier]]], strategy: str = "auto") -> DataFrame:
-    """Run several cascades in dependency order (a later column may use an
-    earlier column's filled values)."""
-    for col, tiers in plan:
-        df = impute_cascade(df, col, tiers, strategy=strategy)
+def _reads(tiers: Sequence[Tier]) -> set[str]:
+    return {k for t in tiers for k in t.keys} | {t.derive_from for t in tiers if t.derive_from}
+
+
+def impute_all(df: DataFrame, plan: Sequence[tuple[str, Sequence[Tier]]], strategy: str = "auto",
+               broadcast_rows: int = BROADCAST_FILL_ROWS, max_parallel: int = 4) -> DataFrame:
+    """Several cascades with sequential semantics: a later cascade sees the
+    fills of every earlier column it reads (as a key or a derive input).
+
+    A cascade that reads no earlier column does not wait for it: independent
+    cascades compute their fill tables concurrently (one driver thread each
+    submitting Spark jobs), each from only the fills it depends on. All fill
+    tables are then applied to the rows in plan order."""
+    plan = list(plan)
+    futures: dict[str, Future] = {}
+
+    def run(i: int) -> Fills:
+        col, tiers = plan[i]
+        src = df
+        for dep_col, _ in plan[:i]:
+            if dep_col in _reads(tiers):
+                d = futures[dep_col].result()
+                src = apply_fills(src, dep_col, d.table, d.keys, broadcast=d.n_rows <= broadcast_rows)
+        return cascade_fills(src, col, tiers, strategy, materialize_fills=True)
+
+    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+        for i, (col, _) in enumerate(plan):
+            futures[col] = pool.submit(run, i)
+        results = [futures[col].result() for col, _ in plan]
+    for f in results:
+        df = apply_fills(df, f.col, f.table, f.keys, broadcast=f.n_rows <= broadcast_rows)
     return df
 
 

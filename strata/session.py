@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_CONF = {
@@ -61,21 +60,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
-    """Write ``df`` as a parquet table in the shared checkpoint folder and return
-    (a frame reading it back, observed metrics). ``count`` (rows) is always
-    observed; extra aggregate ``metrics`` (aliased) are computed in the same
-    job via ``Observation`` — no second pass to learn a table's size.
-
-    A written table cuts the lineage and survives executor loss like a
-    reliable checkpoint, at one job instead of two (``Dataset.checkpoint``
-    recomputes its input to write it)."""
-    spark = df.sparkSession
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/strata-tables/{uuid.uuid4().hex}"
-    obs = Observation(f"m_{uuid.uuid4().hex[:12]}")
-    df.observe(obs, F.count(F.lit(1)).alias("count"), *metrics).write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), obs.get
+    """Cut the lineage of ``df`` with a reliable checkpoint (written to the
+    shared ``spark.checkpoint.dir``, so it survives executor loss; an eager
+    reliable checkpoint computes and writes in one job) and return
+    (checkpointed frame, metrics). ``count`` (rows) is always measured; extra
+    aggregate ``metrics`` (aliased) come from the same small job over the
+    checkpointed data, which never re-runs the original plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ck = df.checkpoint(eager=True)
+    row = ck.agg(F.count(F.lit(1)).alias("count"), *metrics).collect()[0]
+    return ck, row.asDict()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` (see ``materialize``) and return the read-back frame."""
-    return materialize(df)[0]
+    """Checkpoint ``df`` (reliable, shared folder) and return the new frame."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
