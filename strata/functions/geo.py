@@ -1,16 +1,25 @@
-"""Geohash decoding as a native Column expression.
-
-A geohash of length L carries 5L bits, interleaved starting with longitude.
-The hash is mapped onto standard base-32 digits, converted to a bit string
-with ``conv``, split into even (longitude) and odd (latitude) bits with a
-regular expression, and each half is read back as an integer cell index ``k``.
-The cell centre is ``lo + (k + 0.5) * span / 2**bits`` and the half-cell error
-is ``span / 2 / 2**bits`` — exact dyadic values, identical to bisection.
+"""Geohash decoding as native Column expressions.
+
+A geohash of length L (<= 12) carries B = 5L bits, most significant first,
+interleaved starting with longitude. The hash is mapped onto standard base-32
+digits with ``translate`` and read with ``conv``. Longitude takes the even
+positions counted from the most significant bit (so, counted from the least
+significant bit, positions of the parity of B-1); latitude the others. Each
+axis's bits form its cell index ``k``; the cell centre is
+``lo + (k + 0.5) * span / 2**bits`` and the half-cell error
+``span / 2 / 2**bits`` — exact dyadic values, identical to bisection. No UDF.
+
+Two forms: ``geohash_decode`` is one expression (bit string split by a regex);
+``with_geohash_coords`` is the table form: the hash is read once as a 64-bit
+integer and each axis is compacted with the six mask-and-shift steps of
+Morton decoding, one projection per step (about 5x cheaper per row).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import ColumnOrName, _c
@@ -18,53 +27,114 @@ from strata.functions.columns import ColumnOrName, _c
 # The geohash alphabet, and the standard base-32 digits it maps onto.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 BASE32_DIGITS = "0123456789abcdefghijklmnopqrstuv"
-GEOHASH_PATTERN = "^[0-9b-hjkmnp-z]{1,12}$"  # 12 chars = 60 bits, the most conv() can hold
+GEOHASH_PATTERN = "^[0-9b-hjkmnp-z]{1,12}$"  # 12 chars = 60 bits, fits a signed long
 
 
 def is_valid_geohash(col: ColumnOrName) -> Column:
     return _c(col).rlike(GEOHASH_PATTERN)
 
 
-def _axis(bits: Column, nbits: Column, lo: float, span: float) -> tuple[Column, Column]:
-    k = F.conv(bits, 2, 10).cast("double")
-    cells = F.pow(F.lit(2.0), nbits)
-    centre = F.lit(lo) + (k + F.lit(0.5)) * F.lit(span) / cells
-    err = F.lit(span / 2.0) / cells
-    return centre, err
+def geohash_int(col: ColumnOrName) -> Column:
+    """The 5L-bit integer of a valid geohash (null when invalid)."""
+    g = _c(col)
+    return F.when(is_valid_geohash(g), F.conv(F.translate(g, GEOHASH_ALPHABET, BASE32_DIGITS), 32, 10)
+                  .cast("long"))
+
+
+def _centre(k: Column, nbits: Column, lo: float, span: float) -> tuple[Column, Column]:
+    cells = F.pow(F.lit(2.0), nbits)  # exact for integral exponents
+    return F.lit(lo) + (k.cast("double") + F.lit(0.5)) * F.lit(span) / cells, F.lit(span / 2.0) / cells
 
 
 def geohash_decode(col: ColumnOrName) -> Column:
     """-> ``struct(latitude, longitude, latitude_err, longitude_err)``; null for an
-    invalid hash (bad character, empty, or longer than 12)."""
+    invalid hash (bad character, empty, or longer than 12).
+
+    Expression form: the hash's bit string (``conv`` to base 2) is split into
+    its even (longitude) and odd (latitude) positions with a regular
+    expression and each half is read back as the cell index. For a table
+    column ``with_geohash_coords`` is cheaper (integer bit compaction)."""
     g = _c(col)
     n = F.length(g)
     bits = F.lpad(F.conv(F.translate(g, GEOHASH_ALPHABET, BASE32_DIGITS), 32, 2), n * 5, "0")
-    lon_bits = F.regexp_replace(bits, "(.).", "$1")              # positions 0, 2, 4, ...
-    lat_bits = F.regexp_replace(F.substring(bits, 2, 64), "(.).", "$1")  # positions 1, 3, 5, ...
-    n_lon = F.ceil(n * 5 / 2)
-    n_lat = F.floor(n * 5 / 2)
-    lat, lat_err = _axis(lat_bits, n_lat, -90.0, 180.0)
-    lon, lon_err = _axis(lon_bits, n_lon, -180.0, 360.0)
-    decoded = F.struct(lat.alias("latitude"), lon.alias("longitude"),
-                       lat_err.alias("latitude_err"), lon_err.alias("longitude_err"))
-    return F.when(is_valid_geohash(g), decoded)
-
-
-def _rounded(value: Column, err: Column) -> Column:
-    # decimals the cell can vouch for: max(1, round(-log10(err))) - 1, half-even
-    decimals = F.greatest(F.lit(1), F.round(-F.log10(err)).cast("int")) - F.lit(1)
-    # bround needs a literal scale: expand over the possible scales (0..10 for <= 12 chars)
+    lon_k = F.conv(F.regexp_replace(bits, "(.).", "$1"), 2, 10)                   # positions 0, 2, 4, ...
+    lat_k = F.conv(F.regexp_replace(F.substring(bits, 2, 64), "(.).", "$1"), 2, 10)  # positions 1, 3, 5, ...
+    lat, lat_err = _centre(lat_k, F.floor(n * 5 / 2), -90.0, 180.0)
+    lon, lon_err = _centre(lon_k, F.ceil(n * 5 / 2), -180.0, 360.0)
+    return F.when(is_valid_geohash(g), F.struct(lat.alias("latitude"), lon.alias("longitude"),
+                                                lat_err.alias("latitude_err"), lon_err.alias("longitude_err")))
+
+
+def round_to_cell(value: ColumnOrName, err: ColumnOrName) -> Column:
+    """Round a coordinate to the decimals its cell size supports:
+    ``max(1, round(-log10(err))) - 1``, half-even."""
+    v, e = _c(value), _c(err)
+    decimals = F.greatest(F.lit(1), F.round(-F.log10(e)).cast("int")) - F.lit(1)
     out = None
-    for d in range(0, 11):
-        r = F.bround(value, d)
+    for d in range(0, 11):  # bround needs a literal scale; <= 12 chars needs at most 10
+        r = F.bround(v, d)
         out = F.when(decimals == d, r) if out is None else out.when(decimals == d, r)
     return out
 
 
 def geohash_decode_rounded(col: ColumnOrName) -> Column:
-    """Cell centre rounded to the decimals the cell size supports (the
-    serving-side decode): ``struct(latitude, longitude)``."""
+    """Rounded cell centre as one expression (``struct(latitude, longitude)``).
+    For tables prefer ``with_geohash_coords(..., rounded=True)``."""
     d = geohash_decode(col)
     return F.when(d.isNotNull(), F.struct(
-        _rounded(d["latitude"], d["latitude_err"]).alias("latitude"),
-        _rounded(d["longitude"], d["longitude_err"]).alias("longitude")))
+        round_to_cell(d["latitude"], d["latitude_err"]).alias("latitude"),
+        round_to_cell(d["longitude"], d["longitude_err"]).alias("longitude")))
+
+
+def cell_decimals(err: float) -> int:
+    """Decimals a cell of half-size ``err`` supports: max(1, round(-log10(err))) - 1."""
+    return max(1, round(-math.log10(err))) - 1
+
+
+def _round_by_length(value: str, length: str, half_span: float, lat_axis: bool) -> Column:
+    out = None
+    for n in range(1, 13):
+        bits = (5 * n) // 2 if lat_axis else (5 * n + 1) // 2
+        r = F.bround(F.col(value), cell_decimals(half_span / 2 ** bits))
+        out = F.when(F.col(length) == n, r) if out is None else out.when(F.col(length) == n, r)
+    return out
+
+
+# (shift, mask) steps that gather the even bits of a 64-bit word into its low half
+_COMPACT = [(0, 0x5555555555555555), (1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F),
+            (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)]
+
+
+def with_geohash_coords(df: DataFrame, col: str = "geohash", rounded: bool = False,
+                        keep_err: bool = False) -> DataFrame:
+    """Add ``latitude``/``longitude`` (and errors) for a geohash column.
+
+    Table form of ``geohash_decode``: the hash is parsed once per row, each
+    axis is aligned onto even bit positions and compacted with the six
+    mask-and-shift steps of Morton decoding, one projection per step (each
+    step reads the previous step's column, so whole-stage codegen fuses them
+    into a handful of integer operations per row)."""
+    total = F.col("__gn") * 5
+    out = df.withColumns({"__gx": geohash_int(col), "__gn": F.length(col)})
+    odd = total % 2 == 1  # B odd: longitude bits at even LSB positions
+    out = out.withColumns({"__lo": F.when(odd, F.col("__gx")).otherwise(F.shiftright("__gx", 1)),
+                           "__la": F.when(odd, F.shiftright("__gx", 1)).otherwise(F.col("__gx"))})
+    for shift, mask in _COMPACT:
+        step = {}
+        for a in ("__lo", "__la"):
+            x = F.col(a) if not shift else F.col(a).bitwiseOR(F.shiftright(a, shift))
+            step[a] = x.bitwiseAND(F.lit(mask))
+        out = out.withColumns(step)
+    lat, lat_err = _centre(F.col("__la"), F.shiftright(total, 1), -90.0, 180.0)
+    lon, lon_err = _centre(F.col("__lo"), F.shiftright(total + 1, 1), -180.0, 360.0)
+    valid = F.col("__gx").isNotNull()
+    cols = {"latitude": F.when(valid, lat), "longitude": F.when(valid, lon)}
+    errs = {"latitude_err": F.when(valid, lat_err), "longitude_err": F.when(valid, lon_err)}
+    out = out.withColumns({**cols, **(errs if keep_err or rounded else {})})
+    if rounded:
+        # the decimals depend only on the hash length: one literal-scale bround per row
+        out = out.withColumns({"latitude": _round_by_length("latitude", "__gn", 90.0, lat_axis=True),
+                               "longitude": _round_by_length("longitude", "__gn", 180.0, lat_axis=False)})
+        if not keep_err:
+            out = out.drop("latitude_err", "longitude_err")
+    return out.drop("__gx", "__gn", "__lo", "__la")

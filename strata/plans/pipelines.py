@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import close_vocab, eq_flag
-from strata.functions.geo import geohash_decode, geohash_decode_rounded
+from strata.functions.geo import with_geohash_coords
 from strata.operators.encode import binary_encode, one_hot, time_features
 from strata.operators.impute import impute_all, prov_cols
 from strata.operators.model import mlp_score
@@ -50,14 +50,7 @@ def clean(readings: DataFrame, plan=None, strategy: str = "auto") -> DataFrame:
 
 
 def decode(df: DataFrame, rounded: bool = False, keep_err: bool = False) -> DataFrame:
-    if rounded:
-        d = geohash_decode_rounded("geohash")
-        return df.withColumns({"latitude": d["latitude"], "longitude": d["longitude"]})
-    d = geohash_decode("geohash")
-    cols = {"latitude": d["latitude"], "longitude": d["longitude"]}
-    if keep_err:
-        cols.update({"latitude_err": d["latitude_err"], "longitude_err": d["longitude_err"]})
-    return df.withColumns(cols)
+    return with_geohash_coords(df, "geohash", rounded=rounded, keep_err=keep_err)
 
 
 def encode(df: DataFrame, keep_time_parts: bool = True) -> DataFrame:

@@ -289,11 +289,7 @@ GEO_TABLE_SQL = (f"SELECT geohash, {O.r6(_LAT)} AS latitude, {O.r6(_LON)} AS lon
 
 
 def geohash_table(df: DataFrame) -> DataFrame:
-    d = fn.geohash_decode("geohash")
-    return df.select("geohash").distinct().select("geohash", d["latitude"].alias("latitude"),
-                                                  d["longitude"].alias("longitude"),
-                                                  d["latitude_err"].alias("latitude_err"),
-                                                  d["longitude_err"].alias("longitude_err"))
+    return fn.with_geohash_coords(df.select("geohash").distinct(), keep_err=True)
 
 
 @query("lookup_left", W(O.base_ctes(False) + [("g", GEO_TABLE_SQL)],
@@ -611,7 +607,7 @@ def q_geo_prefix(spark, sf):
 @query("geohash_decode", W(O.base_ctes(False), f"SELECT row_id, {O.r6(_LAT)} AS latitude, {O.r6(_LON)} AS longitude, "
                                                 f"{O.r6(_LE)} AS latitude_err, {O.r6(_OE)} AS longitude_err FROM r"))
 def q_geohash_decode(spark, sf):
-    d = fn.geohash_decode("geohash")
+    d = fn.geohash_decode("geohash")  # the Column form (the table form is used by the pipelines)
     return R(spark, sf).select("row_id", d["latitude"].alias("latitude"), d["longitude"].alias("longitude"),
                                d["latitude_err"].alias("latitude_err"), d["longitude_err"].alias("longitude_err"))
 
@@ -622,9 +618,7 @@ _RLAT, _RLON = O.geohash_rounded_sql("geohash")
 @query("geohash_rounded", W(O.base_ctes(False), f"SELECT geohash, {O.r6(_RLAT)} AS latitude, {O.r6(_RLON)} AS longitude "
                                                  f"FROM (SELECT DISTINCT geohash FROM r)"))
 def q_geohash_rounded(spark, sf):
-    d = fn.geohash_decode_rounded("geohash")
-    return R(spark, sf).select("geohash").distinct().select("geohash", d["latitude"].alias("latitude"),
-                                                            d["longitude"].alias("longitude"))
+    return fn.with_geohash_coords(R(spark, sf).select("geohash").distinct(), rounded=True)
 
 
 @query("clip0", W(O.base_ctes(False), f"SELECT row_id, {O.r6('CASE WHEN demand - 0.2 < 0 THEN 0.0 ELSE demand - 0.2 END')} AS clipped FROM r"))

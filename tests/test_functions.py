@@ -79,7 +79,24 @@ def test_geohash_decode_matches_bisection(spark):
 
 def test_geohash_invalid_rejected(spark):
     df = spark.createDataFrame([("qpa0",), ("qp0bcdefghjkm",), ("",), ("QP",)], "g string")
-    assert all(r[0] is None for r in df.select(fn.geohash_decode("g")).collect())
+    d = fn.geohash_decode("g")
+    assert all(r[0] is None and r[1] is None for r in df.select(d["latitude"], d["longitude"]).collect())
+    t = fn.with_geohash_coords(df, "g").collect()
+    assert all(r.latitude is None and r.longitude is None for r in t)
+
+
+def test_table_decode_matches_column_decode(spark):
+    rnd = random.Random(11)
+    hashes = ["".join(rnd.choice(GEOHASH_ALPHABET) for _ in range(rnd.randint(1, 12))) for _ in range(200)]
+    df = spark.createDataFrame([(h,) for h in hashes], "g string")
+    t = {r.g: (r.latitude, r.longitude, r.latitude_err, r.longitude_err)
+         for r in fn.with_geohash_coords(df, "g", keep_err=True).collect()}
+    for h in hashes:
+        assert t[h] == bisect_decode(h), h
+    r = {x.g: (x.latitude, x.longitude) for x in fn.with_geohash_coords(df, "g", rounded=True).collect()}
+    d = fn.geohash_decode_rounded("g")
+    c = {x.g: (x.la, x.lo) for x in df.select("g", d["latitude"].alias("la"), d["longitude"].alias("lo")).collect()}
+    assert r == c
 
 
 def test_geohash_rounded_is_close(spark):
