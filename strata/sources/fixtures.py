@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores (a small single-file
+    table) is redistributed round-robin so per-row work uses every core. A
+    large source already has at least that many splits and is returned as is
+    (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def road_readings(events: DataFrame) -> DataFrame:
     """events -> (row_id, geohash, day, timestamp "H:M", demand, RoadType,
     NumberofLanes, LargeVehicles, Landmarks, Temperature, Weather)."""
@@ -56,4 +65,4 @@ def road_readings(events: DataFrame) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return road_readings(table(spark, sf_dir, "events"))
+    return road_readings(spread_small(table(spark, sf_dir, "events")))
