@@ -46,7 +46,10 @@ HELPERS_SQL = ("SELECT *, CAST(split_part(timestamp, ':', 1) AS INTEGER) AS _hou
 
 
 def r6(expr: str) -> str:
-    return f"(round({expr}, 6) + 0.0)"
+    """Oracle hygiene, the same IEEE steps as ``registry.r6``: snap to 9
+    decimals (drops summation-order noise), then round to 6, each as
+    ``round(x * 10^k) / 10^k`` (half away from zero in both engines)."""
+    return f"(round(round(({expr}) * 1e9) / 1e9 * 1e6) / 1e6 + 0.0)"
 
 
 def q(s: str) -> str:

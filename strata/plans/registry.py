@@ -41,9 +41,16 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def _r6(c):
+    snapped = F.round(c * F.lit(1e9), 0) / F.lit(1e9)
+    return F.round(snapped * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)
+
+
 def r6(df: DataFrame) -> DataFrame:
-    """Round every double column to 6 places (oracle hygiene)."""
-    return df.select(*[(F.round(F.col(f.name), 6) + F.lit(0.0)).alias(f.name)
+    """Round every double column to 6 places (oracle hygiene): snap to 9
+    decimals to drop summation-order noise, then round to 6 — the same IEEE
+    steps as the SQL side (``oracle.r6``), so both engines agree bit for bit."""
+    return df.select(*[_r6(F.col(f.name)).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
