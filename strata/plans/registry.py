@@ -889,7 +889,7 @@ def q_load_weights(spark, sf):
 
 
 # ---------------------------------------------------------------- 2.11 quality gates
-@query("q_rowcount", "SELECT 'rowcount' AS \"check\", 0::BIGINT AS violations, true AS passed")
+@query("q_rowcount", W(O.base_ctes(False), gates_sql([("rowcount", "abs(count(*) - (SELECT count(*) FROM events))", "r")])))
 def q_q_rowcount(spark, sf):
     r = R(spark, sf)
     n = table(spark, sf, "events").count()  # the readings view keeps every event
@@ -943,9 +943,9 @@ def q_q_schema(spark, sf):
     return qa.schema_check(feats, P.FEATURES, absent=("geohash", "Index", "day", "timestamp"))
 
 
-@query("q_audit_complete", "SELECT * FROM (VALUES ('audit_complete:RoadType', 0::BIGINT, true), "
-                           "('audit_complete:Temperature', 0::BIGINT, true), ('audit_complete:Weather', 0::BIGINT, true)) "
-                           "t(\"check\", violations, passed)")
+@query("q_audit_complete", TRAIN_AUDIT.format(final=gates_sql([
+    (f"audit_complete:{c}", f"(SELECT count(*) FROM r WHERE {c} IS NULL) - count(*) FILTER (WHERE \"column\" = {O.q(c)} "
+                            f"AND fill_successful)", "a") for c in P.IMPUTED])))
 def q_q_audit_complete(spark, sf):
     clean = _train_clean(spark, sf)
     return qa.audit_complete(clean, imp.impute_audit(clean, P.IMPUTED), P.IMPUTED)
