@@ -95,11 +95,26 @@ def cascade_fills(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str
     bin table has at most ``window_max_bins`` rows (so no window partition can
     exceed it), else ``bins``.
     """
+    bins, group_keys, null_keys, dtype, n_total, n_null = _bin_table(df, col, tiers)
+    if strategy == "auto":
+        strategy = "window" if n_total <= window_max_bins else "bins"
+    if strategy == "window":
+        fills = _tiers_window(bins, tiers, null_keys, dtype, n_total)
+    elif strategy == "bins":
+        fills = _tiers_join(bins, tiers, group_keys, null_keys, dtype, n_total)
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if materialize_fills:
+        fills = cut_lineage(fills)
+    return Fills(col, fills, null_keys, n_null)
+
+
+def _bin_table(df: DataFrame, col: str, tiers: Sequence[Tier]):
+    """One scan: value bins at the finest tier grain + null bins (map-side
+    combined), checkpointed and measured."""
     group_keys = _uniq([k for t in tiers if t.stat in GROUP_STATS for k in t.keys])
     null_keys = _uniq(group_keys + [t.derive_from for t in tiers if t.stat == "derive" and t.derive_from])
     dtype = df.schema[col].dataType
-
-    # one scan: value bins at the finest tier grain + null bins (map-side combined)
     src = df.select(*null_keys, col)
     vals = (src.filter(F.col(col).isNotNull()).groupBy(*group_keys, col).agg(F.count(F.lit(1)).alias("_n"))
             .select(*[F.col(k) if k in group_keys else F.lit(None).alias(k) for k in null_keys],
@@ -108,19 +123,29 @@ def cascade_fills(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str
              .select(*null_keys, F.lit(None).cast(dtype).alias("_v"), "_n", F.lit(True).alias("_isnull")))
     bins, m = materialize(vals.unionByName(nulls).withColumn("_rule", F.lit(None).cast("string")),
                           F.count_if(F.col("_isnull")).alias("n_null"))
-    n_total, n_null = m["count"], m["n_null"]
+    return bins, group_keys, null_keys, dtype, m["count"], m["n_null"]
+
+
+@dataclass
+class TierLookup:
+    """A tier's statistic frozen on a reference table: ``table`` is
+    ``(keys..., _stat, _cnt)`` (``n_rows`` measured) for a keyed tier,
+    ``value`` for a global one; row rules carry neither."""
+    tier: Tier
+    table: DataFrame | None = None
+    n_rows: int = 0
+    value: Any = None
 
-    if strategy == "auto":
-        strategy = "window" if n_total <= window_max_bins else "bins"
-    if strategy == "window":
-        fills = _tiers_window(bins, tiers, null_keys, dtype, n_total)
-    elif strategy == "bins":
-        fills = _tiers_join(bins, tiers, group_keys, null_keys, dtype, n_total)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if materialize_fills:
-        fills = cut_lineage(fills)
-    return Fills(col, fills, null_keys, n_null)
+
+def ladder_lookups(df: DataFrame, col: str, tiers: Sequence[Tier]) -> list[TierLookup]:
+    """Fit every tier's statistic on ``df`` with the cascade's sequential
+    semantics (tier k sees the fills of tiers < k) and keep them as lookups.
+    Applied in order to new rows (``apply_lookups``) they reproduce the
+    cascade on ``df`` itself exactly, and they need no state on a stream."""
+    bins, group_keys, null_keys, dtype, n_total, _ = _bin_table(df, col, tiers)
+    captured: list[TierLookup] = []
+    _tiers_join(bins, tiers, group_keys, null_keys, dtype, n_total, capture=captured)
+    return captured
 
 
 def impute_cascade(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str = "auto",
@@ -198,7 +223,7 @@ def _row_rule(t: Tier, dtype, open_: Column) -> tuple[Column, Column]:
 
 
 def _tiers_join(bins: DataFrame, tiers: Sequence[Tier], group_keys: Sequence[str],
-                keys: Sequence[str], dtype, bound: int) -> DataFrame:
+                keys: Sequence[str], dtype, bound: int, capture: list | None = None) -> DataFrame:
     """Scale path: per tier, aggregate the value bins plus the fills so far to
     the tier's keys (partial aggregation), join the statistic onto the open
     null bins (null keys never match), and cut the lineage."""
@@ -211,6 +236,13 @@ def _tiers_join(bins: DataFrame, tiers: Sequence[Tier], group_keys: Sequence[str
             added = nb.filter(F.col("_v").isNotNull()).select(*tk, "_v", "_n")
             vb = hist.select(*tk, "_v", "_n").unionByName(added)
             stats = group_stat(vb, tk, "_v", t.stat, bins_bound=bound)
+            if capture is not None:
+                stats, sm = materialize(stats)
+                if tk:
+                    capture.append(TierLookup(t, stats, sm["count"]))
+                else:
+                    row = stats.collect()  # a global statistic: one row
+                    capture.append(TierLookup(t, value=row[0]["_stat"] if row else None))
             if tk:
                 j = nb.join(stats, tk, "left")
             else:  # a global statistic is exactly one row: broadcast it
@@ -223,6 +255,8 @@ def _tiers_join(bins: DataFrame, tiers: Sequence[Tier], group_keys: Sequence[str
         else:
             j = nb
             cand, cond = _row_rule(t, dtype, open_)
+            if capture is not None:
+                capture.append(TierLookup(t))
         nb = cut_lineage(_tier_update(j, keys, cond, cand, t.rule))
     return nb.select(*keys, F.col("_v").alias("_fill"), "_rule")
 
@@ -253,6 +287,38 @@ def apply_fills(df: DataFrame, col: str, fills: DataFrame, keys: Sequence[str],
     return filled.unionByName(kept)
 
 
+def apply_lookups(df: DataFrame, col: str, lookups: Sequence[TierLookup],
+                  broadcast_rows: int = BROADCAST_FILL_ROWS) -> DataFrame:
+    """Fill ``col`` from frozen tier lookups, in tier order (first match wins).
+    Row-wise plus lookup joins only, so it runs unchanged on a streaming
+    DataFrame (stream-static joins). Adds the same provenance columns."""
+    was_null, rule = prov_cols(col)
+    dtype = df.schema[col].dataType
+    out = df.withColumns({was_null: F.col(col).isNull(), rule: F.lit(None).cast("string")})
+    for i, lk in enumerate(lookups):
+        t = lk.tier
+        open_ = F.col(col).isNull()
+        if lk.table is not None:
+            s, c = f"__s{i}", f"__c{i}"
+            tab = lk.table.select(*t.keys, F.col("_stat").alias(s), F.col("_cnt").alias(c))
+            tab = F.broadcast(tab) if lk.n_rows <= broadcast_rows else tab
+            out = out.join(tab, list(t.keys), "left")
+            cand = F.col(s).cast(dtype)
+            cond = open_ & cand.isNotNull()
+            if t.min_count:
+                cond = cond & (F.col(c) >= t.min_count)
+        elif t.stat in GROUP_STATS:
+            cand = F.lit(lk.value).cast(dtype)
+            cond = open_ & cand.isNotNull()
+        else:
+            cand, cond = _row_rule(t, dtype, open_)
+        out = out.withColumns({col: F.when(cond, cand).otherwise(F.col(col)),
+                               rule: F.when(cond, F.lit(t.rule)).otherwise(F.col(rule))})
+        if lk.table is not None:
+            out = out.drop(f"__s{i}", f"__c{i}")
+    return out
+
+
 def _reads(tiers: Sequence[Tier]) -> set[str]:
     return {k for t in tiers for k in t.keys} | {t.derive_from for t in tiers if t.derive_from}
 

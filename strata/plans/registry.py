@@ -861,6 +861,22 @@ def q_const_pipeline(spark, sf):
     return P.const_features(r.drop("demand"), r).select("row_id", *CONST_COLS)
 
 
+@query("serve_stream", W(SERVE_CTES, f"SELECT row_id, {feat_cols()} FROM sf"))
+def q_serve_stream(spark, sf):
+    """The serving path on a Structured Streaming file source: ladder lookups
+    frozen on the test table, rows arriving as parquet files, processed with
+    an available-now trigger into a parquet sink (read back here)."""
+    from strata.streaming.serve import fit_serve_model, run_stream
+    r = R(spark, sf)
+    test = r.drop("demand")
+    base = scratch(spark)
+    test.write.parquet(f"{base}/src")
+    model = fit_serve_model(test, r)
+    q = run_stream(spark, f"{base}/src", test.schema, model, f"{base}/sink", f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/sink")
+
+
 # ---------------------------------------------------------------- model boundary (rows-only checks)
 @query("fit_regressor")
 def q_fit_regressor(spark, sf):
