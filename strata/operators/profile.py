@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.stats import group_stat, value_bins
+from strata.operators.stats import group_stat, quantiles, value_bins
 
 
 def _stack(df: DataFrame, cols: Sequence[str], fields: Sequence[str], prefix: str = "") -> DataFrame:
@@ -48,17 +48,20 @@ def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75 % (exact, linear), max per column."""
+    """count, mean, sample std, min, 25/50/75 % (exact, linear), max per column.
+
+    Moments come from one aggregation; the quartiles from each column's value
+    bins (exact, skew-safe: rank refinement instead of one task's value map
+    when a column has too many distinct values)."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    one = df.agg(*aggs)
-    one = one.select("*", *[one[f"{c}__q"][i].alias(f"{c}__{n}") for c in cols
-                            for i, n in enumerate(["p25", "p50", "p75"])])
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    one = df.agg(*aggs).withColumn("_k", F.lit(0))
+    for c in cols:
+        qs = quantiles(value_bins(df, [], c), [], c, (0.25, 0.5, 0.75), [f"{c}__p25", f"{c}__p50", f"{c}__p75"])
+        one = one.join(F.broadcast(qs.withColumn("_k", F.lit(0))), "_k")  # one row each
     return _stack(one, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 

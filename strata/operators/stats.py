@@ -78,6 +78,15 @@ def group_median(bins: DataFrame, keys: Sequence[str], value: str, n: str = "_n"
     values), from bins. See module doc for the two execution paths.
     ``bins_bound``: a known upper bound on the bin rows of any group (skips
     the measuring job when it is within ``max_distinct``)."""
+    return group_quantile(bins, keys, value, 0.5, n, out, count_out, max_distinct, buckets, bins_bound)
+
+
+def group_quantile(bins: DataFrame, keys: Sequence[str], value: str, q: float, n: str = "_n",
+                   out: str = "_stat", count_out: str | None = "_cnt",
+                   max_distinct: int = MAX_DISTINCT, buckets: int = BUCKETS,
+                   bins_bound: int | None = None) -> DataFrame:
+    """Exact ``q`` quantile per group (position ``q*(N-1)``, linear
+    interpolation — ``percentile`` / ``quantile_cont``), from bins."""
     b, k = _keyed(bins, keys)
     b = b.withColumn(value, F.col(value).cast("double"))
     shape = b.groupBy(*k).agg(F.sum(n).alias("_N"), F.count(F.lit(1)).alias("_D"),
@@ -87,7 +96,7 @@ def group_median(bins: DataFrame, keys: Sequence[str], value: str, n: str = "_n"
     else:
         n_big = shape.filter(F.col("_D") > max_distinct).count()
     if n_big == 0:
-        aggs = [F.percentile(F.col(value), F.lit(0.5), F.col(n)).alias(out)]
+        aggs = [F.percentile(F.col(value), F.lit(q), F.col(n)).alias(out)]
         if count_out:
             aggs.append(F.sum(n).alias(count_out))
         return _unkey(b.groupBy(*k).agg(*aggs), keys)
@@ -95,8 +104,8 @@ def group_median(bins: DataFrame, keys: Sequence[str], value: str, n: str = "_n"
     small = shape.filter(F.col("_D") <= max_distinct).select(*k)
     big = shape.filter(F.col("_D") > max_distinct)
     small_res = (b.join(small, k, "left_semi").groupBy(*k)
-                 .agg(F.percentile(F.col(value), F.lit(0.5), F.col(n)).alias(out), F.sum(n).alias("_N")))
-    big_res = _refine_median(b, big, k, value, n, out, max_distinct, buckets, n_big)
+                 .agg(F.percentile(F.col(value), F.lit(q), F.col(n)).alias(out), F.sum(n).alias("_N")))
+    big_res = _refine_quantile(b, big, k, value, n, out, max_distinct, buckets, n_big, q)
     res = small_res.unionByName(big_res)
     if count_out:
         res = res.withColumnRenamed("_N", count_out)
@@ -105,12 +114,12 @@ def group_median(bins: DataFrame, keys: Sequence[str], value: str, n: str = "_n"
     return _unkey(res, keys)
 
 
-def _refine_median(b: DataFrame, big: DataFrame, k: list[str], value: str, n: str, out: str,
-                   max_distinct: int, buckets: int, n_big: int) -> DataFrame:
-    """Median of groups with many distinct values, by rank selection."""
+def _refine_quantile(b: DataFrame, big: DataFrame, k: list[str], value: str, n: str, out: str,
+                     max_distinct: int, buckets: int, n_big: int, q: float) -> DataFrame:
+    """Quantile of groups with many distinct values, by rank selection."""
     from strata.session import cut_lineage
 
-    pos = (F.col("_N") - 1) * F.lit(0.5)
+    pos = (F.col("_N") - 1) * F.lit(q)
     ranks = big.select(*k, "_N", F.floor(pos).cast("long").alias("_r_lo"),
                        F.ceil(pos).cast("long").alias("_r_hi"), "_lo", "_hi", "_D")
     # one search state per (group, side): the target rank, the value interval
@@ -154,11 +163,30 @@ def _refine_median(b: DataFrame, big: DataFrame, k: list[str], value: str, n: st
     sides = hit.groupBy(*k).agg(F.max(F.when(F.col("_side") == 0, F.col(value))).alias("_v_lo"),
                                 F.max(F.when(F.col("_side") == 1, F.col(value))).alias("_v_hi"))
     res = sides.join(ranks.select(*k, "_N"), k)
-    frac = (F.col("_N") - 1) * F.lit(0.5) - F.floor((F.col("_N") - 1) * F.lit(0.5))
+    frac = (F.col("_N") - 1) * F.lit(q) - F.floor((F.col("_N") - 1) * F.lit(q))
     med = (F.lit(1.0) - frac) * F.col("_v_lo") + frac * F.col("_v_hi")
     return res.select(*k, med.alias(out), "_N")
 
 
+def quantiles(bins: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str],
+              n: str = "_n", bins_bound: int | None = None, max_distinct: int = MAX_DISTINCT) -> DataFrame:
+    """Several exact quantiles per group from one bin table: one ``percentile``
+    aggregate when the groups are small, else rank refinement per quantile."""
+    b, k = _keyed(bins, keys)
+    b = b.withColumn(value, F.col(value).cast("double"))
+    if bins_bound is None or bins_bound > max_distinct:
+        bins_bound = b.groupBy(*k).count().agg(F.max("count")).collect()[0][0] or 0
+    if bins_bound <= max_distinct:
+        arr = F.percentile(F.col(value), F.array(*[F.lit(float(x)) for x in qs]), F.col(n))
+        one = b.groupBy(*k).agg(arr.alias("_q"))
+        return _unkey(one.select(*k, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)]), keys)
+    out = None
+    for x, nm in zip(qs, names):
+        one = group_quantile(b, k, value, x, n, out=nm, count_out=None, max_distinct=max_distinct)
+        out = one if out is None else out.join(one, k)
+    return _unkey(out, keys)
+
+
 def group_stat(bins: DataFrame, keys: Sequence[str], value: str, stat: str, n: str = "_n",
                out: str = "_stat", count_out: str | None = "_cnt", bins_bound: int | None = None) -> DataFrame:
     if stat == "median":

@@ -41,3 +41,15 @@ def test_mean_and_count(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", 2.0)], "k string, v double")
     got = {r.k: (r._stat, r._cnt) for r in S.group_mean(S.value_bins(df, ["k"], "v"), ["k"], "v").collect()}
     assert got == {"a": (2.0, 2), "b": (2.0, 1)}
+
+
+def test_quantiles_refinement_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    v = rng.exponential(size=2500)
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    bins = S.value_bins(df, [], "v")
+    fast = S.quantiles(bins, [], "v", (0.25, 0.5, 0.75), ["a", "b", "c"]).collect()[0]
+    slow = S.quantiles(bins, [], "v", (0.25, 0.5, 0.75), ["a", "b", "c"], max_distinct=40).collect()[0]
+    exp = np.quantile(v, [0.25, 0.5, 0.75])
+    for got in (fast, slow):
+        assert all(abs(got[i] - exp[i]) < 1e-12 for i in range(3))
