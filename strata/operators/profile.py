@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators.stats import group_stat, quantiles, value_bins
+from strata.session import materialize
 
 
 def _stack(df: DataFrame, cols: Sequence[str], fields: Sequence[str], prefix: str = "") -> DataFrame:
@@ -50,19 +51,24 @@ def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (exact, linear), max per column.
 
-    Moments come from one aggregation; the quartiles from each column's value
-    bins (exact, skew-safe: rank refinement instead of one task's value map
-    when a column has too many distinct values)."""
+    Moments: one aggregation. Quartiles: the columns are unpivoted in one scan
+    to ``(column, value)`` and binned (map-side combined), and every column's
+    quartiles come from one grouped exact-quantile aggregation — a value map
+    per column within the map bound, rank refinement beyond it (no column's
+    values are ever gathered into one unbounded task buffer)."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    one = df.agg(*aggs).withColumn("_k", F.lit(0))
-    for c in cols:
-        qs = quantiles(value_bins(df, [], c), [], c, (0.25, 0.5, 0.75), [f"{c}__p25", f"{c}__p50", f"{c}__p75"])
-        one = one.join(F.broadcast(qs.withColumn("_k", F.lit(0))), "_k")  # one row each
-    return _stack(one, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    one = df.agg(*aggs)
+    moments = _stack(one, cols, ["count", "mean", "std", "min", "max"])
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                        for c in cols])))
+    bins, m = materialize(value_bins(long, ["column"], "value"))  # total bins bound every group
+    q = quantiles(bins, ["column"], "value", (0.25, 0.5, 0.75), ["p25", "p50", "p75"], bins_bound=m["count"])
+    return (moments.join(q, "column", "left")
+            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def col_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:

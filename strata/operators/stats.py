@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CONST_KEY = "_g"
-MAX_DISTINCT = 200_000
+MAX_DISTINCT = 1_000_000  # per-group value map bound: ~80 MB of task buffer
 BUCKETS = 1024
 BROADCAST_GROUPS = 1_000_000
 
