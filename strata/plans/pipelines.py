@@ -5,7 +5,7 @@ operators; only the parameters (ladders, decode mode) differ.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,10 +114,13 @@ def const_features(test: DataFrame, train_raw: DataFrame, temperature: float = 1
     return df.drop("geohash")
 
 
-@dataclass
-class Scorer:
-    scaler: dict
-    weights: dict
+def train_and_serve(readings: DataFrame, test: DataFrame, strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """Both feature paths, built concurrently: they share no intermediate
+    result, so their (small, bounded) fitting jobs overlap on the cluster."""
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        tr = pool.submit(train_features, readings, strategy)
+        sv = pool.submit(serve_features, test, readings, strategy)
+        return tr.result()[0], sv.result()
 
 
 def score(features: DataFrame, train_features_df: DataFrame, weights: dict, clip: bool = True) -> DataFrame:

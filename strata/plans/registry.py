@@ -889,8 +889,7 @@ def q_fit_regressor(spark, sf):
 @query("mlp_score")
 def q_mlp_score(spark, sf):
     r = R(spark, sf)
-    train, _ = P.train_features(r)
-    feats = P.serve_features(r.drop("demand"), r)
+    train, feats = P.train_and_serve(r, r.drop("demand"))
     return P.score(feats, train, mdl.init_mlp_weights(len(P.FEATURES), seed=0))
 
 
