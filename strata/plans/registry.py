@@ -369,7 +369,7 @@ def q_global_stats(spark, sf):
     r = R(spark, sf)
     t = prof.global_stats(r, "Temperature", ("mean", "median"))
     w = prof.global_stats(r, "Weather", ("mode",)).withColumnRenamed("mode", "weather_mode")
-    return t.join(F.broadcast(w))  # both sides are exactly one row
+    return t.withColumn("_k", F.lit(0)).join(F.broadcast(w.withColumn("_k", F.lit(0))), "_k").drop("_k")
 
 
 @query("value_counts", W(O.base_ctes(False), "SELECT Weather, count(*) AS count FROM r WHERE Weather IS NOT NULL GROUP BY Weather"))
