@@ -148,3 +148,20 @@ def test_large_fill_table_uses_null_rows_join(spark):
     b = I.impute_cascade(r, "RoadType", ladders.road_ladder(), broadcast_rows=0) \
         .select("row_id", "RoadType", "_rule_RoadType")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_hot_cell_holding_a_third_of_rows(spark, strategy):
+    # one geohash takes every third reading: the cascade must stay exact
+    r = ladders.with_helpers(readings(spark, SF001).withColumn(
+        "geohash", F.when(F.col("row_id") % 3 == 0, F.lit("qp0bgg")).otherwise(F.col("geohash"))))
+    pdf = r.toPandas()
+    out = I.impute_all(r, ladders.training_plan(), strategy=strategy).toPandas().set_index("row_id").sort_index()
+    cur = pdf.copy()
+    for col, tiers in ladders.training_plan():
+        s, rule = pandas_ladder(cur, col, tiers)
+        cur[col], cur[f"_rule_{col}"] = s, rule
+    cur = cur.set_index("row_id").sort_index()
+    for col in ("RoadType", "Temperature", "Weather"):
+        assert out[col].tolist() == cur[col].tolist(), col
+        assert out[f"_rule_{col}"].tolist() == cur[f"_rule_{col}"].tolist(), col
