@@ -7,7 +7,6 @@ audit table does.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strata.functions.columns import band_rule, geo_prefix, parse_hm
 from strata.operators.impute import Tier
