@@ -203,6 +203,11 @@ def _tiers_window(bins: DataFrame, tiers: Sequence[Tier], keys: Sequence[str], d
                 cond = cond & (cnt >= t.min_count)
             c = _tier_update(c, keys, cond, cand.cast(dtype), t.rule)
         elif t.stat in GROUP_STATS:
+            if part is not None:
+                # the statistic and the update both read the window results:
+                # cut here so the window stages run once (a pruned copy of
+                # them would not be reused as the same exchange)
+                c, part = cut_lineage(c), None
             stats = F.broadcast(_global_stat(c, t.stat, bound))
             j = c.withColumn(CONST_KEY, F.lit(0)).join(stats, CONST_KEY, "left")
             cand = F.col("_stat").cast(dtype)

@@ -47,3 +47,15 @@ def test_apply_fills_broadcasts_small_fill_table(spark):
     out = impute_cascade(ladders.with_helpers(readings(spark, SF001)), "RoadType", ladders.road_ladder())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_window_ladder_shares_one_repartition_for_nested_tiers(spark):
+    """TM-1..3 group by (geohash, ...): one hash exchange on geohash serves all
+    three windows; Weather needs a second; the global tier starts after a cut."""
+    from strata.operators import impute as I
+    from strata.plans import ladders
+    r = ladders.with_helpers(readings(spark, SF001))
+    bins, _, nk, dt, n, _ = I._bin_table(r, "Temperature", ladders.temperature_ladder())
+    tiers = ladders.temperature_ladder()[:4]  # keyed tiers only: one plan, no cut
+    plan = I._tiers_window(bins, tiers, nk, dt, n)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
