@@ -23,9 +23,16 @@ def con():
     return c
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    sp = E.queries()[name](spark, SF001).toPandas()
+    df = E.queries()[name](spark, SF001)
+    types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString()) for f in df.schema.fields}
+    assert types == {r[0]: r[1] for r in con.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    sp = df.toPandas()
     dd = con.execute(SQL[name]).fetchdf()
     assert sorted(sp.columns) == sorted(dd.columns)
     assert len(sp) == len(dd)
