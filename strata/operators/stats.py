@@ -72,7 +72,7 @@ def group_mean(bins: DataFrame, keys: Sequence[str], value: str, n: str = "_n",
 
 def group_median(bins: DataFrame, keys: Sequence[str], value: str, n: str = "_n",
                  out: str = "_stat", count_out: str | None = "_cnt",
-                 max_distinct: int = MAX_DISTINCT, buckets: int = BUCKETS,
+                 max_distinct: int | None = None, buckets: int = BUCKETS,
                  bins_bound: int | None = None) -> DataFrame:
     """Exact median per group (linear interpolation between the two middle
     values), from bins. See module doc for the two execution paths.
@@ -83,10 +83,12 @@ def group_median(bins: DataFrame, keys: Sequence[str], value: str, n: str = "_n"
 
 def group_quantile(bins: DataFrame, keys: Sequence[str], value: str, q: float, n: str = "_n",
                    out: str = "_stat", count_out: str | None = "_cnt",
-                   max_distinct: int = MAX_DISTINCT, buckets: int = BUCKETS,
+                   max_distinct: int | None = None, buckets: int = BUCKETS,
                    bins_bound: int | None = None) -> DataFrame:
     """Exact ``q`` quantile per group (position ``q*(N-1)``, linear
-    interpolation — ``percentile`` / ``quantile_cont``), from bins."""
+    interpolation — ``percentile`` / ``quantile_cont``), from bins.
+    ``max_distinct`` defaults to the module's ``MAX_DISTINCT`` at call time."""
+    max_distinct = MAX_DISTINCT if max_distinct is None else max_distinct
     b, k = _keyed(bins, keys)
     b = b.withColumn(value, F.col(value).cast("double"))
     shape = b.groupBy(*k).agg(F.sum(n).alias("_N"), F.count(F.lit(1)).alias("_D"),
@@ -119,6 +121,10 @@ def _refine_quantile(b: DataFrame, big: DataFrame, k: list[str], value: str, n:
     """Quantile of groups with many distinct values, by rank selection."""
     from strata.session import cut_lineage
 
+    # one row per (group, value): bins may repeat a value (e.g. observed
+    # values plus fills), and the rank window below needs distinct values
+    b = b.join(big.select(*k), k, "left_semi").groupBy(*k, value).agg(F.sum(n).alias(n))
+
     pos = (F.col("_N") - 1) * F.lit(q)
     ranks = big.select(*k, "_N", F.floor(pos).cast("long").alias("_r_lo"),
                        F.ceil(pos).cast("long").alias("_r_hi"), "_lo", "_hi", "_D")
@@ -169,9 +175,10 @@ def _refine_quantile(b: DataFrame, big: DataFrame, k: list[str], value: str, n:
 
 
 def quantiles(bins: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str],
-              n: str = "_n", bins_bound: int | None = None, max_distinct: int = MAX_DISTINCT) -> DataFrame:
+              n: str = "_n", bins_bound: int | None = None, max_distinct: int | None = None) -> DataFrame:
     """Several exact quantiles per group from one bin table: one ``percentile``
     aggregate when the groups are small, else rank refinement per quantile."""
+    max_distinct = MAX_DISTINCT if max_distinct is None else max_distinct
     b, k = _keyed(bins, keys)
     b = b.withColumn(value, F.col(value).cast("double"))
     if bins_bound is None or bins_bound > max_distinct:

@@ -165,3 +165,17 @@ def test_hot_cell_holding_a_third_of_rows(spark, strategy):
     for col in ("RoadType", "Temperature", "Weather"):
         assert out[col].tolist() == cur[col].tolist(), col
         assert out[f"_rule_{col}"].tolist() == cur[f"_rule_{col}"].tolist(), col
+
+
+def test_bins_strategy_with_median_refinement_matches_pandas(spark, monkeypatch):
+    # shrink the per-group value-map bound so every median tier (and the
+    # global one) resolves by rank refinement, as a huge group would at scale
+    from strata.operators import stats
+    monkeypatch.setattr(stats, "MAX_DISTINCT", 4)
+    r = ladders.with_helpers(readings(spark, SF001))
+    plan = [("Temperature", ladders.temperature_ladder())]
+    out = I.impute_all(r, plan, strategy="bins").toPandas().set_index("row_id").sort_index()
+    s, rule = pandas_ladder(r.toPandas(), "Temperature", plan[0][1])
+    exp = r.toPandas().assign(t=s, rule=rule).set_index("row_id").sort_index()
+    assert out["Temperature"].tolist() == exp["t"].tolist()
+    assert out["_rule_Temperature"].tolist() == exp["rule"].tolist()
