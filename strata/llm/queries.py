@@ -44,10 +44,10 @@ lens AS (SELECT DISTINCT n FROM win),
 dw AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
   FROM documents),
-at AS (
+spot AS (
   SELECT doc_id, n, p, w[p:p + n - 1] AS g
   FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM dw, lens WHERE len(w) >= n)),
-hit AS (SELECT at.doc_id, at.p, at.n, win.item FROM at JOIN win ON at.n = win.n AND at.g = win.g),
+hit AS (SELECT spot.doc_id, spot.p, spot.n, win.item FROM spot JOIN win ON spot.n = win.n AND spot.g = win.g),
 words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS k FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
