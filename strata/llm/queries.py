@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, decontam, langid, minhash
+from strata.llm import bpe, chat, decontam, html_text, langid, minhash, sharding
 from strata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,21 @@ def op2(spark, sf_dir):
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_chat_formatting", """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT *, row_number() OVER o AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+         md5(string_agg(md5(coalesce('r' || role, 'null') || '|' || coalesce('t' || text, 'null')), '') OVER o) AS cum
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+whole AS (SELECT n, cum, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE pos = n GROUP BY n, cum),
+kept AS (SELECT conv_id, n_copies FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = whole.n AND p.cum = whole.cum))
+SELECT conv_id, CAST(floor((pos - 1) / 256) AS BIGINT) AS part, count(*) AS n_turns, n_copies,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
+FROM p JOIN kept USING (conv_id) GROUP BY conv_id, part, n_copies""")
+def op3(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 @query("op4_decontamination", """
 WITH bw AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -62,6 +77,32 @@ def op7(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Shards are the unit in which a training job streams and shuffles documents.
+SHARD_BYTES = 1 << 20
+
+
+@query("op8_sharding", f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || substr(md5(coalesce('k' || CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+lvl AS (SELECT unnest(generate_series(0, 40)) AS depth),
+tot AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS b, min(h) = max(h) AS one FROM d, lvl GROUP BY 1, 2),
+pick AS (
+  SELECT d.doc_id, d.n_bytes, d.h, min(tot.depth) AS depth FROM d JOIN tot ON d.h >> (60 - tot.depth) = tot.prefix
+  WHERE tot.b <= {SHARD_BYTES} OR tot.one GROUP BY ALL)
+SELECT doc_id, 's' || CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(h >> (60 - depth)), 60, '0'), CAST(depth AS INT)) END AS shard,
+       CAST(depth AS BIGINT) AS depth, CAST(n_bytes AS BIGINT) AS n_bytes
+FROM pick""")
+def op8(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@query("op9_html_extraction")
+def op9(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op10_bpe_round_trip")
 def op10(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
