@@ -9,8 +9,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, chat, decontam, html_text, langid, minhash, sharding
-from strata.llm.common import table
+from strata.llm import bpe, chat, decontam, embed_dedup, html_text, langid, minhash, packing, sharding, token_scan
+from strata.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_token_counts")
+def op1(spark, sf_dir):
+    return token_scan.token_counts(table(spark, sf_dir, "documents"), shared_path(spark, "token-files"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 @query("op2_language_id")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +77,25 @@ def op4(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_token_packing")
+def op5(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op6_embedding_near_dedup", """
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n ON n.a = vec_id""")
+def op6(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_minhash_near_dedup")
 def op7(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
