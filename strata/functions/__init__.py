@@ -1,5 +1,5 @@
 from strata.functions.columns import (  # noqa: F401
-    band_rule, between, clip_lower, close_vocab, cyclical, eq_flag, fill_where, geo_prefix, is_in,
+    add_flag, band_rule, between, clip_lower, close_vocab, cyclical, eq_flag, fill_where, geo_prefix, is_in,
     minute_of_day, parse_hm, recode, residual, score100, time_index, to_float, to_int,
 )
 from strata.functions.geo import (  # noqa: F401

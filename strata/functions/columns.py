@@ -7,7 +7,7 @@ import math
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -75,6 +75,12 @@ def eq_flag(col: ColumnOrName, value: Any) -> Column:
     return _c(col).eqNullSafe(F.lit(value)).cast("int")
 
 
+def add_flag(df: DataFrame, col: str, value: Any, out: str, keep_existing: bool = True) -> DataFrame:
+    """``df`` with the flag ``out``; a column of that name is kept as it is, or
+    replaced if not ``keep_existing``."""
+    return df if keep_existing and out in df.columns else df.withColumn(out, eq_flag(col, value))
+
+
 def band_rule(col: ColumnOrName, bands: Sequence[tuple[float, Any]], else_label: Any,
               null_label: Any = None) -> Column:
     """Ordered numeric bands: first ``value < upper`` wins, else ``else_label``.

@@ -13,7 +13,7 @@ from strata.functions.columns import close_vocab, cyclical, minute_of_day, parse
 
 def binary_encode(df: DataFrame, col: str, mapping: Mapping[Any, int], default: int | None = None) -> DataFrame:
     """Two-value recode in place. ``default=None`` is strict (unmapped -> null,
-    caught by a domain gate); ``default=0`` is the lenient form."""
+    which the pipelines' gates fail on); ``default=0`` is the lenient form."""
     return df.withColumn(col, recode(col, mapping, default).cast("int"))
 
 

@@ -19,9 +19,11 @@ Execution:
    keys (partial aggregation), joins the statistic onto the open null bins and
    cuts the lineage (checkpoint), so the plan never doubles per tier; medians
    of groups with too many distinct values use exact rank refinement.
-3. the fills are joined back onto the null rows only: broadcast when the null
-   bin count (measured) is under a bound, otherwise a shuffle join of just the
-   null rows, unioned with the untouched rows.
+3. the fills of all columns are joined back: while the fill tables' measured
+   bytes are under a bound, broadcast joins in one pass over the rows; otherwise
+   the rows are split once into those with and without any open cell, only the
+   former go through the (shuffle) joins, and the two parts are unioned: two
+   scans, however many columns.
 
 Null keys never form a group: an equi-join does not match a null key, so a
 row with a null key is left for a later tier, as pandas does.
@@ -35,13 +37,15 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from strata.operators.stats import CONST_KEY, MAX_DISTINCT, group_stat
-from strata.session import cut_lineage, materialize
+from strata.session import BROADCAST_BYTES, cut_lineage, materialize
 
-BROADCAST_FILL_ROWS = 2_000_000
 WINDOW_MAX_BINS = MAX_DISTINCT
 GROUP_STATS = ("median", "mode", "mean")
 
@@ -80,9 +84,20 @@ def prov_cols(col: str) -> tuple[str, str]:
 class Fills:
     """A cascade's result in bin space: one row per null-key combination."""
     col: str
-    table: DataFrame     # keys..., _fill, _rule
+    table: DataFrame     # keys..., _fill, _rule, _n (cells)
     keys: list[str]
-    n_rows: int          # measured
+    n_bytes: int         # measured
+
+
+def widen(df: DataFrame, col: str, tiers: Sequence[Tier]) -> DataFrame:
+    """An integral column that a median or mean can fill becomes double, as the
+    statistic need not be a whole number; NaN of a fractional column is null."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.IntegralType) and any(t.stat in ("median", "mean") for t in tiers):
+        return df.withColumn(col, F.col(col).cast("double"))
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return df.withColumn(col, F.when(~F.isnan(col), F.col(col)))
+    return df
 
 
 def cascade_fills(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str = "auto",
@@ -95,7 +110,8 @@ def cascade_fills(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str
     bin table has at most ``window_max_bins`` rows (so no window partition can
     exceed it), else ``bins``.
     """
-    bins, group_keys, null_keys, dtype, n_total, n_null = _bin_table(df, col, tiers)
+    df = widen(df, col, tiers)
+    bins, group_keys, null_keys, dtype, n_total, n_bytes = _bin_table(df, col, tiers)
     if strategy == "auto":
         strategy = "window" if n_total <= window_max_bins else "bins"
     if strategy == "window":
@@ -106,34 +122,35 @@ def cascade_fills(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str
         raise ValueError(f"unknown strategy {strategy!r}")
     if materialize_fills:
         fills = cut_lineage(fills)
-    return Fills(col, fills, null_keys, n_null)
+    return Fills(col, fills, null_keys, n_bytes)
 
 
 def _bin_table(df: DataFrame, col: str, tiers: Sequence[Tier]):
-    """One scan: value bins at the finest tier grain + null bins (map-side
-    combined), checkpointed and measured."""
+    """One scan: value bins at the finest tier grain + null bins, from one
+    map-side combined count, checkpointed and measured. Null bins also keep the
+    values that a ``derive`` tier reads. The bytes are those of the null bins."""
     group_keys = _uniq([k for t in tiers if t.stat in GROUP_STATS for k in t.keys])
     null_keys = _uniq(group_keys + [t.derive_from for t in tiers if t.stat == "derive" and t.derive_from])
     dtype = df.schema[col].dataType
-    src = df.select(*null_keys, col)
-    vals = (src.filter(F.col(col).isNotNull()).groupBy(*group_keys, col).agg(F.count(F.lit(1)).alias("_n"))
-            .select(*[F.col(k) if k in group_keys else F.lit(None).alias(k) for k in null_keys],
-                    F.col(col).alias("_v"), "_n", F.lit(False).alias("_isnull")))
-    nulls = (src.filter(F.col(col).isNull()).groupBy(*null_keys).agg(F.count(F.lit(1)).alias("_n"))
-             .select(*null_keys, F.lit(None).cast(dtype).alias("_v"), "_n", F.lit(True).alias("_isnull")))
-    bins, m = materialize(vals.unionByName(nulls).withColumn("_rule", F.lit(None).cast("string")),
-                          F.count_if(F.col("_isnull")).alias("n_null"))
-    return bins, group_keys, null_keys, dtype, m["count"], m["n_null"]
+    is_null = F.col(col).isNull()
+    at = [F.col(k) if k in group_keys else F.when(is_null, F.col(k)).alias(k) for k in null_keys]
+    counted = df.select(*at, F.col(col).alias("_v")).groupBy(*null_keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    shape = counted.select(*null_keys, "_v", "_n", F.col("_v").isNull().alias("_isnull"), F.lit(None).cast("string").alias("_rule"))
+    per_row = F.lit(64)
+    for k in null_keys:
+        per_row = per_row + F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 8
+    bins, m = materialize(shape, F.coalesce(F.sum(F.when(F.col("_isnull"), per_row.cast("long"))), F.lit(0)).alias("null_bytes"))
+    return bins, group_keys, null_keys, dtype, m["count"], m["null_bytes"]
 
 
 @dataclass
 class TierLookup:
     """A tier's statistic frozen on a reference table: ``table`` is
-    ``(keys..., _stat, _cnt)`` (``n_rows`` measured) for a keyed tier,
+    ``(keys..., _stat, _cnt)`` (``n_bytes`` measured) for a keyed tier,
     ``value`` for a global one; row rules carry neither."""
     tier: Tier
     table: DataFrame | None = None
-    n_rows: int = 0
+    n_bytes: int = 0
     value: Any = None
 
 
@@ -142,7 +159,7 @@ def ladder_lookups(df: DataFrame, col: str, tiers: Sequence[Tier]) -> list[TierL
     semantics (tier k sees the fills of tiers < k) and keep them as lookups.
     Applied in order to new rows (``apply_lookups``) they reproduce the
     cascade on ``df`` itself exactly, and they need no state on a stream."""
-    bins, group_keys, null_keys, dtype, n_total, _ = _bin_table(df, col, tiers)
+    bins, group_keys, null_keys, dtype, n_total, _ = _bin_table(widen(df, col, tiers), col, tiers)
     captured: list[TierLookup] = []
     _tiers_join(bins, tiers, group_keys, null_keys, dtype, n_total, capture=captured)
     return captured
@@ -150,11 +167,11 @@ def ladder_lookups(df: DataFrame, col: str, tiers: Sequence[Tier]) -> list[TierL
 
 def impute_cascade(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str = "auto",
                    window_max_bins: int = WINDOW_MAX_BINS,
-                   broadcast_rows: int = BROADCAST_FILL_ROWS) -> DataFrame:
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Fill ``col`` tier by tier. Adds ``_null_<col>`` (was null) and
     ``_rule_<col>`` (rule that filled it, null if none). See ``cascade_fills``."""
     f = cascade_fills(df, col, tiers, strategy, window_max_bins, materialize_fills=False)
-    return apply_fills(df, col, f.table, f.keys, broadcast=f.n_rows <= broadcast_rows)
+    return apply_fills(widen(df, col, tiers), [f], broadcast_bytes)
 
 
 def _tier_update(c: DataFrame, cols: Sequence[str], cond: Column, cand: Column, rule: str) -> DataFrame:
@@ -215,7 +232,7 @@ def _tiers_window(bins: DataFrame, tiers: Sequence[Tier], keys: Sequence[str], d
         else:
             cand, cond = _row_rule(t, dtype, open_)
             c = _tier_update(c, keys, cond, cand, t.rule)
-    return c.filter(F.col("_isnull")).select(*keys, F.col("_v").alias("_fill"), "_rule")
+    return c.filter(F.col("_isnull")).select(*keys, F.col("_v").alias("_fill"), "_rule", "_n")
 
 
 def _row_rule(t: Tier, dtype, open_: Column) -> tuple[Column, Column]:
@@ -244,7 +261,7 @@ def _tiers_join(bins: DataFrame, tiers: Sequence[Tier], group_keys: Sequence[str
             if capture is not None:
                 stats, sm = materialize(stats)
                 if tk:
-                    capture.append(TierLookup(t, stats, sm["count"]))
+                    capture.append(TierLookup(t, stats, sm["bytes"]))
                 else:
                     row = stats.collect()  # a global statistic: one row
                     capture.append(TierLookup(t, value=row[0]["_stat"] if row else None))
@@ -263,41 +280,46 @@ def _tiers_join(bins: DataFrame, tiers: Sequence[Tier], group_keys: Sequence[str
             if capture is not None:
                 capture.append(TierLookup(t))
         nb = cut_lineage(_tier_update(j, keys, cond, cand, t.rule))
-    return nb.select(*keys, F.col("_v").alias("_fill"), "_rule")
-
-
-def apply_fills(df: DataFrame, col: str, fills: DataFrame, keys: Sequence[str], broadcast: bool) -> DataFrame:
-    """Join a fill table ``(keys, _fill, _rule)`` onto the null cells of ``col``.
-    ``broadcast`` must come from a measured row count of ``fills``."""
-    was_null, rule = prov_cols(col)
-    renamed = fills.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "_fill", "_rule")
-    cols = [c for c in df.columns if c not in (was_null, rule)]
-
-    def finish(j: DataFrame, is_null: Column) -> DataFrame:
-        return j.select(*[F.coalesce(F.col(col), F.col("_fill")).alias(col) if c == col else F.col(c)
-                          for c in cols],
-                        is_null.alias(was_null), F.col("_rule").alias(rule))
-
-    on = [df[k].eqNullSafe(renamed[f"__k{i}"]) for i, k in enumerate(keys)]
-    if broadcast:
-        cond = [df[col].isNull()] + on
-        j = df.join(F.broadcast(renamed), cond, "left")
-        return finish(j, df[col].isNull())
-    # large fill table: shuffle only the null rows
-    nulls = df.filter(F.col(col).isNull())
-    on = [nulls[k].eqNullSafe(renamed[f"__k{i}"]) for i, k in enumerate(keys)]
-    filled = finish(nulls.join(renamed, on, "left"), F.lit(True))
-    kept = df.filter(F.col(col).isNotNull()).select(
-        *cols, F.lit(False).alias(was_null), F.lit(None).cast("string").alias(rule))
+    return nb.select(*keys, F.col("_v").alias("_fill"), "_rule", "_n")
+
+
+def _join_fills(df: DataFrame, f: Fills, broadcast: bool) -> DataFrame:
+    """One fill table onto the null cells of its column; a left join, so rows
+    whose cell is set match nothing."""
+    was_null, rule = prov_cols(f.col)
+    names = {k: f"__k{i}" for i, k in enumerate(f.keys)}
+    right = f.table.select(*[F.col(k).alias(n) for k, n in names.items()], "_fill", "_rule")
+    cond = [df[f.col].isNull()] + [df[k].eqNullSafe(right[n]) for k, n in names.items()]
+    j = df.join(F.broadcast(right) if broadcast else right, cond, "left")
+    return j.select(*[F.coalesce(F.col(f.col), F.col("_fill")).alias(c) if c == f.col else F.col(c)
+                      for c in df.columns if c not in (was_null, rule)],
+                    df[f.col].isNull().alias(was_null), F.col("_rule").alias(rule))
+
+
+def apply_fills(df: DataFrame, fills: Sequence[Fills], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join the fill tables onto the rows, in order, adding the provenance
+    columns. Small ones (measured bytes, all together) are broadcast in one pass;
+    otherwise only rows with an open cell go through the joins."""
+    if sum(f.n_bytes for f in fills) <= broadcast_bytes:
+        for f in fills:
+            df = _join_fills(df, f, True)
+        return df
+    some_open = reduce(lambda a, b: a | b, [F.col(f.col).isNull() for f in fills])
+    filled, kept = df.filter(some_open), df.filter(~some_open)
+    for f in fills:
+        filled = _join_fills(filled, f, False)
+        was_null, rule = prov_cols(f.col)
+        kept = kept.withColumns({was_null: F.lit(False), rule: F.lit(None).cast("string")})
     return filled.unionByName(kept)
 
 
 def apply_lookups(df: DataFrame, col: str, lookups: Sequence[TierLookup],
-                  broadcast_rows: int = BROADCAST_FILL_ROWS) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Fill ``col`` from frozen tier lookups, in tier order (first match wins).
     Row-wise plus lookup joins only, so it runs unchanged on a streaming
     DataFrame (stream-static joins). Adds the same provenance columns."""
     was_null, rule = prov_cols(col)
+    df = widen(df, col, [lk.tier for lk in lookups])
     dtype = df.schema[col].dataType
     out = df.withColumns({was_null: F.col(col).isNull(), rule: F.lit(None).cast("string")})
     for i, lk in enumerate(lookups):
@@ -306,7 +328,7 @@ def apply_lookups(df: DataFrame, col: str, lookups: Sequence[TierLookup],
         if lk.table is not None:
             s, c = f"__s{i}", f"__c{i}"
             tab = lk.table.select(*t.keys, F.col("_stat").alias(s), F.col("_cnt").alias(c))
-            tab = F.broadcast(tab) if lk.n_rows <= broadcast_rows else tab
+            tab = F.broadcast(tab) if lk.n_bytes <= broadcast_bytes else tab
             out = out.join(tab, list(t.keys), "left")
             cand = F.col(s).cast(dtype)
             cond = open_ & cand.isNotNull()
@@ -328,34 +350,50 @@ def _reads(tiers: Sequence[Tier]) -> set[str]:
     return {k for t in tiers for k in t.keys} | {t.derive_from for t in tiers if t.derive_from}
 
 
-def impute_all(df: DataFrame, plan: Sequence[tuple[str, Sequence[Tier]]], strategy: str = "auto",
-               broadcast_rows: int = BROADCAST_FILL_ROWS, max_parallel: int = 4) -> DataFrame:
-    """Several cascades with sequential semantics: a later cascade sees the
-    fills of every earlier column it reads (as a key or a derive input).
+Plan = Sequence[tuple[str, Sequence[Tier]]]
+
+
+def plan_fills(df: DataFrame, plan: Plan, strategy: str = "auto", broadcast_bytes: int = BROADCAST_BYTES,
+               max_parallel: int = 4) -> list[Fills]:
+    """Fill tables of several cascades with sequential semantics: a later cascade
+    sees the fills of every earlier column it reads (as a key or a derive input).
 
     A cascade that reads no earlier column does not wait for it: independent
     cascades compute their fill tables concurrently (one driver thread each
-    submitting Spark jobs), each from only the fills it depends on. All fill
-    tables are then applied to the rows in plan order."""
+    submitting Spark jobs under the caller's job group and pool), each from only
+    the fills it depends on."""
     plan = list(plan)
     futures: dict[str, Future] = {}
 
     def run(i: int) -> Fills:
         col, tiers = plan[i]
-        src = df
-        for dep_col, _ in plan[:i]:
-            if dep_col in _reads(tiers):
-                d = futures[dep_col].result()
-                src = apply_fills(src, dep_col, d.table, d.keys, broadcast=d.n_rows <= broadcast_rows)
-        return cascade_fills(src, col, tiers, strategy, materialize_fills=True)
+        deps = [futures[c].result() for c, _ in plan[:i] if c in _reads(tiers)]
+        return cascade_fills(apply_fills(df, deps, broadcast_bytes) if deps else df, col, tiers, strategy, materialize_fills=True)
 
     with ThreadPoolExecutor(max_workers=max_parallel) as pool:
         for i, (col, _) in enumerate(plan):
-            futures[col] = pool.submit(run, i)
-        results = [futures[col].result() for col, _ in plan]
-    for f in results:
-        df = apply_fills(df, f.col, f.table, f.keys, broadcast=f.n_rows <= broadcast_rows)
-    return df
+            futures[col] = pool.submit(inheritable_thread_target(df.sparkSession)(run), i)
+        return [futures[col].result() for col, _ in plan]
+
+
+def impute_all(df: DataFrame, plan: Plan, strategy: str = "auto", broadcast_bytes: int = BROADCAST_BYTES,
+               max_parallel: int = 4) -> DataFrame:
+    """Fill several columns (see ``plan_fills``); all fill tables are applied to
+    the rows at once, in plan order."""
+    for col, tiers in plan:
+        df = widen(df, col, tiers)
+    return apply_fills(df, plan_fills(df, plan, strategy, broadcast_bytes, max_parallel), broadcast_bytes)
+
+
+def plan_summary(fills: Sequence[Fills]) -> DataFrame:
+    """Cells per (column, rule), as ``rule_summary`` of the audit, straight from
+    the fill tables: no pass over the rows."""
+    cells = None
+    for f in fills:
+        one = f.table.select(F.lit(f.col).alias("column"), F.col("_rule").alias("rule_used"), "_n")
+        cells = one if cells is None else cells.unionAll(one)
+    return cells.groupBy("column", "rule_used").agg(
+        F.sum("_n").alias("n_cells"), F.sum(F.when(F.col("rule_used").isNotNull(), F.col("_n")).otherwise(F.lit(0))).alias("n_filled"))
 
 
 AUDIT_COLUMNS = ["original_row_index", "column", "geohash", "day", "timestamp",
@@ -386,3 +424,25 @@ def rule_summary(audit: DataFrame) -> DataFrame:
 
 def unfilled(audit: DataFrame) -> DataFrame:
     return audit.filter(~F.col("fill_successful"))
+
+
+def null_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows with a null in any of ``cols``."""
+    return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols]))
+
+
+def stack_audit(df: DataFrame, columns: Sequence[str], row_id: str = "row_id",
+                context: Sequence[str] = ("geohash", "day", "timestamp")) -> DataFrame:
+    """One row per null cell of ``columns``: row id, column, context; one scan."""
+    cells = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])
+    return df.select(F.col(row_id).alias("original_row_index"), F.explode(F.array_compact(cells)).alias("column"), *context)
+
+
+def fill_global(df: DataFrame, col: str, stat: str = "median") -> DataFrame:
+    """Nulls (and NaN) of ``col`` take its global statistic; an all-null column
+    stays null. The driver holds the one value."""
+    from strata.operators.profile import global_stats
+
+    df = widen(df, col, [Tier("global", stat=stat)])
+    value = global_stats(df, col, (stat,)).collect()[0][stat]
+    return df.withColumn(col, F.coalesce(F.col(col), F.lit(value).cast(df.schema[col].dataType)))

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import sys
+
 import numpy as np
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,10 @@ def residual_table(df: DataFrame, y: str, pred: str, keep: Sequence[str] = ("row
                      err.alias("error"), abs_err.alias("abs_error"))
 
 
+# The forward pass goes to the Python workers by value: they need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
+
 # --- fixed network scoring ---------------------------------------------------------
 
 # Layer layout of the scored network (Linear, BatchNorm, ReLU, Dropout blocks, then a
@@ -58,33 +65,33 @@ def mlp_layout(in_dim: int, hidden: Sequence[int] = HIDDEN) -> list[tuple[str, i
     return [(f"network.{4 * i}", dims[i], dims[i + 1]) for i in range(len(dims) - 1)]
 
 
-def init_mlp_weights(in_dim: int, seed: int = 0, hidden: Sequence[int] = HIDDEN) -> dict[str, np.ndarray]:
-    """Deterministic parameters (He-uniform linears, identity BatchNorm) for a
-    network of this layout — a stand-in where no trained checkpoint exists."""
-    rng = np.random.default_rng(seed)
+def init_mlp_weights(in_dim: int, hidden: Sequence[int] = HIDDEN) -> dict[str, np.ndarray]:
+    """Deterministic parameters (linears by a formula, identity BatchNorm) for a
+    network of this layout — a stand-in where no trained checkpoint exists.
+    ``weight[o, i] = sin(12.9898 * (o * fan_in + i + 1) + layer) * sqrt(6 / fan_in)``."""
     w: dict[str, np.ndarray] = {}
     layout = mlp_layout(in_dim, hidden)
     for i, (name, fi, fo) in enumerate(layout):
-        bound = np.sqrt(6.0 / fi)
-        w[f"{name}.weight"] = rng.uniform(-bound, bound, size=(fo, fi)).astype(np.float32)
-        w[f"{name}.bias"] = np.zeros(fo, dtype=np.float32)
+        at = np.arange(1, fo * fi + 1, dtype=np.float64)
+        w[f"{name}.weight"] = (np.sin(12.9898 * at + i) * np.sqrt(6.0 / fi)).reshape(fo, fi)
+        w[f"{name}.bias"] = np.zeros(fo)
         if i < len(layout) - 1:
             bn = f"network.{4 * i + 1}"
-            w[f"{bn}.weight"] = np.ones(fo, dtype=np.float32)
-            w[f"{bn}.bias"] = np.zeros(fo, dtype=np.float32)
-            w[f"{bn}.running_mean"] = np.zeros(fo, dtype=np.float32)
-            w[f"{bn}.running_var"] = np.ones(fo, dtype=np.float32)
+            w[f"{bn}.weight"] = np.ones(fo)
+            w[f"{bn}.bias"] = np.zeros(fo)
+            w[f"{bn}.running_mean"] = np.zeros(fo)
+            w[f"{bn}.running_var"] = np.ones(fo)
     return w
 
 
 def weights_from_table(table: DataFrame) -> dict[str, np.ndarray]:
     """Weights table -> arrays. Bounded by the model size, not the data."""
-    return {r["name"]: np.asarray(r["values"], dtype=np.float32).reshape(r["shape"]) for r in table.collect()}
+    return {r["name"]: np.asarray(r["values"], dtype=np.float64).reshape(r["shape"]) for r in table.collect()}
 
 
 def mlp_forward(x: np.ndarray, w: dict[str, np.ndarray], n_layers: int) -> np.ndarray:
     """Eval-mode forward pass (dropout is the identity, BatchNorm uses running stats)."""
-    h = x.astype(np.float32)
+    h = x.astype(np.float64)
     for i in range(n_layers):
         name = f"network.{4 * i}"
         h = h @ w[f"{name}.weight"].T + w[f"{name}.bias"]
@@ -100,7 +107,7 @@ def mlp_score(df: DataFrame, features: Sequence[str], weights: dict[str, np.ndar
               keep: Sequence[str] = ("row_id",), out: str = "prediction") -> DataFrame:
     """Batch inference with ``mapInPandas``: the weights go out once as a
     broadcast variable; each Arrow batch (``spark.sql.execution.arrow.
-    maxRecordsPerBatch`` rows) is one float32 matrix product chain."""
+    maxRecordsPerBatch`` rows) is one matrix product chain in double precision."""
     spark = df.sparkSession
     bw = spark.sparkContext.broadcast(weights)
     n_layers = sum(1 for k in weights if k.endswith(".weight") and f"{k[:-7]}.running_mean" not in weights)
@@ -110,7 +117,7 @@ def mlp_score(df: DataFrame, features: Sequence[str], weights: dict[str, np.ndar
     def score(batches):
         w = bw.value
         for pdf in batches:
-            y = mlp_forward(pdf[feats].to_numpy(dtype=np.float32), w, n_layers)
+            y = mlp_forward(pdf[feats].to_numpy(dtype=np.float64), w, n_layers)
             res = pdf[keep].copy()
             res[out] = y.astype(np.float64)
             yield res

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.operators.stats import group_stat, quantiles, value_bins
+from strata.operators.stats import present, quantiles, statistics, value_bins
 from strata.session import materialize
 
 
@@ -84,26 +84,26 @@ def shape_profile(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def global_stats(df: DataFrame, col: str, stats: Sequence[str] = ("mean", "median")) -> DataFrame:
-    """One row: global mean / median / mode of ``col`` (exact; skew-safe)."""
-    bins = value_bins(df, [], col)
-    out = None
-    for s in stats:
-        one = group_stat(bins, [], col, s, out=s, count_out=None).withColumn("_k", F.lit(0))
-        out = one if out is None else out.join(one, "_k")
-    return out.drop("_k")
+def global_stats(df: DataFrame, col: str, stats: Sequence[str] = ("mean", "median"),
+                 names: Sequence[str] | None = None) -> DataFrame:
+    """One row: global mean / median / mode / count of ``col`` (exact;
+    skew-safe); nulls if the column has no value."""
+    return statistics(value_bins(df, [], col), [], col, stats, list(names or stats))
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], col: str, stats: Sequence[str] = ("mean", "median"),
                 names: Sequence[str] | None = None) -> DataFrame:
-    """Per-group statistics from one set of value bins."""
-    names = list(names or stats)
-    bins = value_bins(df, keys, col)
-    out = None
-    for s, nm in zip(stats, names):
-        one = group_stat(bins, keys, col, s, out=nm, count_out=None)
-        out = one if out is None else out.join(one, list(keys), "full")
-    return out
+    """Per-group statistics from one set of value bins (one scan, one
+    aggregation). Null keys form no group; a group without values has no row."""
+    return statistics(value_bins(df, keys, col), keys, col, stats, list(names or stats))
+
+
+def group_count(df: DataFrame, keys: Sequence[str], col: str, out: str = "n") -> DataFrame:
+    """Values of ``col`` per group, 0 included; null keys form no group."""
+    rows = df
+    for k in keys:
+        rows = rows.filter(F.col(k).isNotNull())
+    return rows.groupBy(*keys).agg(F.count(F.when(present(df, col), F.lit(1))).alias(out))
 
 
 def head_by(df: DataFrame, order: Sequence[str] | str, n: int = 5) -> DataFrame:

@@ -12,9 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.stats import group_stat, value_bins
-
-BROADCAST_LOOKUP_ROWS = 1_000_000
+from strata.operators.profile import group_count, group_stats
+from strata.session import BROADCAST_BYTES, materialize
 
 
 class SchemaError(ValueError):
@@ -49,22 +48,21 @@ def split_label(df: DataFrame, candidates: Sequence[str], keep: Sequence[str] =
 
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str] | str, defaults: Mapping[str, object] | None = None,
-           broadcast_rows: int | None = BROADCAST_LOOKUP_ROWS, check_unique: bool = False,
-           n_rows: int | None = None) -> DataFrame:
+           broadcast_bytes: int | None = BROADCAST_BYTES, check_unique: bool = False,
+           n_bytes: int | None = None) -> DataFrame:
     """Left equi-join onto a unique-key table; missing matches take ``defaults``.
 
-    The lookup side is broadcast only when its measured row count is within
-    ``broadcast_rows``; otherwise the planner's shuffle join (AQE splits a
+    The lookup side is written once, measured, and broadcast only within
+    ``broadcast_bytes``; otherwise the planner's shuffle join (AQE splits a
     skewed key). ``check_unique`` fails on duplicate keys (they would multiply
-    rows). ``n_rows``: the table's already measured row count, if known."""
+    rows). ``n_bytes``: the table's already measured bytes, if known."""
     on = [on] if isinstance(on, str) else list(on)
-    if check_unique:
-        dup = table.groupBy(*on).count().filter(F.col("count") > 1).limit(1).count()
-        if dup:
-            raise ValueError(f"lookup key {on} is not unique")
-    right = table
-    if broadcast_rows is not None and (n_rows if n_rows is not None else table.count()) <= broadcast_rows:
-        right = F.broadcast(table)
+    if n_bytes is None and (check_unique or broadcast_bytes is not None):
+        table, m = materialize(table)
+        n_bytes = m["bytes"]
+    if check_unique and not table.groupBy(*on).count().filter(F.col("count") > 1).isEmpty():
+        raise ValueError(f"lookup key {on} is not unique")
+    right = F.broadcast(table) if broadcast_bytes is not None and n_bytes <= broadcast_bytes else table
     out = df.join(right, on, "left")
     if defaults:
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
@@ -93,17 +91,24 @@ def zip_by_key(a: DataFrame, b: DataFrame, key: str = "row_id") -> DataFrame:
     return a.join(b, key, "inner")
 
 
-def group_transform(df: DataFrame, keys: Sequence[str], col: str, stat: str, out: str) -> DataFrame:
-    """Group statistic attached to every row (``groupby.transform``).
+def group_transform(df: DataFrame, keys: Sequence[str], col: str, stat: str | Mapping[str, str], out: str | None = None,
+                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Group statistics attached to every row (``groupby.transform``): one
+    ``stat`` as ``out``, or several as ``{out: stat}`` from the same bins.
 
-    Computed as value bins -> per-group statistic -> join back, not as a
-    window: the aggregate is map-side combined and the join can be split by
-    AQE on a hot key, where a window would put a hot group into one task.
-    Null keys get null (they form no group)."""
+    Computed as value bins -> per-group statistics (one aggregation) -> lookup,
+    not as a window: the aggregate is map-side combined, so a hot group never
+    lands in one task. The statistics are broadcast while their measured bytes
+    allow; beyond, the join is split by AQE on a hot key. Null keys get null
+    (they form no group)."""
     keys = list(keys)
-    if stat == "count":
-        g = df.groupBy(*keys).agg(F.count(col).alias(out))
+    stats = {out: stat} if isinstance(stat, str) else dict(stat)
+    if set(stats.values()) == {"count"}:
+        g = group_count(df, keys, col, "_n")
+        g = g.select(*keys, *[F.col("_n").alias(o) for o in stats])
     else:
-        g = group_stat(value_bins(df, keys, col), keys, col, stat, out=out, count_out=None)
-    g = g.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    return df.join(g, keys, "left").select(*df.columns, out)
+        g = group_stats(df, keys, col, list(stats.values()), list(stats))
+    j = lookup(df, g, keys, broadcast_bytes=broadcast_bytes)
+    counts = {o: F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.coalesce(F.col(o), F.lit(0)))
+              for o, s in stats.items() if s == "count"}
+    return j.withColumns(counts).select(*df.columns, *stats)

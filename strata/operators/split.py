@@ -27,13 +27,13 @@ def split_cutoff(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = 42,
     """The largest hash inside the validation set (``None`` if it is empty).
 
     Reads only the row-id column. Each level is one small job over a bounded
-    histogram; a level is skipped once the boundary bucket holds at most
-    ``direct_rows`` rows, which are then ranked directly (a top-k)."""
+    histogram of the next four digits; levels go on until the boundary bucket
+    holds at most ``direct_rows`` rows (or the hash ends), which are then ranked
+    directly (a top-k)."""
     hashed = df.select(split_hash(row_id, seed).alias("_h"))
     prefix, need, n_bucket = "", None, None
-    for depth in (4, 8):  # 65,536 buckets per level: ~n / 2**32 rows remain after two
-        if n_bucket is not None and n_bucket <= direct_rows:
-            break
+    while n_bucket is None or (n_bucket > direct_rows and len(prefix) < 32):
+        depth = len(prefix) + 4  # 65,536 buckets per level
         sub = hashed.filter(F.col("_h").startswith(prefix)) if prefix else hashed
         hist = sub.groupBy(F.substring("_h", 1, depth).alias("_p")).count().orderBy("_p").collect()
         if need is None:
@@ -45,6 +45,8 @@ def split_cutoff(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = 42,
                 prefix, n_bucket = row["_p"], row["count"]
                 break
             need -= row["count"]
+    if len(prefix) == 32:
+        return prefix
     last = (hashed.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(need)
             .agg(F.max("_h").alias("m")).collect())
     return last[0]["m"]

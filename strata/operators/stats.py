@@ -14,10 +14,12 @@ From bins:
   ``percentile(value, 0.5, n)`` aggregate when every group has at most
   ``max_distinct`` distinct values; its buffer is a value->count map of one
   group. Groups with more distinct values (a hot group of a continuous column,
-  or a global median) are resolved by bucket refinement: count per
-  equal-width bucket (<= ``buckets`` rows per group), keep only the bucket
-  holding the target rank, repeat until it holds few distinct values, then
-  rank inside it. No group is ever gathered whole into one task.
+  or a global median) are resolved by refinement: the distinct values still in
+  question are cut at their approximate ``buckets``-quantiles, only the part
+  holding the target rank is kept, and so on until it holds at most
+  ``max_distinct`` values, which are ranked. A part holds a bounded share of the
+  values, however they are spread, so every round shrinks by a factor. No group
+  is ever gathered whole into one task.
 """
 
 from __future__ import annotations
@@ -29,14 +31,49 @@ from pyspark.sql import functions as F
 
 CONST_KEY = "_g"
 MAX_DISTINCT = 1_000_000  # per-group value map bound: ~80 MB of task buffer
-BUCKETS = 1024
-BROADCAST_GROUPS = 1_000_000
+BUCKETS = 32
 
 
-def value_bins(df: DataFrame, keys: Sequence[str], value: str, n: str = "_n") -> DataFrame:
-    """``(keys, value, n)`` over the non-null values of ``value``."""
-    return (df.filter(F.col(value).isNotNull())
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n)))
+def present(df: DataFrame, col: str):
+    """Not null, and not NaN in a floating-point column."""
+    ok = F.col(col).isNotNull()
+    return ok & ~F.isnan(col) if df.schema[col].dataType.typeName() in ("double", "float") else ok
+
+
+def value_bins(df: DataFrame, keys: Sequence[str], value: str, n: str = "_n", null_keys: bool = False) -> DataFrame:
+    """``(keys, value, n)`` over the values of ``value`` (null and NaN are none).
+    Rows with a null key form no group, unless ``null_keys``."""
+    rows = df.filter(present(df, value))
+    if not null_keys:
+        for k in keys:
+            rows = rows.filter(F.col(k).isNotNull())
+    return rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+
+
+def statistics(bins: DataFrame, keys: Sequence[str], value: str, stats: Sequence[str], names: Sequence[str],
+               n: str = "_n", max_distinct: int | None = None, n_bins: int | None = None) -> DataFrame:
+    """Mean, median, mode and count per group from one bin table (one row per
+    group and value), in one aggregation while every group has at most
+    ``max_distinct`` values (``n_bins``: a known bound; else the bins are written once and counted). Without keys: one
+    row, nulls if there is no value."""
+    from strata.session import materialize
+
+    max_distinct = MAX_DISTINCT if max_distinct is None else max_distinct
+    if n_bins is None:
+        bins, m = materialize(bins)
+        n_bins = m["count"]
+    v, w = F.col(value), F.col(n)
+    one = {"mean": lambda: F.sum(v * w) / F.sum(w), "count": lambda: F.coalesce(F.sum(w), F.lit(0)),
+           "mode": lambda: F.min(F.struct((-w).alias("neg"), v.alias("v")))["v"],
+           "median": lambda: F.percentile(v.cast("double"), F.lit(0.5), w)}
+    if n_bins <= max_distinct or "median" not in stats:
+        return bins.groupBy(*keys).agg(*[one[s]().alias(nm) for s, nm in zip(stats, names)])
+    rest = [(s, nm) for s, nm in zip(stats, names) if s != "median"]
+    b, k = _keyed(bins, keys)
+    med = group_median(b, k, value, n=n, out="_median", count_out=None, max_distinct=max_distinct)
+    others = b.groupBy(*k).agg(*[one[s]().alias(nm) for s, nm in rest], F.sum(n).alias("_any"))
+    j = others.join(med, k, "left")
+    return _unkey(j.select(*k, *[F.col("_median").alias(nm) if s == "median" else F.col(nm) for s, nm in zip(stats, names)]), keys)
 
 
 def _keyed(bins: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -88,6 +125,8 @@ def group_quantile(bins: DataFrame, keys: Sequence[str], value: str, q: float, n
     """Exact ``q`` quantile per group (position ``q*(N-1)``, linear
     interpolation — ``percentile`` / ``quantile_cont``), from bins.
     ``max_distinct`` defaults to the module's ``MAX_DISTINCT`` at call time."""
+    from strata.session import BROADCAST_BYTES, materialize
+
     max_distinct = MAX_DISTINCT if max_distinct is None else max_distinct
     b, k = _keyed(bins, keys)
     b = b.withColumn(value, F.col(value).cast("double"))
@@ -103,11 +142,11 @@ def group_quantile(bins: DataFrame, keys: Sequence[str], value: str, q: float, n
             aggs.append(F.sum(n).alias(count_out))
         return _unkey(b.groupBy(*k).agg(*aggs), keys)
 
-    small = shape.filter(F.col("_D") <= max_distinct).select(*k)
-    big = shape.filter(F.col("_D") > max_distinct)
-    small_res = (b.join(small, k, "left_semi").groupBy(*k)
+    big, bm = materialize(shape.filter(F.col("_D") > max_distinct))
+    marked = F.broadcast(big) if bm["bytes"] <= BROADCAST_BYTES else big
+    small_res = (b.join(marked.select(*k), k, "left_anti").groupBy(*k)
                  .agg(F.percentile(F.col(value), F.lit(q), F.col(n)).alias(out), F.sum(n).alias("_N")))
-    big_res = _refine_quantile(b, big, k, value, n, out, max_distinct, buckets, n_big, q)
+    big_res = _refine_quantile(b, big, k, value, n, out, max_distinct, buckets, q)
     res = small_res.unionByName(big_res)
     if count_out:
         res = res.withColumnRenamed("_N", count_out)
@@ -117,13 +156,13 @@ def group_quantile(bins: DataFrame, keys: Sequence[str], value: str, q: float, n
 
 
 def _refine_quantile(b: DataFrame, big: DataFrame, k: list[str], value: str, n: str, out: str,
-                     max_distinct: int, buckets: int, n_big: int, q: float) -> DataFrame:
+                     max_distinct: int, buckets: int, q: float) -> DataFrame:
     """Quantile of groups with many distinct values, by rank selection."""
     from strata.session import cut_lineage
 
     # one row per (group, value): bins may repeat a value (e.g. observed
     # values plus fills), and the rank window below needs distinct values
-    b = b.join(big.select(*k), k, "left_semi").groupBy(*k, value).agg(F.sum(n).alias(n))
+    b = cut_lineage(b.join(big.select(*k), k, "left_semi").groupBy(*k, value).agg(F.sum(n).alias(n)))
 
     pos = (F.col("_N") - 1) * F.lit(q)
     ranks = big.select(*k, "_N", F.floor(pos).cast("long").alias("_r_lo"),
@@ -134,26 +173,24 @@ def _refine_quantile(b: DataFrame, big: DataFrame, k: list[str], value: str, n:
              .unionByName(ranks.select(*k, F.lit(1).alias("_side"), F.col("_r_hi").alias("_r"),
                                        "_lo", "_hi", "_D"))
              .withColumn("_below", F.lit(0).cast("long")))
-    small_state = n_big <= BROADCAST_GROUPS
 
     def candidates(st: DataFrame) -> DataFrame:
-        st = F.broadcast(st) if small_state else st
         return (b.join(st, k)
                 .filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi"))))
 
-    for _ in range(8):
-        if state.filter(F.col("_D") > max_distinct).limit(1).count() == 0:
-            break
-        width = F.col("_hi") - F.col("_lo")
-        bucket = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * buckets),
-                                           F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-        per_bucket = (candidates(state).withColumn("_b", bucket)
-                      .groupBy(*k, "_side", "_r", "_below", "_b")
-                      .agg(F.sum(n).alias("_c"), F.count(F.lit(1)).alias("_d"),
-                           F.min(value).alias("_blo"), F.max(value).alias("_bhi")))
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    while not state.filter(F.col("_D") > max_distinct).isEmpty():
+        cand = candidates(state)
+        # bounds from the distinct values: each part holds about 1/buckets of them
+        bounds = cand.groupBy(*k, "_side").agg(F.percentile_approx(F.col(value), cuts, 100 * buckets).alias("_cuts"))
+        part = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
+        per_part = (cand.join(bounds, [*k, "_side"]).withColumn("_b", part)
+                    .groupBy(*k, "_side", "_r", "_below", "_b")
+                    .agg(F.sum(n).alias("_c"), F.count(F.lit(1)).alias("_d"),
+                         F.min(value).alias("_blo"), F.max(value).alias("_bhi")))
         w = Window.partitionBy(*k, "_side").orderBy("_b")  # <= `buckets` rows per partition
         cum = F.sum("_c").over(w)
-        picked = (per_bucket.withColumn("_cum", cum)
+        picked = (per_part.withColumn("_cum", cum)
                   .filter((F.col("_cum") - F.col("_c") <= F.col("_r") - F.col("_below"))
                           & (F.col("_r") - F.col("_below") < F.col("_cum"))))
         state = cut_lineage(picked.select(
@@ -200,8 +237,3 @@ def group_stat(bins: DataFrame, keys: Sequence[str], value: str, stat: str, n: s
         return group_median(bins, keys, value, n=n, out=out, count_out=count_out, bins_bound=bins_bound)
     fn = {"mode": group_mode, "mean": group_mean}[stat]
     return fn(bins, keys, value, n=n, out=out, count_out=count_out)
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median of ``value`` per group straight from a row table."""
-    return group_median(value_bins(df, keys, value), keys, value, out=out, count_out=None)

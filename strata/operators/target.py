@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.relational import lookup
-from strata.operators.stats import group_stat, value_bins
+from strata.operators.stats import statistics, value_bins
 from strata.session import materialize
 
 
@@ -22,7 +22,7 @@ class TargetEncoding:
     median_col: str
     global_mean: float | None
     global_median: float | None
-    n_keys: int | None = None  # measured rows of ``table``
+    n_bytes: int | None = None  # measured bytes of ``table``
 
 
 def target_encode_fit(train: DataFrame, key: str, y: str, prefix: str | None = None) -> TargetEncoding:
@@ -32,19 +32,14 @@ def target_encode_fit(train: DataFrame, key: str, y: str, prefix: str | None = N
     its measured row count decides whether an apply may broadcast it."""
     prefix = prefix or f"{key}_target"
     mean_col, median_col = f"{prefix}_mean", f"{prefix}_median"
-    bins, m = materialize(value_bins(train, [key], y))
-    bound = m["count"]
-    per_key = (group_stat(bins, [key], y, "mean", out=mean_col, count_out=None)
-               .join(group_stat(bins, [key], y, "median", out=median_col, count_out=None, bins_bound=bound), key))
-    table, tm = materialize(per_key)
-    gbins = bins.groupBy(y).agg(F.sum("_n").alias("_n"))
-    g = (group_stat(gbins, [], y, "mean", out="m", count_out=None).withColumn("_k", F.lit(0))
-         .join(group_stat(gbins, [], y, "median", out="md", count_out=None, bins_bound=bound)
-               .withColumn("_k", F.lit(0)), "_k").collect()[0])
-    return TargetEncoding(table, key, mean_col, median_col, g["m"], g["md"], tm["count"])
+    bins, m = materialize(value_bins(train, [key], y, null_keys=True))
+    table, tm = materialize(statistics(bins.filter(F.col(key).isNotNull()), [key], y, ("mean", "median"), (mean_col, median_col),
+                                         n_bins=m["count"]))
+    g = statistics(bins.groupBy(y).agg(F.sum("_n").alias("_n")), [], y, ("mean", "median"), ("m", "md"), n_bins=m["count"]).collect()[0]
+    return TargetEncoding(table, key, mean_col, median_col, g["m"], g["md"], tm["bytes"])
 
 
 def target_encode_apply(df: DataFrame, enc: TargetEncoding) -> DataFrame:
     """Left join the per-key statistics; unseen keys take the global values."""
     return lookup(df, enc.table, enc.key, defaults={enc.mean_col: enc.global_mean,
-                                                    enc.median_col: enc.global_median}, n_rows=enc.n_keys)
+                                                    enc.median_col: enc.global_median}, n_bytes=enc.n_bytes)

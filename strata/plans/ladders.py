@@ -93,10 +93,3 @@ def alt_plan():
 
 def drop_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*HELPERS)
-
-
-def const_plan(temperature: float = 16.3803):
-    """The cheap preparation: constant Temperature only."""
-    return [("Temperature", [Tier("constant", stat="const", value=temperature)])]
-
-

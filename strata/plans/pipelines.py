@@ -7,20 +7,22 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.columns import close_vocab, eq_flag
-from strata.functions.geo import with_geohash_coords
+from strata.functions.columns import add_flag, clip_lower, close_vocab, parse_hm
+from strata.functions.geo import is_valid_geohash, with_geohash_coords
 from strata.operators.encode import binary_encode, one_hot, time_features
 from strata.operators.impute import impute_all, prov_cols
 from strata.operators.model import mlp_score
+from strata.operators import quality
 from strata.operators.relational import align
 from strata.operators.scale import scaler_apply, scaler_fit, scaler_params
 from strata.operators.split import split_cutoff, split_flag
 from strata.operators.target import TargetEncoding, target_encode_apply, target_encode_fit
 from strata.plans import ladders
-from strata.functions.columns import clip_lower
+from strata.sources.io import submission
 
 # Vocabularies, binary maps and the model's ordered input contract.
 ROAD_TYPES = ["Residential", "Street", "Highway"]
@@ -53,6 +55,28 @@ def decode(df: DataFrame, rounded: bool = False, keep_err: bool = False) -> Data
     return with_geohash_coords(df, "geohash", rounded=rounded, keep_err=keep_err)
 
 
+def gate(df: DataFrame, imputed=IMPUTED) -> DataFrame:
+    """Row checks before encoding, without a pass of their own: filled columns
+    hold a value of their domain, minutes lie on the 15-minute grid, geohashes
+    decode (a valid one lies in the coordinates' range)."""
+    checks = quality.not_null(["Temperature"] if "Temperature" in imputed else [], nan=True)
+    checks += quality.domain("RoadType", ROAD_TYPES) if "RoadType" in imputed else []
+    checks += quality.domain("Weather", WEATHERS) if "Weather" in imputed else []
+    hour, minute = parse_hm("timestamp")
+    checks += [quality.Check("slots:minute", ~F.coalesce(minute.isin([0, 15, 30, 45]), F.lit(False))),
+               quality.Check("range:hour", ~F.coalesce(hour.between(0, 23), F.lit(False))),
+               quality.Check("domain:geohash", ~F.coalesce(is_valid_geohash("geohash"), F.lit(False)))]
+    return quality.guard(df, checks)
+
+
+def gate_features(df: DataFrame) -> DataFrame:
+    """Row checks on encoded features: binary domains, one class per one-hot set."""
+    checks = quality.domain("LargeVehicles", [0, 1]) + quality.domain("Landmarks", [0, 1])
+    checks += quality.onehot_sum([f"RoadType_{v}" for v in ROAD_TYPES], "RoadType")
+    checks += quality.onehot_sum([f"Weather_{v}" for v in WEATHERS], "Weather")
+    return quality.guard(df, checks)
+
+
 def encode(df: DataFrame, keep_time_parts: bool = True) -> DataFrame:
     """Binary maps, time of day, closed-vocabulary one-hots, day flag."""
     df = binary_encode(df, "LargeVehicles", LARGE_VEHICLES)
@@ -60,24 +84,27 @@ def encode(df: DataFrame, keep_time_parts: bool = True) -> DataFrame:
     df = time_features(df, "timestamp", keep_parts=keep_time_parts)
     df = one_hot(df, "RoadType", ROAD_TYPES, default="Residential")
     df = one_hot(df, "Weather", WEATHERS, default="Sunny")
-    return df.withColumn("is_day_49", eq_flag("day", 49)).drop("day")
+    return add_flag(df, "day", 49, "is_day_49").drop("day")
 
 
 def fit_target(train_rows: DataFrame) -> TargetEncoding:
     return target_encode_fit(train_rows, "geohash", "demand", prefix="geohash_target")
 
 
-def train_features(readings: DataFrame, strategy: str = "auto") -> tuple[DataFrame, TargetEncoding]:
+def train_features(readings: DataFrame, strategy: str = "auto", enforce: bool = True) -> tuple[DataFrame, TargetEncoding]:
     """Training path: impute -> exact decode -> encode -> exact 80/20 split ->
     target encoding fitted on training rows -> (row_id, 21 features, demand, is_val).
 
     The split and the target statistics depend only on columns that are never
     imputed (row_id, geohash, demand), so both are fitted on a narrow scan of
     the raw table; the split is then a row predicate and the encoding a lookup
-    on the imputed frame, whose plan runs once."""
+    on the imputed frame, whose plan runs once. ``enforce``: a row that breaks a
+    gate fails the job that reads the result."""
     cutoff = split_cutoff(readings, "row_id", VAL_FRACTION, SPLIT_SEED)
     enc = train_encoding_from_raw(readings, cutoff)
-    df = encode(decode(_drop_provenance(clean(readings, strategy=strategy))))
+    df = _drop_provenance(clean(readings, strategy=strategy))
+    df = encode(decode(gate(df) if enforce else df))
+    df = gate_features(df) if enforce else df
     df = target_encode_apply(df.withColumn("is_val", split_flag("row_id", cutoff, SPLIT_SEED)), enc)
     return df.select("row_id", *FEATURES, "demand", "is_val"), enc
 
@@ -91,15 +118,15 @@ def train_encoding_from_raw(train_raw: DataFrame, cutoff: str | None | bool = Fa
     return fit_target(train)
 
 
-def serve_features(test: DataFrame, train_raw: DataFrame, strategy: str = "auto") -> DataFrame:
+def serve_features(test: DataFrame, train_raw: DataFrame, strategy: str = "auto", enforce: bool = True) -> DataFrame:
     """Serving path on a test table (statistics from the test table itself):
     serving ladder -> rounded decode -> encode -> target encoding from the raw
     training table -> (row_id, 21 ordered features)."""
     df = _drop_provenance(clean(test, ladders.serving_plan(), strategy=strategy))
     df = df.withColumns({"Weather": close_vocab("Weather", WEATHERS, "Sunny"),
                          "RoadType": close_vocab("RoadType", ROAD_TYPES, "Residential")})
-    df = encode(decode(df, rounded=True), keep_time_parts=False)
-    df = target_encode_apply(df, train_encoding_from_raw(train_raw))
+    df = encode(decode(gate(df) if enforce else df, rounded=True), keep_time_parts=False)
+    df = target_encode_apply(gate_features(df) if enforce else df, train_encoding_from_raw(train_raw))
     return align(df, FEATURES, keep=["row_id"])
 
 
@@ -114,23 +141,44 @@ def const_features(test: DataFrame, train_raw: DataFrame, temperature: float = 1
     return df.drop("geohash")
 
 
+# The second test preparation's open categories and lenient flags.
+OPEN_ROAD_TYPES = ["Arterial", "Highway", "Street"]
+OPEN_WEATHERS = ["Clear", "Rainy", "Snowy"]
+LENIENT_MAP = {"Yes": 1, "No": 0}
+
+
+def alt_features(test: DataFrame, train_raw: DataFrame, strategy: str = "auto") -> DataFrame:
+    """The second test preparation: the alternative ladders, lenient Yes/No maps,
+    open-vocabulary one-hots, time of day over 1440 minutes, an existing day flag
+    kept, target encoding from the raw training table."""
+    df = _drop_provenance(clean(test, ladders.alt_plan(), strategy=strategy))
+    for c in ("LargeVehicles", "Landmarks"):
+        df = binary_encode(df, c, LENIENT_MAP, default=0)
+    df = one_hot(df, "RoadType", OPEN_ROAD_TYPES, skip_existing=True)
+    df = one_hot(df, "Weather", OPEN_WEATHERS, skip_existing=True)
+    df = time_features(df, "timestamp", style="day_minute", keep_parts=False)
+    df = add_flag(df, "day", 49, "is_day_49").drop("day")
+    return target_encode_apply(decode(df), train_encoding_from_raw(train_raw)).drop("geohash")
+
+
 def train_and_serve(readings: DataFrame, test: DataFrame, strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
     """Both feature paths, built concurrently: they share no intermediate
     result, so their (small, bounded) fitting jobs overlap on the cluster."""
+    inherit = inheritable_thread_target(readings.sparkSession)
     with ThreadPoolExecutor(max_workers=2) as pool:
-        tr = pool.submit(train_features, readings, strategy)
-        sv = pool.submit(serve_features, test, readings, strategy)
+        tr = pool.submit(inherit(train_features), readings, strategy)
+        sv = pool.submit(inherit(serve_features), test, readings, strategy)
         return tr.result()[0], sv.result()
 
 
 def score(features: DataFrame, train_features_df: DataFrame, weights: dict, clip: bool = True) -> DataFrame:
     """Scoring path: scaler refit on the training rows' continuous columns,
     applied to the serving features, batched network inference, clip at 0,
-    output contract ``Index, demand``."""
+    checked output contract ``Index, demand``."""
     train_rows = train_features_df.filter(~F.col("is_val"))
     params = scaler_params(scaler_fit(train_rows, CONTINUOUS), CONTINUOUS)
     scaled = scaler_apply(features, params)
     pred = mlp_score(scaled, FEATURES, weights, keep=["row_id"], out="demand")
     if clip:
         pred = pred.withColumn("demand", clip_lower("demand", 0.0))
-    return pred.select(F.col("row_id").alias("Index"), "demand")
+    return submission(pred, "row_id", "demand")

@@ -11,6 +11,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
@@ -20,6 +21,7 @@ _LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
 }
@@ -59,16 +61,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Measured bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row in a broadcast table, about: text by its length, other
+    values 8, and 32 for the row."""
+    size = F.lit(32)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        size = size + (F.coalesce(F.octet_length(c), F.lit(0)) + 8 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8))
+    return size.cast("long")
+
+
 def materialize(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
     """Cut the lineage of ``df`` with a reliable checkpoint (written to the
     shared ``spark.checkpoint.dir``, so it survives executor loss; an eager
     reliable checkpoint computes and writes in one job) and return
-    (checkpointed frame, metrics). ``count`` (rows) is always measured; extra
-    aggregate ``metrics`` (aliased) come from the same small job over the
-    checkpointed data, which never re-runs the original plan."""
+    (checkpointed frame, metrics). ``count`` (rows) and ``bytes`` are always
+    measured; extra aggregate ``metrics`` (aliased) come from the same small job
+    over the checkpointed data, which never re-runs the original plan."""
     ensure_checkpoint_dir(df.sparkSession)
     ck = df.checkpoint(eager=True)
-    row = ck.agg(F.count(F.lit(1)).alias("count"), *metrics).collect()[0]
+    row = ck.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(row_bytes(ck)), F.lit(0)).alias("bytes"), *metrics).collect()[0]
     return ck, row.asDict()
 
 

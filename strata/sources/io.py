@@ -8,18 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The tokens pandas reads as missing by default (the subset the
-# reference's data can contain), plus the empty string.
-PANDAS_NA = ("", "NA", "N/A", "NULL", "null", "NaN", "nan", "n/a", "<NA>", "-NaN", "-nan", "None")
+from strata.operators.quality import GateError, guard, not_null
+
+# The tokens pandas reads as missing by default.
+PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+             "NaN", "None", "n/a", "nan", "null")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              null_tokens: Sequence[str] = PANDAS_NA) -> DataFrame:
-    """Header CSV -> typed table. Every field is read as a string first (never
-    inferred: ``"2:0"`` must not become a timestamp), null tokens become null,
-    then each column is cast to its declared type (ANSI: a bad value fails)."""
-    raw_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = spark.read.schema(raw_schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """Header CSV -> typed table. Columns are taken by their names in the header,
+    whatever their order; a missing one fails, further ones are left out, and
+    files with different headers fail. Every field is read as a string first
+    (never inferred: ``"2:0"`` must not become a timestamp), null tokens become
+    null, then each column is cast to its declared type (ANSI: a bad value
+    fails)."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+           .option("mode", "FAILFAST").csv(path))
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"missing columns in {path}: {missing}")
     tokens = list(null_tokens)
     cols = []
     for f in schema.fields:
@@ -59,6 +67,17 @@ def load_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def submission(df: DataFrame, id_col: str, pred_col: str, out: str = "demand",
-               id_out: str = "Index") -> DataFrame:
-    """Output contract ``Index, demand``."""
-    return df.select(F.col(id_col).cast("long").alias(id_out), F.col(pred_col).cast("double").alias(out))
+               id_out: str = "Index", expected: DataFrame | None = None, enforce: bool = True) -> DataFrame:
+    """Output contract ``Index, demand``. With ``enforce`` a row without an id or
+    a prediction (null, NaN) fails the job that reads the result. ``expected``:
+    the table whose ``id_col`` must come out, each id once; checked at once, in
+    one aggregation over both sides' ids."""
+    res = df.select(F.col(id_col).cast("long").alias(id_out), F.col(pred_col).cast("double").alias(out))
+    if expected is not None:
+        sides = (expected.select(F.col(id_col).cast("long").alias("id"), F.lit(1).alias("e"), F.lit(0).alias("g"))
+                 .unionAll(res.select(F.col(id_out).alias("id"), F.lit(0).alias("e"), F.lit(1).alias("g"))))
+        bad = sides.groupBy("id").agg(F.sum("e").alias("e"), F.sum("g").alias("g")).agg(
+            F.count_if((F.col("e") != F.col("g")) | (F.col("e") > 1) | F.col("id").isNull()).alias("n")).collect()[0]["n"]
+        if bad:
+            raise GateError(f"submission: {bad} ids are missing, repeated, null or unknown")
+    return guard(res, not_null([id_out, out], nan=True)) if enforce else res

@@ -145,7 +145,7 @@ def test_result_independent_of_partition_count(spark):
 def test_large_fill_table_uses_null_rows_join(spark):
     r = ladders.with_helpers(readings(spark, SF001))
     a = I.impute_cascade(r, "RoadType", ladders.road_ladder()).select("row_id", "RoadType", "_rule_RoadType")
-    b = I.impute_cascade(r, "RoadType", ladders.road_ladder(), broadcast_rows=0) \
+    b = I.impute_cascade(r, "RoadType", ladders.road_ladder(), broadcast_bytes=-1) \
         .select("row_id", "RoadType", "_rule_RoadType")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 

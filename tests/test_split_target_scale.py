@@ -57,7 +57,7 @@ def test_regression_metrics(spark):
 
 
 def test_mlp_score_matches_numpy(spark):
-    w = M.init_mlp_weights(3, seed=3, hidden=(8, 4, 2))
+    w = M.init_mlp_weights(3, hidden=(8, 4, 2))
     rng = np.random.default_rng(0)
     x = rng.normal(size=(50, 3)).astype(np.float32)
     df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "row_id long, a double, b double, c double")
