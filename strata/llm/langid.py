@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import rows_of, ships_by_value, task_slices
+from strata.llm.common import cut_lineage, rows_of, ships_by_value, task_slices
 
 #: Labelled documents used per language, at most.
 MAX_DOCS_PER_LANG = 1000
+#: Languages that a model can hold.
+MAX_LANGS = 1000
 #: Nats that a change of language costs.
 SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script that holds so much of its letters.
@@ -91,8 +93,11 @@ def training_sample(docs: DataFrame, chosen: Column, max_docs_per_lang: int = MA
     """
     named = docs.where(chosen & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, F.lit("langid")), F.lit(1 << 30)).alias("u"))
-    shares = docs.where(chosen & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().withColumn(
-        "cut", F.lit(1.5 * max_docs_per_lang * (1 << 30)) / F.col("count")).select("lang", "cut")
+    shares = cut_lineage(docs.where(chosen & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().withColumn(
+        "cut", F.lit(1.5 * max_docs_per_lang * (1 << 30)) / F.col("count")).select("lang", "cut"))
+    if shares.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    shares = F.broadcast(shares)  # a row per language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
     return named.join(shares, "lang").where("u < cut").withColumn("r", rank).where(F.col("r") <= max_docs_per_lang).select("lang", "text")
 
