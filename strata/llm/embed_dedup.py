@@ -178,12 +178,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     """``(vec_id, n_links, component_id, kept)`` of every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing, as do vectors of different lengths with each other.
+    link with nothing, as do rows without an id, and vectors of different lengths
+    with each other.
     Repeated rows (ids are meant to be unique) link as if they were others.
     Extra columns are not read; an empty table gives no rows.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].alias("embedding"))
-    usable = cut_lineage(rows.mapInArrow(_usable, "vec_id long, v binary, dim int"))
+    usable = cut_lineage(rows.where("vec_id is not null").mapInArrow(_usable, "vec_id long, v binary, dim int"))
     classes = usable.groupBy("v", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
     reps = cut_lineage(classes)
     dims = [r["dim"] for r in reps.select("dim").distinct().collect()]  # lengths of vectors: a few
