@@ -34,27 +34,32 @@ def _offsets(blocks: DataFrame, **sums: Column) -> DataFrame:
                       *[F.sum(k).over(whole).alias(f"{k}_all") for k in sums])
 
 
-def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``(conv, pos, role, text, n, p1, p2, f1, f2)``: the turns in order with
-    the running hash sums up to each (p) and of the conversation (f).
+def _rows(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    c = conversations
+    return c.select(c[conv_col].alias("conv"), c[turn_col].cast("long").alias("turn"), c[role_col].alias("role"), c[text_col].alias("text"),
+                    F.md5(c[text_col].cast("binary")).alias("digest")).where("conv is not null")
 
-    Repeated rows count once; turns order by number, role and text, nulls first;
-    rows without a conversation id belong to none and are left out.
+
+def turns(rows: DataFrame) -> DataFrame:
+    """``(conv, pos, turn, role, digest, n, p1, p2, f1, f2)``: the turns in order
+    with the running hash sums up to each (p) and of the conversation (f). Texts
+    do not travel here, only their digests.
+
+    Repeated rows count once; turns order by number, role and digest of the text,
+    nulls first; rows without a conversation id belong to none and are left out.
     """
-    rows = conversations.select(conversations[conv_col].alias("conv"), conversations[turn_col].cast("long").alias("turn"), conversations[role_col].alias("role"),
-                                conversations[text_col].alias("text")).where("conv is not null").distinct()
-    rows = rows.withColumn("blk", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+    rows = rows.select("conv", "turn", "role", "digest").distinct().withColumn("blk", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     size = _offsets(rows, n=F.count("*"))
-    order = Window.partitionBy("conv", "blk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = Window.partitionBy("conv", "blk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("digest").asc_nulls_first())
     at = rows.withColumn("k", F.row_number().over(order)).join(size, ["conv", "blk"])
     at = at.withColumn("pos", F.col("n_before") + F.col("k")).withColumnRenamed("n_all", "n")
     for j in (1, 2):  # two independent 64-bit hashes; sums are exact decimals
-        at = at.withColumn(f"h{j}", F.xxhash64(F.lit(j), "pos", F.col("role").isNull(), "role", F.col("text").isNull(), "text").cast("decimal(38,0)"))
-    at = cut_lineage(at.select("conv", "blk", "k", "pos", "n", "role", "text", "h1", "h2"))
+        at = at.withColumn(f"h{j}", F.xxhash64(F.lit(j), "pos", F.col("role").isNull(), "role", F.col("digest").isNull(), "digest").cast("decimal(38,0)"))
+    at = cut_lineage(at.select("conv", "blk", "k", "pos", "n", "turn", "role", "digest", "h1", "h2"))
     sums = _offsets(at, h1=F.sum("h1"), h2=F.sum("h2"))
     run = Window.partitionBy("conv", "blk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     out = at.withColumns({f"r{j}": F.sum(f"h{j}").over(run) for j in (1, 2)}).join(sums, ["conv", "blk"])
-    return out.select("conv", "pos", "role", "text", "n", *[(F.col(f"r{j}") + F.col(f"h{j}_before")).alias(f"p{j}") for j in (1, 2)],
+    return out.select("conv", "pos", "turn", "role", "digest", "n", *[(F.col(f"r{j}") + F.col(f"h{j}_before")).alias(f"p{j}") for j in (1, 2)],
                       *[F.col(f"h{j}_all").alias(f"f{j}") for j in (1, 2)])
 
 
@@ -74,8 +79,11 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     A turn without a role is rendered with an empty one, a null text as empty.
     Extra columns are not read; an empty table gives no rows.
     """
-    ordered = cut_lineage(turns(conversations, conv_col, turn_col, role_col, text_col))
-    kept = ordered.join(maximal(ordered), "conv")
+    rows = _rows(conversations, conv_col, turn_col, role_col, text_col)
+    ordered = cut_lineage(turns(rows))
+    kept = ordered.join(maximal(ordered), "conv").select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("role").alias("r"), F.col("digest").alias("d"), "pos", "n_copies")
     line = F.concat(F.lit(TURN_START), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(TURN_END + "\n"))
-    parts = kept.groupBy("conv", F.floor((F.col("pos") - 1) / BLOCK).alias("part"), "n_copies").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
+    same = (F.col("conv") == F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & F.col("role").eqNullSafe(F.col("r")) & F.col("digest").eqNullSafe(F.col("d"))
+    lines = rows.join(kept, same).select("conv", F.floor((F.col("pos") - 1) / BLOCK).alias("part"), "n_copies", F.struct("pos", line.alias("line")).alias("l"))
+    parts = lines.groupBy("conv", "part", "n_copies").agg(F.array_sort(F.collect_set("l")).alias("l"))  # a set: repeated rows meet here again
     return parts.select(F.col("conv").alias("conv_id"), "part", F.size("l").cast("long").alias("n_turns"), "n_copies", F.array_join("l.line", "").alias("chat"))

@@ -43,7 +43,7 @@ WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE co
 p AS (
   SELECT *, row_number() OVER o AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
          md5(string_agg(md5(coalesce('r' || role, 'null') || '|' || coalesce('t' || text, 'null')), '') OVER o) AS cum
-  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST ROWS UNBOUNDED PRECEDING)),
 whole AS (SELECT n, cum, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE pos = n GROUP BY n, cum),
 kept AS (SELECT conv_id, n_copies FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = whole.n AND p.cum = whole.cum))
 SELECT conv_id, CAST(floor((pos - 1) / 256) AS BIGINT) AS part, count(*) AS n_turns, n_copies,

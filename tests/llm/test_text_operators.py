@@ -393,7 +393,8 @@ def brute_chats(rows):
     for c, turn, role, text in set(rows):
         if c is not None:
             convs.setdefault(c, []).append((turn, role, text))
-    key = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
+    md5 = lambda x: x if x is None else hashlib.md5(x.encode()).hexdigest()
+    key = lambda t: tuple((x is not None, x if x is not None else 0) for x in (t[0], t[1], md5(t[2])))
     whole = {c: tuple(t[1:] for t in sorted(ts, key=key)) for c, ts in convs.items()}
     kept = {c for c, t in whole.items() if not any(o != c and (len(u) > len(t) and u[:len(t)] == t or u == t and o < c) for o, u in whole.items())}
     out = []
