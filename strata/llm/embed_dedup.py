@@ -33,11 +33,12 @@ from strata.llm.components import connected_components, forest
 
 THRESHOLD = 0.95
 #: Rows of a tile, and of the strips of a tile that are compared at once.
-TILE, STRIP = 2048, 512
+TILE, STRIP = 4096, 256
 #: Dimensions summed before the first and the second test.
-LEADING, SECOND = 8, 24
-#: Room for rounding in the bounds; the decision itself has none.
-SLACK = 1e-9
+LEADING, SECOND = 16, 32
+#: Room for rounding in the bounds (the first is formed in single precision, of
+#: numbers up to 1); the decision itself has none.
+ROUGH, SLACK = 1e-5, 1e-9
 #: Linked pairs a task holds before it merges them into its forest.
 HELD_PAIRS = 2_000_000
 
@@ -90,28 +91,28 @@ def _tile_links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, t
     ``a``, ``b`` are unit vectors, ``pa_``, ``pb`` the same rotated to the axes.
     """
     d = a.shape[1]
-    cuts = [min(LEADING, d), min(SECOND, d)]
-    rest_a = [np.sqrt((pa_[:, c:] ** 2).sum(1)) for c in cuts]
-    rest_b = [np.sqrt((pb[:, c:] ** 2).sum(1)) for c in cuts]
+    first, second = min(LEADING, d), min(SECOND, d)
+    # the product of the suffix norms joins the sum as one more dimension
+    rough_a = np.concatenate([pa_[:, :first], np.sqrt((pa_[:, first:] ** 2).sum(1))[:, None]], 1).astype(np.float32)
+    rough_b = np.concatenate([pb[:, :first], np.sqrt((pb[:, first:] ** 2).sum(1))[:, None]], 1).astype(np.float32).T.copy()
+    rest_a, rest_b = np.sqrt((pa_[:, second:] ** 2).sum(1)), np.sqrt((pb[:, second:] ** 2).sum(1))
     for s in range(0, len(a), STRIP):
         e = min(len(a), s + STRIP)
-        bound = pa_[s:e, :cuts[0]] @ pb[:, :cuts[0]].T
-        part = bound.copy()
-        bound += rest_a[0][s:e, None] * rest_b[0]
-        i, j = np.nonzero(bound >= threshold - SLACK)
-        i += s
+        at = np.flatnonzero((rough_a[s:e] @ rough_b).ravel() >= threshold - ROUGH)
+        if not len(at):
+            continue
+        i, j = s + at // len(b), at % len(b)
         if same:
             up = i < j
             i, j = i[up], j[up]
         if len(i) > 0.2 * (e - s) * len(b):  # most go on: whole products are cheaper
             full = a[s:e] @ b.T
-            yield_ = full[i - s, j] >= threshold
-            yield i[yield_], j[yield_]
+            linked = full[i - s, j] >= threshold
+            yield i[linked], j[linked]
             continue
         for k in range(0, len(i), 1 << 17):
             x, y = i[k:k + (1 << 17)], j[k:k + (1 << 17)]
-            more = part[x - s, y] + np.einsum("ij,ij->i", pa_[x, cuts[0]:cuts[1]], pb[y, cuts[0]:cuts[1]])
-            on = more + rest_a[1][x] * rest_b[1][y] >= threshold - SLACK
+            on = np.einsum("ij,ij->i", pa_[x, :second], pb[y, :second]) + rest_a[x] * rest_b[y] >= threshold - SLACK
             x, y = x[on], y[on]
             linked = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
             yield x[linked], y[linked]
