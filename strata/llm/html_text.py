@@ -45,10 +45,11 @@ NEVER_TEXT = frozenset(
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE_WORDS = frozenset(
     "ad adbox ads advert advertisement advertisements advertising adverts alert banner breadcrumb breadcrumbs comment comments commentlist consent "
-    "cookie cookies disqus gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
-    "promoted promotion recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription "
-    "toolbar widget widgets".split())
-PAGE_ENDS = frozenset("footer header".split())
+    "cookie cookies copyright disclaimer disqus form forms gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices "
+    "notification pager pagination popup privacy promo promoted promotion recommended related replies respond search share sharing sidebar sidenav "
+    "signup skip social sponsor sponsored subnav subscribe subscription toolbar topbar widget widgets".split())
+#: Words that say what an element has, not what it is.
+ABOUT_WORDS = frozenset("has no with without".split())
 CLOSED_BY_BLOCK = "p"
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIBLING_SCOPE = frozenset("ul ol dl table tbody thead tfoot select menu".split())
@@ -111,8 +112,12 @@ class Lines(HTMLParser):
             return True
         if (a.get("role") or "").lower() in NOISE_ROLES:
             return True
+        if tag == "header" and not article:
+            return True
         names = _names(a)
-        return bool(names & NOISE_WORDS) or (not article and (tag == "header" or bool(names & PAGE_ENDS))) or (bool(names & {"footer"}))
+        if names & ABOUT_WORDS:
+            return False
+        return bool(names & NOISE_WORDS) or "footer" in names or (not article and "header" in names)
 
     def _pop_to(self, k):
         for f in self.stack[k:]:

@@ -264,7 +264,7 @@ BODY = ("<h2>Head &amp; line</h2><p>First   paragraph\n of the text, long enough
         "<blockquote>quoted <i>in</i>&nbsp;line</blockquote><ul><li>one<li>two</ul><p>Second long paragraph with more than enough text to be found, and <a href=x>a link</a> inside it.</p>")
 
 
-@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", '<div id="wrap"><div class="content">%s</div></div>', "<section><div>%s</div></section>"])
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", '<div class="page has-sidebar"><div class="post">%s</div></div>', "<table><tr><td>%s</td></tr></table>", "<main>%s</main>", '<div id="wrap"><div class="content">%s</div></div>', "<section><div>%s</div></section>"])
 def test_main_text_in_any_layout(spark, wrap):
     assert html_text.main_blocks(PAGE % (wrap % BODY)) == BLOCKS
 
