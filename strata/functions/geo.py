@@ -79,7 +79,10 @@ def round_to_cell(value: ColumnOrName, err: ColumnOrName) -> Column:
 
 def geohash_decode_rounded(col: ColumnOrName) -> Column:
     """Rounded cell centre as one expression (``struct(latitude, longitude)``).
-    For tables prefer ``with_geohash_coords(..., rounded=True)``."""
+    For tables prefer ``with_geohash_coords(..., rounded=True)``. The rounding
+    rule is the public codec's as recalled (see ``cell_decimals``); query and
+    SQL share it, so their agreement does not prove it. What tests prove is that
+    a rounded centre stays inside its cell."""
     d = geohash_decode(col)
     return F.when(d.isNotNull(), F.struct(
         round_to_cell(d["latitude"], d["latitude_err"]).alias("latitude"),

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from strata.operators.stats import CONST_KEY, MAX_DISTINCT, group_stat
+from strata.operators.stats import CONST_KEY, MAX_DISTINCT, group_stat, present
 from strata.session import BROADCAST_BYTES, cut_lineage, materialize
 
 WINDOW_MAX_BINS = MAX_DISTINCT
@@ -427,14 +427,20 @@ def unfilled(audit: DataFrame) -> DataFrame:
 
 
 def null_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows with a null in any of ``cols``."""
-    return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols]))
+    """Rows with a null (or NaN) in any of ``cols``."""
+    return df.filter(reduce(lambda a, b: a | b, [~present(df, c) for c in cols]))
+
+
+def fill_const(df: DataFrame, col: str, value: Any) -> DataFrame:
+    """Nulls (and NaN) of ``col`` take a constant."""
+    return df.withColumn(col, F.when(present(df, col), F.col(col)).otherwise(F.lit(value).cast(df.schema[col].dataType)))
 
 
 def stack_audit(df: DataFrame, columns: Sequence[str], row_id: str = "row_id",
                 context: Sequence[str] = ("geohash", "day", "timestamp")) -> DataFrame:
-    """One row per null cell of ``columns``: row id, column, context; one scan."""
-    cells = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])
+    """One row per null (or NaN) cell of ``columns``: row id, column, context;
+    one scan."""
+    cells = F.array(*[F.when(~present(df, c), F.lit(c)) for c in columns])
     return df.select(F.col(row_id).alias("original_row_index"), F.explode(F.array_compact(cells)).alias("column"), *context)
 
 

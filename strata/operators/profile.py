@@ -25,10 +25,11 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """``(column, n_null, n_rows)`` for every column, from one aggregation."""
+    """``(column, n_null, n_rows)`` for every column, from one aggregation; NaN
+    counts as null."""
     cols = list(cols or df.columns)
     one = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"{c}__n_null") for c in cols])
+                 *[F.count_if(~present(df, c)).alias(f"{c}__n_null") for c in cols])
     one = one.select("*", *[F.col("_rows").alias(f"{c}__n_rows") for c in cols])
     return _stack(one, cols, ["n_null", "n_rows"])
 

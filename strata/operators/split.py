@@ -35,7 +35,8 @@ def split_cutoff(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = 42,
     while n_bucket is None or (n_bucket > direct_rows and len(prefix) < 32):
         depth = len(prefix) + 4  # 65,536 buckets per level
         sub = hashed.filter(F.col("_h").startswith(prefix)) if prefix else hashed
-        hist = sub.groupBy(F.substring("_h", 1, depth).alias("_p")).count().orderBy("_p").collect()
+        hist = sub.groupBy(F.substring("_h", 1, depth).alias("_p")).count().collect()
+        hist.sort(key=lambda r: r["_p"])  # at most 65,536 rows
         if need is None:
             need = math.ceil(frac * sum(r["count"] for r in hist))
             if need == 0:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strata.functions.columns import add_flag, clip_lower, close_vocab, parse_hm
 from strata.functions.geo import is_valid_geohash, with_geohash_coords
 from strata.operators.encode import binary_encode, one_hot, time_features
-from strata.operators.impute import impute_all, prov_cols
+from strata.operators.impute import fill_const, impute_all, prov_cols
 from strata.operators.model import mlp_score
 from strata.operators import quality
 from strata.operators.relational import align
@@ -35,6 +35,8 @@ BINARY = ["LargeVehicles", "Landmarks", "is_day_49", "RoadType_Residential", "Ro
           "RoadType_Highway", "Weather_Sunny", "Weather_Rainy", "Weather_Foggy", "Weather_Snowy",
           "Weather_Cloudy"]
 FEATURES = CONTINUOUS + BINARY
+# For a linear fit with intercept: one class of each one-hot set is the reference.
+LINEAR_FEATURES = [c for c in FEATURES if c not in ("RoadType_Residential", "Weather_Sunny")]
 IMPUTED = ["RoadType", "Temperature", "Weather"]
 SPLIT_SEED = 42
 VAL_FRACTION = 0.2
@@ -135,7 +137,7 @@ def const_features(test: DataFrame, train_raw: DataFrame, temperature: float = 1
     maps, time features (parts kept), vocab closure (null -> default),
     one-hots, day flag, geohash target encoding fitted on the training split
     (same rows as the training path); geohash dropped (24 columns + row_id)."""
-    df = test.withColumn("Temperature", F.coalesce(F.col("Temperature"), F.lit(temperature)))
+    df = fill_const(test, "Temperature", temperature)
     df = encode(decode(df))
     df = target_encode_apply(df, train_encoding_from_raw(train_raw))
     return df.drop("geohash")

@@ -234,7 +234,7 @@ def q_masked_assign(spark, sf):
 
 @query("fill_const", W(O.base_ctes(False), f"SELECT row_id, {O.r6('coalesce(Temperature, 16.3803)')} AS Temperature FROM r"))
 def q_fill_const(spark, sf):
-    return R(spark, sf).select("row_id", F.coalesce("Temperature", F.lit(16.3803)).alias("Temperature"))
+    return imp.fill_const(R(spark, sf), "Temperature", 16.3803).select("row_id", "Temperature")
 
 
 @query("fill_global", W(O.base_ctes(False), f"SELECT row_id, {O.r6('coalesce(Temperature, median(Temperature) OVER ())')} AS Temperature FROM r"))

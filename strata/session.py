@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,12 +80,13 @@ def materialize(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
     shared ``spark.checkpoint.dir``, so it survives executor loss; an eager
     reliable checkpoint computes and writes in one job) and return
     (checkpointed frame, metrics). ``count`` (rows) and ``bytes`` are always
-    measured; extra aggregate ``metrics`` (aliased) come from the same small job
-    over the checkpointed data, which never re-runs the original plan."""
+    measured, as are extra aggregate ``metrics`` (aliased), while the rows are
+    written: no job of their own. (Should an executor be lost meanwhile, rows
+    may be counted twice; the metrics only serve as bounds.)"""
     ensure_checkpoint_dir(df.sparkSession)
-    ck = df.checkpoint(eager=True)
-    row = ck.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(row_bytes(ck)), F.lit(0)).alias("bytes"), *metrics).collect()[0]
-    return ck, row.asDict()
+    seen = Observation()
+    ck = df.observe(seen, F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes"), *metrics).checkpoint(eager=True)
+    return ck, seen.get
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
