@@ -10,7 +10,7 @@ distinct 5-word shingles. The job:
    symbols. The signature is split into ``CHUNKS`` chunks, so by pigeonhole one
    chunk of a pair has at most ``MAX_DISTANCE // CHUNKS`` (one) wrong symbol.
    Leaving out each symbol of a chunk in turn enumerates the allowed errors: all
-   pairs within the distance share a key. Keys held once are dropped by a window
+   pairs within the distance share a key. Keys held once are dropped by their
    count; the others meet in blocks of bounded size (a hot key is dealt over
    pairs of blocks), where whole signatures are compared. A block returns a
    spanning forest of the pairs within the distance, never the pairs.
@@ -274,10 +274,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def candidate_clusters(reps: DataFrame) -> DataFrame:
     """``(doc_id, cluster)`` of the representatives within the signature distance
     of another one, directly or over others."""
-    from pyspark.sql import Window
-
     keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, doc_id long")
-    shared = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # counted before the rows meet, so that a hot key is rows of a join, which can be split
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     blocks = F.ceil(F.col("n") / F.lit(KEY_BLOCK)).cast("int")
     own = shared.withColumn("b", blocks).withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("b")).cast("int"))
     # narrow rows are dealt to their block pairs, then joined with the signatures
