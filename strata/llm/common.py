@@ -11,9 +11,9 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.session import cut_lineage, ensure_checkpoint_dir
+from strata.session import BROADCAST_BYTES, cut_lineage, ensure_checkpoint_dir, materialize
 
-__all__ = ["ascii_lower", "cut_lineage", "rows_of", "shared_path", "ships_by_value", "table", "task_slices"]
+__all__ = ["ascii_lower", "cut_lineage", "rows_of", "shared_path", "ships_by_value", "table", "task_slices", "without"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -52,6 +52,14 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in cols)
 
 
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one column of ``ids``; rows
+    without an id stay. The ids are broadcast if their measured bytes allow."""
+    ids, m = materialize(ids.toDF("_gone_id").where("_gone_id is not null").distinct())
+    gone = F.broadcast(ids) if m["bytes"] <= BROADCAST_BYTES else ids
+    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+
+
 def task_slices(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], weigh, limit: int) -> Iterator[list[tuple]]:
     """Lists of rows whose summed ``weigh(row)`` reaches ``limit`` (one heavier
     row makes a list of its own); bounds what a task holds at once."""

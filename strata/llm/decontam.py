@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import ascii_lower, cut_lineage
+from strata.llm.common import ascii_lower, cut_lineage, without
 
 WINDOW = 13
 #: A document is contaminated if SHARE * n_hit >= n_words and n_hit > 0.
@@ -120,8 +120,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, all columns as they were. Rows
     that repeat an id go together; rows without an id stay."""
-    bad = report(docs, benchmark, window, share, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad_id"], "left_anti")
+    return without(docs, id_col, report(docs, benchmark, window, share, id_col, text_col).where("contaminated").select("doc_id"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
