@@ -43,7 +43,7 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Runs up to so many bytes are merged at once; longer ones are streamed.
 SHORT_RUN = 96
 #: Distinct runs remembered by a task.
-MEMO_RUNS = 500_000
+MEMO_RUNS = 300_000
 #: Characters of a text that are cut into pre-tokens at once.
 SEGMENT = 1 << 16
 #: A vocabulary file larger than this is refused; it is sent to every task.

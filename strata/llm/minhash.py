@@ -49,7 +49,7 @@ CHUNK = SYMBOLS // CHUNKS
 KEY_BLOCK = 4096
 SET_BLOCK = 600_000
 #: Distinct words whose hashes a task remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
