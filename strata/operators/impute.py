@@ -224,7 +224,10 @@ def _tiers_window(bins: DataFrame, tiers: Sequence[Tier], keys: Sequence[str], d
                 # the statistic and the update both read the window results:
                 # cut here so the window stages run once (a pruned copy of
                 # them would not be reused as the same exchange)
-                c, part = cut_lineage(c), None
+                c, m = materialize(c, F.count_if(open_).alias("open"))
+                part = None
+                if not m["open"]:  # nothing is left for this and later tiers
+                    break
             stats = F.broadcast(_global_stat(c, t.stat, bound))
             j = c.withColumn(CONST_KEY, F.lit(0)).join(stats, CONST_KEY, "left")
             cand = F.col("_stat").cast(dtype)
@@ -279,7 +282,9 @@ def _tiers_join(bins: DataFrame, tiers: Sequence[Tier], group_keys: Sequence[str
             cand, cond = _row_rule(t, dtype, open_)
             if capture is not None:
                 capture.append(TierLookup(t))
-        nb = cut_lineage(_tier_update(j, keys, cond, cand, t.rule))
+        nb, m = materialize(_tier_update(j, keys, cond, cand, t.rule), F.count_if(F.col("_v").isNull()).alias("open"))
+        if capture is None and not m["open"]:  # nothing is left for later tiers
+            break
     return nb.select(*keys, F.col("_v").alias("_fill"), "_rule", "_n")
 
 
