@@ -3,7 +3,7 @@
 The benchmark's distinct windows of ``WINDOW`` normalised words are a hash set.
 While its measured bytes allow, the set is broadcast and every window of the
 training text probes it in the scan; beyond ``BROADCAST_BYTES`` the same join
-shuffles the windows' hashes instead. A match of hashes is verified word by
+is a shuffle join of the windows. A match of hashes is verified word by
 word. Matches of a document come back together (never more than it has words),
 and merge into covered words.
 """
@@ -31,7 +31,7 @@ def words(text) -> Column:
 
 def _hash_at(array: Column, pos: Column, n: int) -> Column:
     """Hash of ``n`` words from 0-based ``pos``; evaluated in generated code."""
-    return F.xxhash64(*[F.get(array, pos + k) for k in range(n)])
+    return F.xxhash64(F.lit(n), *[F.get(array, pos + k) for k in range(n)])
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -62,31 +62,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     size = found.groupBy("len").agg(F.sum(F.length(F.array_join("g", " ")) + 24 + 16 * F.size("g") + 24 * F.size("items")).alias("bytes")).collect()
     lengths = sorted((r["len"] for r in size), reverse=True) or [window]  # at most `window` values
     small = sum(r["bytes"] for r in size) <= BROADCAST_BYTES
+    w, code = F.col("w"), F.col("code")
     text = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), words(docs[text_col]).alias("w"))
-    text = text.withColumn("n_words", F.size("w").cast("long"))
-    parts = []
-    for k, n in enumerate(lengths):
-        # with a broadcast set the first pass over the text also gives the lines with pos -1
-        first = -1 if small and k == 0 else 0
-        last = F.greatest(F.size("w") - n, F.lit(-1))
-        at = text.select("row", "doc_id", "n_words", "w", F.explode(F.when(last >= first, F.sequence(F.lit(first), last))).alias("pos"))
-        mine = found.where(F.col("len") == n).select("h", "g", "items")
-        words_at = F.slice("w", F.col("pos") + 1, n)
-        if small:
-            probe = at.withColumn("h", F.when(F.col("pos") >= 0, _hash_at(F.col("w"), F.col("pos"), n)))
-            probe, mine = probe.alias("p"), F.broadcast(mine).alias("m")
-            test = (F.col("p.h") == F.col("m.h")) & _verified(F.slice("p.w", F.col("p.pos") + 1, n), F.col("m.g"))
-            met = probe.join(mine, test, "left").where("pos = -1 or items is not null")
-        else:
-            probe = at.select("row", "doc_id", "n_words", "pos", words_at.alias("s"), _hash_at(F.col("w"), F.col("pos"), n).alias("h"))
-            met = probe.join(mine, "h").where(_verified(F.col("s"), F.col("g")))
-        parts.append(met.select("row", "doc_id", "n_words", "pos", F.lit(n).alias("len"), "items"))
-    if not small:
-        parts.append(text.select("row", "doc_id", "n_words", F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("array<string>").alias("items")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    # one pass: codes -1 (the row itself), then the positions of every length in turn
+    total, starts = F.lit(0), []
+    for n in lengths:
+        starts.append(total)
+        total = total + F.greatest(F.size(w) - (n - 1), F.lit(0))
+    at = text.select("row", "doc_id", F.size(w).cast("long").alias("n_words"), "w", F.explode(F.sequence(F.lit(-1), total - 1)).alias("code"))
+    pos = length = hashed = None
+    for n, start in reversed(list(zip(lengths, starts))):  # the last length's codes start last
+        p, h = code - start, _hash_at(w, code - start, n)
+        pos = p if pos is None else F.when(code >= last, pos).otherwise(p)
+        length = F.lit(n) if length is None else F.when(code >= last, length).otherwise(F.lit(n))
+        hashed = h if hashed is None else F.when(code >= last, hashed).otherwise(h)
+        last = start
+    # a row's own line matches nothing: no hash, or one of its own where null keys would meet in one task
+    nothing = F.lit(None).cast("long") if small else F.xxhash64("row")
+    probe = at.select("row", "doc_id", "n_words", *(["w"] if small else []), F.when(code < 0, F.lit(-1)).otherwise(pos).alias("pos"), length.alias("len"),
+                      F.when(code < 0, nothing).otherwise(hashed).alias("h"), *([] if small else [F.when(code >= 0, F.slice(w, pos + 1, length)).alias("s")]))
+    mine = found.select("h", "g", "items")
+    words_at = F.slice("p.w", F.col("p.pos") + 1, F.col("p.len")) if small else F.col("p.s")
+    met = probe.alias("p").join((F.broadcast(mine) if small else mine).alias("m"), (F.col("p.h") == F.col("m.h")) & _verified(words_at, F.col("m.g")), "left")
+    return met.where("pos = -1 or items is not null").select("row", "doc_id", "n_words", "pos", "len", F.when(F.col("pos") >= 0, F.col("items")).alias("items"))
 
 
 def _covered(matches: Column) -> Column:
