@@ -153,7 +153,8 @@ def gates_sql(pairs) -> str:
 @query("read_table", W(O.base_ctes(False), R_OUT))
 def q_read_table(spark, sf):
     path = scratch(spark)
-    R(spark, sf).write.option("header", True).option("nullValue", "NA").csv(path)
+    r = R(spark, sf)
+    r.select(*reversed(r.columns)).write.option("header", True).option("nullValue", "NA").csv(path)  # read by name
     schema = T.StructType([T.StructField(n, t) for n, t in [
         ("row_id", T.LongType()), ("geohash", T.StringType()), ("day", T.IntegerType()),
         ("timestamp", T.StringType()), ("demand", T.DoubleType()), ("RoadType", T.StringType()),
