@@ -40,8 +40,10 @@ WRONG_SCRIPT = 40.0
 WORD_CLIP = 15.0
 #: Characters of text that a task labels at once (a longer text by itself).
 TASK_CHARS = 2_000_000
+#: Documents of a slice that are labelled one by one rather than in step.
+FEW = 4
 #: Distinct words whose scores a task remembers.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 300_000
 #: A document is kept by the filter if one language holds so much of its letters.
 MIN_SCORE = 1 / 3
 UNDETERMINED = "und"
@@ -184,6 +186,18 @@ class Scorer:
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
 
+def _alone(best: list[float], rows: list[list[float]], penalty: float) -> tuple[list[float], list[list[int]]]:
+    """The same steps for one document, where few are left to go in step."""
+    own = range(len(best))
+    came = []
+    for row in rows:
+        top = max(best)
+        moved, j = top - penalty, best.index(top)
+        came.append([j if moved > best[k] else k for k in own])
+        best = [(moved if moved > best[k] else best[k]) + row[k] for k in own]
+    return best, came
+
+
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """Best label per word of each document, all documents in step.
 
@@ -199,7 +213,9 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     own = np.arange(width)
     best = np.zeros((len(order), width), np.float64)
     live = np.searchsorted(-n, -np.arange(n[0]), side="left") if len(n) else []
-    for t, k in enumerate(live):
+    # the longest documents go on alone once few are left
+    split = next((t for t, k in enumerate(live) if t and k <= FEW), len(live)) if width <= 32 else len(live)
+    for t, k in enumerate(live[:split]):
         at = offset[:k] + t
         if t:
             b = best[:k]
@@ -212,7 +228,15 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
             best[:k] = flat[at]
     label = np.zeros(len(flat), came.dtype)
     now = best.argmax(1)
-    for t in range(len(live) - 1, -1, -1):
+    for r in range(live[split] if split < len(live) else 0):
+        end, steps = _alone(best[r].tolist(), flat[offset[r] + split:offset[r + 1]].tolist(), penalty)
+        k, back = end.index(max(end)), []
+        for step in reversed(steps):
+            back.append(k)
+            k = step[k]
+        label[offset[r] + split:offset[r + 1]] = back[::-1]
+        now[r] = k
+    for t in range(split - 1, -1, -1):
         k = live[t]
         at = offset[:k] + t
         label[at] = now[:k]

@@ -88,7 +88,9 @@ def test_language_spans_of_mixed_text(spark, tiny_model):
     assert got == [(0, 24, "en"), (24, 21, "fr"), (45, 5, "ru")]
 
 
-def test_viterbi_against_enumeration():
+@pytest.mark.parametrize("few", [0, 1, 4])
+def test_viterbi_against_enumeration(monkeypatch, few):
+    monkeypatch.setattr(langid, "FEW", few)
     rng = np.random.default_rng(2)
     docs = [rng.normal(size=(n, 3)) for n in (1, 4, 6, 2)]
     for scores, found in zip(docs, langid.viterbi(docs, 0.7)):
