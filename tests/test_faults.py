@@ -144,7 +144,7 @@ def test_bins_need_one_scan(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(I, "materialize", lambda df, *m: (seen.append(relations(df)), __import__("strata.session").session.materialize(df, *m))[1])
     I.cascade_fills(ladders.with_helpers(readings(spark, SF001)), "Temperature", ladders.temperature_ladder())
-    assert seen == [1]
+    assert seen[0] == 1 and sum(seen) == 1  # what follows reads the bins
 
 
 def test_summary_from_fills_equals_the_audit(spark):
