@@ -7,8 +7,11 @@ role, class or id) yield no lines. The text-to-tag ratio of each line, without
 link text, is smoothed with a Gaussian over its neighbours; two-means clustering
 of the smoothed ratios sets the threshold between content and the rest. The
 content lines select the region: the articles (or main element) that hold them,
-or else the innermost container that holds most of their text. All lines of the
-region come out in page order, so that short paragraphs inside an article stay.
+or else the innermost container that holds all of them, or the one around it as
+long as it is a part (a section, a table's part, one of several like it) or has
+text right beside it. All lines of the region come out in page order, so that short
+paragraphs and lists of links inside an article stay; only a container of nothing
+but short links (a menu) goes.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from strata.llm.common import rows_of, ships_by_value
 
 #: Lines that the Gaussian reaches, as its standard deviation.
 SIGMA = 1.5
-#: A container is entered while it holds so much of the content's text.
-REGION_SHARE = 0.75
-#: Outside articles, a line with so much of its text in links is a menu.
+#: A line with so much of its text in links is a line of links.
 LINK_SHARE = 0.5
+#: A menu has at least so many links, of so many characters at most in the mean.
+MENU_LINKS = 3
+MENU_CHARS = 30
 #: Between blocks of the text.
 BLOCK_JOIN = "\n\n"
 
@@ -39,6 +43,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
+#: Containers that are a part of a text, and those that can be a menu.
+PARTS = frozenset("section table tbody td tr".split())
+MENUS = frozenset("center div section table td".split())
 NEVER_TEXT = frozenset(
     "aside audio button canvas datalist dialog footer form head iframe input math menu nav noscript object option script select style svg template "
     "textarea title video".split())
@@ -70,15 +77,17 @@ class _Frame:
 
 
 class Lines(HTMLParser):
-    """Collects lines ``(text, tags, link characters, containers, article)``."""
+    """Collects lines ``(text, tags, link characters, containers, article, links)``;
+    ``made`` has the tag and class of every container."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack = [_Frame("", False, 0, ())]
         self.lines: list[tuple] = []
         self.parts: list[str] = []
-        self.tags = self.link_chars = self.links = 0
+        self.tags = self.link_chars = self.links = self.anchors = 0
         self.opened = 0
+        self.made: list[tuple] = [("", "")]
 
     # -- lines
 
@@ -87,9 +96,9 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 top = self.at
-                self.lines.append((text, self.tags, self.link_chars, top.path, top.article))
+                self.lines.append((text, self.tags, self.link_chars, top.path, top.article, self.anchors))
             self.parts = []
-        self.tags = self.link_chars = 0
+        self.tags = self.link_chars = self.anchors = 0
 
     def handle_data(self, data):
         top = self.stack[-1]
@@ -153,12 +162,14 @@ class Lines(HTMLParser):
             self.tags += 1
             if tag in CONTAINERS:
                 self.opened += 1
+                self.made.append((tag, dict(attrs).get("class") or ""))
                 path = (*path, self.opened)
                 if not article and (tag in ("article", "main") or dict(attrs).get("role") in ("main", "article")
                                     or dict(attrs).get("itemprop") == "articleBody"):
                     article = self.opened
         if tag == "a":
             self.links += 1
+            self.anchors += not skip
         self.stack.append(_Frame(tag, skip, article, path))
 
     def handle_startendtag(self, tag, attrs):
@@ -198,6 +209,56 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
         low, high = a, b
 
 
+def _of_links(line) -> bool:
+    return line[2] >= LINK_SHARE * len(line[0])
+
+
+def menus(lines: list[tuple], made: list[tuple]) -> set[int]:
+    """Containers of nothing but lines of short links."""
+    links: dict[int, list[int]] = {}
+    text = set()
+    for line in lines:
+        if _of_links(line):
+            for p in line[3]:
+                seen = links.setdefault(p, [0, 0])
+                seen[0] += line[5]
+                seen[1] += line[2]
+        else:
+            text.update(line[3])
+    return {p for p, (n, chars) in links.items() if p not in text and made[p][0] in MENUS and n >= MENU_LINKS and chars <= MENU_CHARS * n}
+
+
+def region_of(lines: list[tuple], content: np.ndarray, made: list[tuple]) -> list[tuple]:
+    """The lines of the container of the text, or of the whole page."""
+    if not lines:
+        return lines
+    held = [k for k, up in enumerate(content) if up] or list(range(len(lines)))
+    a, b = min(lines[k][3] for k in held), max(lines[k][3] for k in held)
+    depth = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    def grown(lo, hi, depth):  # a container's lines lie together
+        def inside(line):
+            return not depth or (len(line[3]) >= depth and line[3][depth - 1] == a[depth - 1])
+        while lo and inside(lines[lo - 1]):
+            lo -= 1
+        while hi < len(lines) and inside(lines[hi]):
+            hi += 1
+        return lo, hi
+
+    lo, hi = grown(held[0], held[0] + 1, depth)
+    while depth:
+        own = made[a[depth - 1]]
+        depth -= 1
+        start, end = grown(lo, hi, depth)
+        beside = lines[start:lo] + lines[hi:end]
+        # text right in the container above, or in one like this: this is a part of it
+        if beside and own[0] not in PARTS and not any(
+                not _of_links(line) and (len(line[3]) == depth or made[line[3][depth]] == own) for line in beside):
+            break
+        lo, hi = start, end
+    return lines[lo:hi]
+
+
 def main_blocks(html: str | None) -> list[str]:
     """The article's blocks in page order; none for null, empty or text-free pages."""
     if not html:
@@ -207,22 +268,16 @@ def main_blocks(html: str | None) -> list[str]:
     lines = parser.finish()
     if not lines:
         return []
-    ratios = np.array([max(0, len(t) - link) / (1 + tags) for t, tags, link, _, _ in lines], float)
+    ratios = np.array([max(0, len(t) - link) / (1 + tags) for t, tags, link, *_ in lines], float)
     content = content_lines(ratios)
     articles = {line[4] for line in lines if line[4]}
     if articles:
         chosen = {line[4] for line, up in zip(lines, content) if up and line[4]} or articles
         return [line[0] for line in lines if line[4] in chosen]
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, link, path, _), up in zip(lines, content):
-        if up:
-            total += len(text) - link
-            for p in path:
-                weight[p] = weight.get(p, 0) + len(text) - link
-    inside = [p for p, w in weight.items() if w >= REGION_SHARE * total]
-    region = max(inside, default=None)  # containers are numbered as they open: the innermost
-    return [t for t, _, link, path, _ in lines if (region is None or region in path) and link < LINK_SHARE * len(t)]
+    gone = menus(lines, parser.made)
+    left = [k for k, line in enumerate(lines) if gone.isdisjoint(line[3])]
+    lines, content = [lines[k] for k in left], content[left]
+    return [line[0] for line in region_of(lines, content, parser.made)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

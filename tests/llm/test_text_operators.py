@@ -271,6 +271,25 @@ def test_main_text_in_any_layout(spark, wrap):
     assert html_text.main_blocks(PAGE % (wrap % BODY)) == BLOCKS
 
 
+LONG = "A long paragraph of the text, with more than enough words to be seen as content by its ratio of text to tags, and then some. " * 4
+REFERENCES = "".join(f'<li><a href="/r{k}">Reference {k}</a></li>' for k in range(4))
+
+
+@pytest.mark.parametrize("inner,want", [
+    (f"<section><p>Intro.</p></section><section><p>{LONG}</p><p>{LONG}</p></section><section><h2>End</h2><p>Last.</p></section>", ["Intro.", LONG, LONG, "End", "Last."]),
+    (f"<div><p>Intro.</p></div><div><p>{LONG}</p></div>", ["Intro.", LONG]),
+    (f"<h1>Title</h1><div class=entry><p>{LONG}</p></div>", ["Title", LONG]),
+    (f"<p>Lead.</p><table><tr><td>1</td><td>{LONG}</td></tr></table>", ["Lead.", "1", LONG]),
+    (f'<p>{LONG}</p><p><a href="/x">A paragraph that is a link.</a></p><p>{LONG}</p>', [LONG, "A paragraph that is a link.", LONG]),
+    (f"<p>{LONG}</p><h2>References</h2><ol>{REFERENCES}</ol>", [LONG, "References", *(f"Reference {k}" for k in range(4))]),
+    (f"<section><p>{LONG}</p></section><section><h2>References</h2><ol>{REFERENCES}</ol></section>", [LONG, "References", *(f"Reference {k}" for k in range(4))]),
+])
+def test_main_text_of_several_parts(spark, inner, want):
+    menu = '<div class="top"><a href="/">Home</a> <a href="/a">About us</a> <a href="/b">Blog</a></div>'
+    page = f'<body>{menu}<div id="content">{inner}</div></body>'
+    assert html_text.main_blocks(page) == [" ".join(x.split()) for x in want]
+
+
 def test_main_text_of_the_table(spark):
     import html as escapes
     pages = table(spark, SF01, "pages")
