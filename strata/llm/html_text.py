@@ -6,8 +6,9 @@ never article text (menus, forms, scripts, adverts, notices, comments, by tag,
 role, class or id) yield no lines. The text-to-tag ratio of each line, without
 link text, is smoothed with a Gaussian over its neighbours; two-means clustering
 of the smoothed ratios sets the threshold between content and the rest. The
-content lines select the region: the articles (or main element) that hold them,
-or else the innermost container that holds all of them, or the one around it as
+content lines select the region: all articles (or the main element) if no text
+outside them is content by its own ratio, or else the innermost container that
+holds all content lines, or the one around it as
 long as it is a part (a section, a table's part, one of several like it) or has
 text right beside it. All lines of the region come out in page order, so that short
 paragraphs and lists of links inside an article stay; only a container of nothing
@@ -191,21 +192,21 @@ class Lines(HTMLParser):
         return self.lines
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
+def content_lines(ratios: np.ndarray) -> tuple[np.ndarray, float]:
     """Which lines the smoothed text-to-tag ratios put in the upper of two
-    clusters; all of them if the ratios do not differ."""
+    clusters, and the ratio between the two; all lines if the ratios do not differ."""
     reach = int(math.ceil(3 * SIGMA))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     smooth = np.convolve(ratios, kernel)[reach:reach + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel)[reach:reach + len(ratios)]
     low, high = smooth.min(), smooth.max()
     if high - low < 1e-9:
-        return np.ones(len(ratios), bool)
+        return np.ones(len(ratios), bool), -1.0
     while True:
         cut = (low + high) / 2
         up = smooth > cut
         a, b = smooth[~up].mean(), smooth[up].mean()
         if abs(a - low) + abs(b - high) < 1e-6:
-            return up
+            return up, cut
         low, high = a, b
 
 
@@ -269,11 +270,11 @@ def main_blocks(html: str | None) -> list[str]:
     if not lines:
         return []
     ratios = np.array([max(0, len(t) - link) / (1 + tags) for t, tags, link, *_ in lines], float)
-    content = content_lines(ratios)
-    articles = {line[4] for line in lines if line[4]}
-    if articles:
-        chosen = {line[4] for line, up in zip(lines, content) if up and line[4]} or articles
-        return [line[0] for line in lines if line[4] in chosen]
+    content, cut = content_lines(ratios)
+    # a short line beside the text can be in the upper cluster for its neighbours alone
+    own = content & (ratios > cut)
+    if all(lines[k][4] for k in np.flatnonzero(own if own.any() else content)):
+        return [line[0] for line in lines if line[4]]
     gone = menus(lines, parser.made)
     left = [k for k, line in enumerate(lines) if gone.isdisjoint(line[3])]
     lines, content = [lines[k] for k in left], content[left]

@@ -290,6 +290,19 @@ def test_main_text_of_several_parts(spark, inner, want):
     assert html_text.main_blocks(page) == [" ".join(x.split()) for x in want]
 
 
+@pytest.mark.parametrize("page,want", [
+    (f"<body><div id=content><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><article class=teaser><h3>More</h3><p>Read this too.</p></article></body>", [LONG] * 3),
+    (f"<body><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>Five.</p></article></body>",
+     [LONG] * 3 + ["One.", "Two.", "Three.", "Four.", "Five."]),
+    (f"<body><div class=bar>Site</div><article><p>{LONG}</p><p>Short.</p></article><div class=end>Made by us</div></body>", [LONG, "Short."]),
+    (f"<body><div><article><p>{LONG}</p></article><p>{LONG}</p></div></body>", [LONG] * 2),
+])
+def test_main_text_beside_and_in_articles(spark, page, want):
+    got = html_text.main_blocks(page)
+    assert got[:len(want)] == [" ".join(x.split()) for x in want]
+    assert "class=bar" not in page or len(got) == len(want)
+
+
 def test_main_text_of_the_table(spark):
     import html as escapes
     pages = table(spark, SF01, "pages")
