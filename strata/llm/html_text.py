@@ -3,7 +3,9 @@
 Events are read in a stream. Every block element opens a *line*: its text, the
 tags and link text inside it, and the containers around it. Elements that are
 never article text (menus, forms, scripts, adverts, notices, comments, by tag,
-role, class or id) yield no lines. The text-to-tag ratio of each line, without
+role, class or id) yield no lines. Whether a form, or a part of the text outside
+articles that only its id names so (``<section id="related-work">``), is one of
+them is decided at the end of the page. The text-to-tag ratio of each line, without
 link text, is smoothed with a Gaussian over its neighbours; two-means clustering
 of the smoothed ratios sets the threshold between content and the rest. The
 content lines select the region: all articles (or the main element) if no text
@@ -43,13 +45,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
+CONTAINERS = frozenset("article body center div form main section table tbody td tr".split())
 #: Containers that are a part of a text, and those that can be a menu.
 PARTS = frozenset("section table tbody td tr".split())
 MENUS = frozenset("center div section table td".split())
 NEVER_TEXT = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input math menu nav noscript object option script select style svg template "
-    "textarea title video".split())
+    "annotation annotation-xml aside audio button canvas datalist dialog footer head iframe input menu nav noscript object option script select style svg "
+    "template textarea title video".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE_WORDS = frozenset(
     "ad adbox ads advert advertisement advertisements advertising adverts alert banner breadcrumb breadcrumbs comment comments commentlist consent "
@@ -58,6 +60,9 @@ NOISE_WORDS = frozenset(
     "signup skip social sponsor sponsored subnav subscribe subscription toolbar topbar widget widgets".split())
 #: Words that say what an element has, not what it is.
 ABOUT_WORDS = frozenset("has no with without".split())
+#: Elements whose id is an anchor made of their title.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANCHORED = frozenset("blockquote dd dt figure li p pre section".split())
 CLOSED_BY_BLOCK = "p"
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIBLING_SCOPE = frozenset("ul ol dl table tbody thead tfoot select menu".split())
@@ -66,29 +71,32 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _names(attrs: dict) -> set[str]:
-    return {w.lower() for k in ("class", "id") for w in _WORDS.findall(attrs.get(k) or "")}
+def _names(text: str | None) -> set[str]:
+    return {w.lower() for w in _WORDS.findall(text or "")}
 
 
 class _Frame:
-    __slots__ = ("tag", "skip", "article", "path")
+    __slots__ = ("tag", "skip", "article", "path", "doubts")
 
-    def __init__(self, tag, skip, article, path):
-        self.tag, self.skip, self.article, self.path = tag, skip, article, path
+    def __init__(self, tag, skip, article, path, doubts):
+        self.tag, self.skip, self.article, self.path, self.doubts = tag, skip, article, path, doubts
 
 
 class Lines(HTMLParser):
-    """Collects lines ``(text, tags, link characters, containers, article, links)``;
-    ``made`` has the tag and class of every container."""
+    """Collects lines ``(text, tags, link characters, containers, article, links,
+    doubts)``; ``made`` has the tag and class of every container, ``kinds`` what is
+    doubted of every doubt: ``form``, or an id that is ``slug`` or ``bare``, that is
+    of noise words only."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Frame("", False, 0, ())]
+        self.stack = [_Frame("", False, 0, (), ())]
         self.lines: list[tuple] = []
         self.parts: list[str] = []
         self.tags = self.link_chars = self.links = self.anchors = 0
         self.opened = 0
         self.made: list[tuple] = [("", "")]
+        self.kinds: list[str] = []
 
     # -- lines
 
@@ -97,7 +105,7 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 top = self.at
-                self.lines.append((text, self.tags, self.link_chars, top.path, top.article, self.anchors))
+                self.lines.append((text, self.tags, self.link_chars, top.path, top.article, self.anchors, top.doubts))
             self.parts = []
         self.tags = self.link_chars = self.anchors = 0
 
@@ -113,21 +121,32 @@ class Lines(HTMLParser):
     # -- elements
 
     def _noise(self, tag, attrs, article):
+        """Whether an element is never article text, or the kind of doubt."""
         if tag in NEVER_TEXT:
             return True
         if not attrs or tag in ("html", "body", "main"):
-            return tag == "header" and not article
+            return "form" if tag == "form" else tag == "header" and not article
         a = dict(attrs)
         if "hidden" in a or a.get("aria-hidden") == "true" or (a.get("style") and _HIDDEN.search(a["style"].lower())):
             return True
-        if (a.get("role") or "").lower() in NOISE_ROLES:
+        role = (a.get("role") or "").lower()
+        if tag == "form":
+            return True if role in NOISE_ROLES and role != "form" else "form"
+        if role in NOISE_ROLES:
             return True
         if tag == "header" and not article:
             return True
-        names = _names(a)
-        if names & ABOUT_WORDS:
+        own, slug = _names(a.get("class")), _names(a.get("id"))
+        if (own | slug) & ABOUT_WORDS:
             return False
-        return bool(names & NOISE_WORDS) or "footer" in names or (not article and "header" in names)
+        noise = NOISE_WORDS | ({"footer"} if article else {"footer", "header"})
+        if own & noise:
+            return True
+        if not slug & noise or tag in HEADINGS:
+            return False
+        if tag in ANCHORED or (tag == "div" and "section" in own):
+            return False if article else "bare" if slug <= noise else "slug"
+        return True
 
     def _pop_to(self, k):
         for f in self.stack[k:]:
@@ -157,8 +176,11 @@ class Lines(HTMLParser):
             self.tags += 1
             return
         top = self.stack[-1]
-        skip = top.skip or self._noise(tag, attrs, top.article)
-        article, path = top.article, top.path
+        noise = top.skip or self._noise(tag, attrs, top.article)
+        skip, article, path, doubts = noise is True, top.article, top.path, top.doubts
+        if isinstance(noise, str):
+            doubts = (*doubts, len(self.kinds))
+            self.kinds.append(noise)
         if not skip:
             self.tags += 1
             if tag in CONTAINERS:
@@ -171,7 +193,7 @@ class Lines(HTMLParser):
         if tag == "a":
             self.links += 1
             self.anchors += not skip
-        self.stack.append(_Frame(tag, skip, article, path))
+        self.stack.append(_Frame(tag, skip, article, path, doubts))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -229,10 +251,8 @@ def menus(lines: list[tuple], made: list[tuple]) -> set[int]:
     return {p for p, (n, chars) in links.items() if p not in text and made[p][0] in MENUS and n >= MENU_LINKS and chars <= MENU_CHARS * n}
 
 
-def region_of(lines: list[tuple], content: np.ndarray, made: list[tuple]) -> list[tuple]:
-    """The lines of the container of the text, or of the whole page."""
-    if not lines:
-        return lines
+def region_of(lines: list[tuple], content: np.ndarray, made: list[tuple]) -> tuple[int, int]:
+    """Depth and number of the container of the text; zeros for the whole page."""
     held = [k for k, up in enumerate(content) if up] or list(range(len(lines)))
     a, b = min(lines[k][3] for k in held), max(lines[k][3] for k in held)
     depth = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
@@ -247,6 +267,7 @@ def region_of(lines: list[tuple], content: np.ndarray, made: list[tuple]) -> lis
         return lo, hi
 
     lo, hi = grown(held[0], held[0] + 1, depth)
+    found = depth
     while depth:
         own = made[a[depth - 1]]
         depth -= 1
@@ -256,8 +277,29 @@ def region_of(lines: list[tuple], content: np.ndarray, made: list[tuple]) -> lis
         if beside and own[0] not in PARTS and not any(
                 not _of_links(line) and (len(line[3]) == depth or made[line[3][depth]] == own) for line in beside):
             break
+        if beside or own[0] in PARTS:
+            found = depth
         lo, hi = start, end
-    return lines[lo:hi]
+    return (found, a[found - 1]) if found else (0, 0)
+
+
+def settled(lines: list[tuple], kinds: list[str]) -> list[str | None]:
+    """Per line ``None`` for text, else the kind of what it is in. A form or a
+    part with a noise word in its id is text if it holds more than the rest of
+    the page does."""
+    if not kinds:
+        return [None] * len(lines)
+    held, total = [0] * len(kinds), 0
+    for line in lines:
+        n = max(0, len(line[0]) - line[2])
+        total += n
+        for d in line[6]:
+            held[d] += n
+    open_ = {d for d, kind in enumerate(kinds) if kind == "bare" or 2 * held[d] <= total}
+    found = [{kinds[d] for d in line[6] if d in open_} for line in lines]
+    if all(found):
+        return [None] * len(lines)
+    return [next((kind for kind in ("form", "bare", "slug") if kind in f), None) for f in found]
 
 
 def main_blocks(html: str | None) -> list[str]:
@@ -269,16 +311,23 @@ def main_blocks(html: str | None) -> list[str]:
     lines = parser.finish()
     if not lines:
         return []
-    ratios = np.array([max(0, len(t) - link) / (1 + tags) for t, tags, link, *_ in lines], float)
+    doubts = settled(lines, parser.kinds)
+    plain = [line for line, kind in zip(lines, doubts) if kind is None]
+    ratios = np.array([max(0, len(t) - link) / (1 + tags) for t, tags, link, *_ in plain], float)
     content, cut = content_lines(ratios)
     # a short line beside the text can be in the upper cluster for its neighbours alone
     own = content & (ratios > cut)
-    if all(lines[k][4] for k in np.flatnonzero(own if own.any() else content)):
-        return [line[0] for line in lines if line[4]]
-    gone = menus(lines, parser.made)
-    left = [k for k, line in enumerate(lines) if gone.isdisjoint(line[3])]
-    lines, content = [lines[k] for k in left], content[left]
-    return [line[0] for line in region_of(lines, content, parser.made)]
+    if all(plain[k][4] for k in np.flatnonzero(own if own.any() else content)):
+        return [line[0] for line in plain if line[4]]
+    gone = menus([line for line, kind in zip(lines, doubts) if kind != "form"], parser.made)
+    left = [k for k, line in enumerate(plain) if gone.isdisjoint(line[3])]
+    if not left:
+        return []
+    depth, at = region_of([plain[k] for k in left], content[left], parser.made)
+    # inside the text's container an id is an anchor; the whole page is none, there only an id of other words too
+    text = {None, "slug", "bare"} if parser.made[at][0] not in ("", "body") else {None, "slug"}
+    return [line[0] for line, kind in zip(lines, doubts)
+            if kind in text and gone.isdisjoint(line[3]) and (not depth or (len(line[3]) >= depth and line[3][depth - 1] == at))]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

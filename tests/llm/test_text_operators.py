@@ -303,6 +303,27 @@ def test_main_text_beside_and_in_articles(spark, page, want):
     assert "class=bar" not in page or len(got) == len(want)
 
 
+SLUGS = (f'<section id="start"><h2 id="search-algorithms">Search</h2><p>{LONG}</p></section><section id="related-work"><h2>Related</h2><p>{LONG}</p></section>'
+         f'<section id="privacy"><p>{LONG}</p></section><p id="notice-2">{LONG}</p>')
+SLUG_BLOCKS = ["Search", LONG, "Related", LONG, LONG, LONG]
+NOISY = '<div id="search-box">Look here</div><section id="x" class="related">Other pages</section>'
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article>{SLUGS}{NOISY}</article>", SLUG_BLOCKS),
+    (f"<main>{SLUGS}{NOISY}</main>", SLUG_BLOCKS),
+    (f"<div class=content>{SLUGS}{NOISY}</div>", SLUG_BLOCKS),
+    (f'<div class=post><p>{LONG}</p><p>{LONG}</p></div><section id="comments"><p>{LONG}</p></section>', [LONG] * 2),
+    (f'<article><p>{LONG}</p></article><section id="comments"><p>{LONG * 5}</p></section>', [LONG]),
+    (f"<article><p>{LONG}<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></article>", [LONG.strip() + " x=1"]),
+    (f'<form id="aspnetForm"><nav>Menu</nav><div class=content><p>{LONG}</p><p>Short.</p></div></form>', [LONG, "Short."]),
+    (f'<form id="form1"><article><p>{LONG}</p><form><p>Your mail</form><p>Short.</p></article></form>', [LONG, "Short."]),
+    (f'<article><p>{LONG}</p><form action=x><p>Your mail<input name=m></form></article><form role=search>Find</form>', [LONG]),
+])
+def test_main_text_by_names_math_and_forms(spark, page, want):
+    assert html_text.main_blocks(f"<body>{page}</body>") == [" ".join(x.split()) for x in want]
+
+
 def test_main_text_of_the_table(spark):
     import html as escapes
     pages = table(spark, SF01, "pages")
