@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import cut_lineage, ships_by_value
@@ -74,6 +74,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def state() -> list[Column]:
+    """Aggregates that differ for different sets of edges, of any number: a sum
+    of hashes would leave 64 bits."""
+    return [F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "v", "u")).alias("y")]
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` that is not its
     component's smallest id; ``component`` is the smallest id reachable.
@@ -86,15 +92,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = cut_lineage(e.mapInArrow(_merge, "u long, v long").distinct())
     mark = None
     while True:
-        row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40))).alias("s"),
-                    F.count_distinct("u").alias("nu")).collect()[0]
+        row = e.agg(*state(), F.count_distinct("u").alias("nu")).collect()[0]
         if row["n"] == 0:
             break
         if row["n"] == row["nu"]:
             # every node has one parent; done when no parent has a parent itself
             if e.alias("x").join(e.alias("y"), F.col("x.v") == F.col("y.u"), "left_semi").isEmpty():
                 break
-        now = (row["n"], row["x"], row["s"])
+        now = (row["n"], row["x"], row["y"])
         if now == mark:
             break
         mark = now

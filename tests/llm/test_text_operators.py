@@ -56,6 +56,14 @@ def test_components_against_union_find(spark):
     assert components.connected_components(df.limit(0), "a", "b").count() == 0
 
 
+def test_components_state_of_many_edges(spark):
+    """More edges than 2^63 / 2^39, where a long sum of 40-bit hashes overflows."""
+    n = 17_000_000
+    many = spark.range(n).selectExpr("id + 1 as u", "0L as v")
+    a, b = (df.agg(*components.state()).collect()[0] for df in (many, many.selectExpr("u", "if(u = 7, 1L, v) as v")))
+    assert a["n"] == b["n"] == n and a["x"] != b["x"] and a["y"] != b["y"]
+
+
 # --- language ID
 
 def test_language_accuracy_on_held_out_rows(spark):
