@@ -36,15 +36,18 @@ def _hash_at(array: Column, pos: Column, n: int) -> Column:
 
 def windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``(len, hash, words, items)``: distinct windows with the items they occur
-    in. An item of fewer words is one window; one without words has none."""
-    w = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0 and item is not null")
+    in. An item of fewer words is one window; one without words has none. Items
+    without an id are one item together, a null in ``items``."""
+    w = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     at = w.withColumn("len", F.least(F.size("w"), F.lit(window))).select(
         "item", "w", "len", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("p"))
     each = at.select("item", "len", F.slice("w", F.col("p") + 1, F.col("len")).alias("g"))
     hashed = F.when(F.col("len") == 1, _hash_at(F.col("g"), F.lit(0), 1))
     for n in range(2, window + 1):
         hashed = hashed.when(F.col("len") == n, _hash_at(F.col("g"), F.lit(0), n))
-    return each.groupBy("len", "g").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("h", hashed)
+    some = each.groupBy("len", "g").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull()).alias("unnamed"))
+    items = F.when(F.col("unnamed"), F.array_append("items", F.lit(None).cast("string"))).otherwise(F.col("items"))
+    return some.select("len", "g", items.alias("items")).withColumn("h", hashed)
 
 
 def _verified(words_at: Column, window: Column) -> Column:
@@ -103,6 +106,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
            id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
+    Benchmark items without an id count as one item; the digest is over ids only.
     Null and wordless texts have no words and are clean. Rows that repeat an id
     or have none are judged each by their own text. Extra columns are not read.
     An empty benchmark leaves all clean, an empty table gives no rows.

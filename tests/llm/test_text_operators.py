@@ -181,6 +181,17 @@ def test_contamination_edges(spark):
     assert decontam.report(empty(spark), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_BYTES, 0])
+def test_contamination_by_items_without_id(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
+    bench = spark.createDataFrame([(None, "one two three four"), (None, "five six seven eight"), ("b", "one two three four")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "five six seven eight"), (3, "nothing of it here")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(docs, bench).collect()}
+    ids = {k: hashlib.sha256(k.encode()).hexdigest() for k in ("", "b")}
+    assert got == {1: (4, 2, ids["b"], True), 2: (4, 1, ids[""], True), 3: (0, 0, ids[""], False)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_contaminated_spans_are_cut(spark):
     docs = spark.createDataFrame([(1, "Keep this. A short, item! And this."), (2, "clean"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
