@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, chat, decontam, embed_dedup, html_text, langid, minhash, packing, sharding, token_scan
+from strata.llm import bpe, chat, decontam, embed_dedup, html_text, langid, minhash, packing, periodic, quality, sharding, token_scan
 from strata.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,13 @@ def op9(spark, sf_dir):
 @query("op10_bpe_round_trip")
 def op10(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    return periodic.report(table(spark, sf_dir, "documents"), periodic.planted)
+
+
+@query("op13_quality_classifier")
+def op13(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
