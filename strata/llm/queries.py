@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, chat, decontam, embed_dedup, html_text, langid, minhash, packing, periodic, quality, sharding, token_scan
+from strata.llm import bpe, chat, conv_trie, decontam, embed_dedup, html_text, langid, minhash, packing, periodic, quality, sharding, token_scan
 from strata.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,11 @@ def op10(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op11_prefix_trie")
+def op11(spark, sf_dir):
+    return conv_trie.prefix_trie(table(spark, sf_dir, "conversations"), conv_trie.rebuilt)
+
+
 @query("op12_periodic_runs")
 def op12(spark, sf_dir):
     return periodic.report(table(spark, sf_dir, "documents"), periodic.planted)
