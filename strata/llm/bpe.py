@@ -12,9 +12,11 @@ sufficient lookahead follows from the merge list: no token is longer than
 those positions meet can no longer change and are emitted. State is a window of
 ``horizon`` positions plus the tokens not yet stable.
 
-A run no longer than ``SHORT_RUN`` bytes lies wholly inside the window when it
-ends, so its merges are applied there at once; results per distinct run are
-memoised in a table of bounded size.
+Every run goes through the transducer, whatever its length. Its first
+``MEMO_DEPTH`` transitions are memoised by (state, byte), a state standing for what
+was read since the run began, and the output of whole short runs by (start, run);
+both tables are of bounded size and only save work. Ranks of merges only
+serve for the relation between two neighbouring tokens.
 
 Decoding concatenates the tokens' bytes piecewise and feeds them to an
 incremental UTF-8 state machine, which holds at most one unfinished character
@@ -30,7 +32,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -40,10 +42,9 @@ from strata.llm.common import rows_of, ships_by_value
 
 #: Fixed value: the public pre-token pattern of this family of vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs up to so many bytes are merged at once; longer ones are streamed.
-SHORT_RUN = 96
-#: Distinct runs remembered by a task.
-MEMO_RUNS = 300_000
+#: Distinct runs, states and pairs of tokens remembered by a task, and the bytes of
+#: a run up to which its states (and its output) are remembered.
+MEMO_RUNS, MEMO_STATES, MEMO_PAIRS, MEMO_DEPTH = 500_000, 600_000, 600_000, 48
 #: Characters of a text that are cut into pre-tokens at once.
 SEGMENT = 1 << 16
 #: A vocabulary file larger than this is refused; it is sent to every task.
@@ -83,64 +84,111 @@ class Bpe:
         self.by_bytes = {self.token_bytes[i]: i for i in reachable}
         #: Sufficient lookahead of the merge list, in bytes.
         self.horizon = max(map(len, self.by_bytes))
-        ends: dict[int, set[int]] = {}
+        ends: dict[bytes, set[int]] = {}
         for t in self.by_bytes:
-            ends.setdefault(t[-1], set()).add(len(t))
-        self.lengths_ending = {b: sorted(ls) for b, ls in ends.items()}
+            if len(t) > 2:
+                ends.setdefault(t[-3:], set()).add(len(t))
+        #: Last three bytes -> lengths of longer tokens that end so, longest first.
+        self.lengths_ending = {b: sorted(ls, reverse=True) for b, ls in ends.items()}
         self._follows: dict[int, bool] = {}
+        self._parts: dict[int, tuple[int, int, int] | None] = {}
+        #: (state, byte) -> state, and the last token of each state; state 0 is the start.
+        self._next: dict[int, int] = {}
+        self._last = [-1]
         self._memo = _Memo(self)
         self._special = added
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self._pretoken = regex.compile(PRETOKEN)
 
-    # -- merges of a short run, and the pair relation they define
-
-    def merge(self, run: bytes) -> list[int]:
-        ids = [self.byte_id[b] for b in run]
-        rank, made, none = self.rank.get, self.made, len(self.made)
-        ranks = [rank(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            k = ranks.index(best)
-            new = made[best]
-            ids[k:k + 2] = [new]
-            del ranks[k]
-            if k < len(ranks):
-                ranks[k] = rank(new << 20 | ids[k + 1], none)
-            if k:
-                ranks[k - 1] = rank(ids[k - 1] << 20 | new, none)
-        return ids
+    # -- the relation between neighbouring tokens that the merges define
+
+    def parts(self, token: int) -> tuple[int, int, int] | None:
+        """(rank, left, right) of the merge that ends the encoding of the token's own
+        bytes; rank -1 for a byte, None if its bytes encode to something else."""
+        if token not in self._parts:
+            ids = [self.byte_id[b] for b in self.token_bytes[token]]
+            last = (-1, token, token)
+            while len(ids) > 1:
+                best = min((self.rank.get(a << 20 | b, len(self.made)), k) for k, (a, b) in enumerate(zip(ids, ids[1:])))
+                if best[0] == len(self.made):
+                    break
+                k = best[1]
+                last = (best[0], ids[k], ids[k + 1])
+                ids[k:k + 2] = [self.made[best[0]]]
+            self._parts[token] = last if ids == [token] else None
+        return self._parts[token]
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether token ``b`` can come right after ``a`` (-1: at the start)."""
+        """Whether token ``b`` can come right after ``a`` (-1: at the start), that is,
+        whether no merge crosses their border: going back in time, the last formed of
+        the two tokens at the border gives way to its part there, and a merge of the
+        two must not come before either of the next ones up (of equal merges the left
+        one comes first)."""
         key = (a + 1) << 20 | b
         ok = self._follows.get(key)
         if ok is None:
-            if len(self._follows) > MEMO_RUNS:
+            if len(self._follows) >= MEMO_PAIRS:
                 self._follows.clear()
-            head = [] if a < 0 else [a]
-            ok = self._follows[key] = self.merge((self.token_bytes[a] if a >= 0 else b"") + self.token_bytes[b]) == [*head, b]
+            ok = self._follows[key] = self.parts(b) is not None and (a < 0 or self._apart(a, b))
         return ok
 
+    def _apart(self, a: int, b: int) -> bool:
+        ra, _, a_right = self.parts(a)
+        rb, b_left, _ = self.parts(b)
+        a_up = b_up = len(self.made)
+        while True:
+            r = self.rank.get(a << 20 | b)
+            if r is not None and r > ra and r > rb and r < a_up and r <= b_up:
+                return False
+            if ra > rb:
+                a_up, a = ra, a_right
+                ra, _, a_right = self.parts(a)
+            elif rb >= 0:
+                b_up, b = rb, b_left
+                rb, b_left, _ = self.parts(b)
+            else:
+                return True
+
     # -- the transducer
 
+    def step(self, read: bytes, last, i: int) -> int:
+        """The last token of the encoding up to position ``i``, where the bytes
+        ``read`` end, from the last tokens up to earlier positions."""
+        size, by_bytes, known = len(read), self.by_bytes, self._follows.get
+        for n in self.lengths_ending.get(read[-3:], ()):
+            if n <= size:
+                t = by_bytes.get(read[size - n:])
+                if t is not None:
+                    a = last[i - n]
+                    ok = known((a + 1) << 20 | t)
+                    if self.follows(a, t) if ok is None else ok:
+                        return t
+        t = by_bytes.get(read[-2:]) if size > 1 else None
+        return t if t is not None and self.follows(last[i - 2], t) else by_bytes[read[-1:]]
+
     def stream(self, run: Iterable[int]) -> Iterator[int]:
         """Token ids of a run of bytes of any length, each as soon as it is stable."""
-        window = bytearray()  # bytes base .. i
-        base = done = i = 0
-        last = {0: -1}  # position -> last token of the encoding up to it
+        run = iter(run)
+        head = bytes(islice(run, MEMO_DEPTH))
+        following, tokens = self._next, self._last
+        if len(tokens) + MEMO_DEPTH > MEMO_STATES:
+            self._next, self._last = following, tokens = {}, [-1]
+        first, state, i = [-1], 0, 0
+        for byte in head:
+            i += 1
+            to = following.get(state << 8 | byte)
+            if to is None:
+                to = following[state << 8 | byte] = len(tokens)
+                tokens.append(self.step(head[:i], first, i))
+            first.append(tokens[to])
+            state = to
+        done = base = 0
+        last = dict(enumerate(first)) if i == MEMO_DEPTH else first  # position -> last token of the encoding up to it
+        window = bytearray(head)  # bytes base .. i
         for byte in run:
             window.append(byte)
             i += 1
-            for n in self.lengths_ending[byte]:
-                if n > i:
-                    break
-                t = self.by_bytes.get(bytes(window[i - n - base: i - base])) if i - n >= base else None
-                if t is not None and self.follows(last[i - n], t):
-                    last[i] = t
-                    break
+            last[i] = self.step(bytes(window[-self.horizon:]), last, i)
             if i % self.horizon == 0 and i > 2 * self.horizon:
                 meet = self._meet(last, i)
                 if meet > done:
@@ -161,7 +209,7 @@ class Bpe:
             heads.add(top - len(self.token_bytes[last[top]]))
         return heads.pop()
 
-    def _back(self, last: dict[int, int], end: int, start: int) -> list[int]:
+    def _back(self, last, end: int, start: int) -> list[int]:
         out = []
         while end > start:
             out.append(last[end])
@@ -204,19 +252,34 @@ _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
 class _Memo(dict):
+    """Output of short runs; when half full, it becomes the older half, from which
+    runs that are met again move over."""
+
     def __init__(self, bpe: Bpe):
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, word: str):
-        run = word.encode()
-        if len(run) > SHORT_RUN:
-            return self.bpe.stream(run)
-        if len(self) >= MEMO_RUNS:
+        out = self.older.get(word)
+        if out is None:
+            run = word.encode()
+            if len(run) > MEMO_DEPTH:
+                return self.bpe.stream(run)
+            out = tuple(self.bpe.stream(run))
+        if len(self) >= MEMO_RUNS // 2:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = tuple(self.bpe.merge(run))
+        self[word] = out
         return out
 
 
+def transducer(box: dict) -> Bpe:
+    """The transducer of a broadcast vocabulary; a Python worker that runs several
+    tasks keeps it, and what it remembers, with the broadcast."""
+    if "bpe" not in box:
+        box["bpe"] = Bpe(box["spec"])
+    return box["bpe"]
+
+
 def load_vocab(path: str) -> bytes:
     """The vocabulary file, read once on the driver and sent to the tasks."""
     with open(path, "rb") as f:
@@ -231,10 +294,10 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
 
     Repeated rows are encoded each; other columns are not read, whatever their names.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
+    spec = docs.sparkSession.sparkContext.broadcast({"spec": load_vocab(vocab_path)})
 
     def run(batches):
-        bpe, out, held = Bpe(spec.value), [], 0
+        bpe, out, held = transducer(spec.value), [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
         for i, text in rows_of(batches, "doc_id", "text"):
             ids = list(chain.from_iterable(bpe.encode(text or "")))
@@ -251,10 +314,10 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """``(doc_id, text)`` from token ids; null ids give an empty text."""
-    spec = encoded.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
+    spec = encoded.sparkSession.sparkContext.broadcast({"spec": load_vocab(vocab_path)})
 
     def run(batches):
-        bpe = Bpe(spec.value)
+        bpe = transducer(spec.value)
         for i, ids in rows_of(batches, "doc_id", "token_ids"):
             text = "".join(bpe.decode([ids or []]))
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([text], pa.string())], names=["doc_id", "text"])
@@ -270,10 +333,10 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
     nor the decoded text of a document are held whole. A null or empty text has
     0 tokens and the digests of nothing; repeated rows give repeated results.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
+    spec = docs.sparkSession.sparkContext.broadcast({"spec": load_vocab(vocab_path)})
 
     def run(batches):
-        bpe = Bpe(spec.value)
+        bpe = transducer(spec.value)
         number = [str(i) for i in range(len(bpe.token_bytes))].__getitem__
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         out = []

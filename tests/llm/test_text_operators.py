@@ -399,11 +399,50 @@ def test_encoding_equals_the_library(own, library):
         assert "".join(own.decode([ids[:3], ids[3:]])) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_stream_is_the_same_with_bounded_state(own):
+def merged(own, run):
+    """The merges applied one by one, lowest rank first."""
+    ids = [own.byte_id[b] for b in run]
+    while len(ids) > 1:
+        rank, k = min((own.rank.get(x << 20 | y, len(own.made)), k) for k, (x, y) in enumerate(zip(ids, ids[1:])))
+        if rank == len(own.made):
+            break
+        ids[k:k + 2] = [own.made[rank]]
+    return ids
+
+
+def test_stream_is_the_same_with_bounded_state(own, monkeypatch):
     rng = random.Random(12)
-    for _ in range(60):
-        run = random_text(rng).encode()[:3000]
-        assert list(own.stream(run)) == own.merge(run)
+    runs = [random_text(rng).encode()[:700] for _ in range(60)]
+    for run in runs:
+        assert list(own.stream(run)) == merged(own, run)
+    monkeypatch.setattr(bpe, "MEMO_STATES", 100)  # the tables of states are given up again and again
+    monkeypatch.setattr(bpe, "MEMO_PAIRS", 50)
+    for run in runs[:20]:
+        assert list(own.stream(run)) == merged(own, run)
+
+
+def test_every_id_comes_out_of_the_transducer(own, monkeypatch):
+    emitted, stream = [], bpe.Bpe.stream
+    monkeypatch.setattr(bpe.Bpe, "stream", lambda self, run: (emitted.append(t) or t for t in stream(self, run)))
+    own, rng = bpe.Bpe(bpe.load_vocab(public_tokenizers.path("byte_bpe_50k.json"))), random.Random(14)
+    text = " ".join(str(k) + random_text(rng) for k in range(60))
+    runs = set(chained.from_iterable(own._words(text.replace("<|endoftext|>", ""))))
+    ids = list(chained.from_iterable(own.encode(text.replace("<|endoftext|>", ""))))
+    assert len(emitted) >= sum(len(merged(own, r.encode())) for r in runs) and set(emitted) == set(ids)
+
+
+def test_neighbouring_tokens(own):
+    """The relation by parts equals encoding the joint bytes."""
+    rng = random.Random(15)
+    tokens = [t for t in rng.sample(range(len(own.token_bytes)), 4000) if own.token_bytes[t] in own.by_bytes and own.by_bytes[own.token_bytes[t]] == t]
+    right = 0
+    for _ in range(6000):
+        a, b = rng.choice(tokens), rng.choice(tokens[:40] + own.byte_id)
+        assert own.follows(a, b) == (merged(own, own.token_bytes[a] + own.token_bytes[b]) == [a, b])
+        right += own.follows(a, b)
+    assert 0 < right < 6000
+
+
     seen = []
 
     def watched():  # bytes taken before the n-th token comes out
@@ -413,7 +452,7 @@ def test_stream_is_the_same_with_bounded_state(own):
 
     tokens = own.stream(watched())
     first = next(tokens)
-    assert first == own.merge(b"hetionanther" * 10)[0] and len(seen) <= 4 * own.horizon
+    assert first == merged(own, b"hetionanther" * 10)[0] and len(seen) <= 4 * own.horizon
 
 
 def test_decoder_state_machine(own, library):
