@@ -40,13 +40,24 @@ def guard(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     for c in checks:
         if c.violation is None:
             raise ValueError(f"{c.name} is not a check per row")
-    bad = F.concat_ws("; ", *[F.when(c.violation, F.lit(c.name)) for c in checks])
-    # rand() is always >= 0; it keeps the test where it stands, as a pushed-down
-    # one would repeat the expressions behind every checked column
-    passes = F.when(F.length(bad) > 0, F.raise_error(F.concat(F.lit("quality gate: "), bad)).cast("boolean")).otherwise(F.rand(0) >= 0)
+    if not checks:
+        return df
+    any_bad = reduce(lambda a, b: a | b, [F.coalesce(c.violation, F.lit(False)) for c in checks])
+    # the names are put together only inside the error; rand() is always >= 0 and keeps
+    # the test where it stands, as a pushed-down one would repeat the expressions
+    # behind every checked column
+    names = F.concat_ws("; ", *[F.when(c.violation, F.lit(c.name)) for c in checks])
+    passes = F.when(any_bad, F.raise_error(F.concat(F.lit("quality gate: "), names)).cast("boolean")).otherwise(F.rand(0) >= 0)
     return df.filter(passes)
 
 
+def failed(checks: Sequence[Check]) -> Column:
+    """The names of the row checks that a row breaks, as an array."""
+    if not checks:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(c.violation, F.lit(c.name)) for c in checks]))
+
+
 def domain(col: str, allowed: Sequence[Any], exact: bool = False) -> list[Check]:
     """Values within ``allowed`` (null counts as a violation); ``exact`` also
     requires every allowed value to occur."""

@@ -5,6 +5,7 @@ operators; only the parameters (ladders, decode mode) differ.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -57,36 +58,41 @@ def decode(df: DataFrame, rounded: bool = False, keep_err: bool = False) -> Data
     return with_geohash_coords(df, "geohash", rounded=rounded, keep_err=keep_err)
 
 
-def gate(df: DataFrame, imputed=IMPUTED) -> DataFrame:
-    """Row checks before encoding, without a pass of their own: filled columns
-    hold a value of their domain, minutes lie on the 15-minute grid, geohashes
-    decode (a valid one lies in the coordinates' range)."""
-    checks = quality.not_null(["Temperature"] if "Temperature" in imputed else [], nan=True)
-    checks += quality.domain("RoadType", ROAD_TYPES) if "RoadType" in imputed else []
-    checks += quality.domain("Weather", WEATHERS) if "Weather" in imputed else []
-    hour, minute = parse_hm("timestamp")
-    checks += [quality.Check("slots:minute", ~F.coalesce(minute.isin([0, 15, 30, 45]), F.lit(False))),
-               quality.Check("range:hour", ~F.coalesce(hour.between(0, 23), F.lit(False))),
-               quality.Check("domain:geohash", ~F.coalesce(is_valid_geohash("geohash"), F.lit(False)))]
-    return quality.guard(df, checks)
+def row_checks(domains: bool = False) -> list[quality.Check]:
+    """What every encoded row has to hold: a Temperature, hours and minutes on the
+    15-minute grid, decoded coordinates, closed binary maps, one class per one-hot
+    set; with ``domains`` the categories had to lie in their vocabulary before they
+    were encoded. They read columns that ``encode`` has computed anyway."""
+    checks = quality.not_null(["Temperature"], nan=True)
+    checks += quality.domain("RoadType", ROAD_TYPES) + quality.domain("Weather", WEATHERS) if domains else []
+    checks += [quality.Check("range:hour", ~F.coalesce(F.col("hour").between(0, 23), F.lit(False))),
+               quality.Check("slots:minute", ~F.coalesce(F.col("minute").isin([0, 15, 30, 45]), F.lit(False))),
+               quality.Check("domain:geohash", F.col("latitude").isNull() | F.col("longitude").isNull())]
+    checks += quality.domain("LargeVehicles", [0, 1]) + quality.domain("Landmarks", [0, 1])
+    checks += quality.onehot_sum([f"RoadType_{v}" for v in ROAD_TYPES], "RoadType")
+    return checks + quality.onehot_sum([f"Weather_{v}" for v in WEATHERS], "Weather")
 
 
-def gate_features(df: DataFrame) -> DataFrame:
-    """Row checks on encoded features: binary domains, one class per one-hot set."""
-    checks = quality.domain("LargeVehicles", [0, 1]) + quality.domain("Landmarks", [0, 1])
-    checks += quality.onehot_sum([f"RoadType_{v}" for v in ROAD_TYPES], "RoadType")
-    checks += quality.onehot_sum([f"Weather_{v}" for v in WEATHERS], "Weather")
-    return quality.guard(df, checks)
+def raw_checks(binary: bool = True) -> list[quality.Check]:
+    """Checks on readings as they arrive: times on the grid, geohashes that decode,
+    values that the binary maps know. They never raise on a malformed value."""
+    hour, minute = parse_hm("timestamp", strict=False)
+    checks = [quality.Check("range:hour", ~F.coalesce(hour.between(0, 23), F.lit(False))),
+              quality.Check("slots:minute", ~F.coalesce(minute.isin([0, 15, 30, 45]), F.lit(False))),
+              quality.Check("domain:geohash", ~F.coalesce(is_valid_geohash("geohash"), F.lit(False)))]
+    return checks + (quality.domain("LargeVehicles", list(LARGE_VEHICLES)) + quality.domain("Landmarks", list(LANDMARKS)) if binary else [])
 
 
-def encode(df: DataFrame, keep_time_parts: bool = True) -> DataFrame:
-    """Binary maps, time of day, closed-vocabulary one-hots, day flag."""
+def encode(df: DataFrame, keep_time_parts: bool = True, checks: Sequence[quality.Check] = ()) -> DataFrame:
+    """Binary maps, time of day, closed-vocabulary one-hots, day flag. ``checks``
+    are tested on the encoded rows, before the columns that only they need go."""
     df = binary_encode(df, "LargeVehicles", LARGE_VEHICLES)
     df = binary_encode(df, "Landmarks", LANDMARKS)
-    df = time_features(df, "timestamp", keep_parts=keep_time_parts)
-    df = one_hot(df, "RoadType", ROAD_TYPES, default="Residential")
-    df = one_hot(df, "Weather", WEATHERS, default="Sunny")
-    return add_flag(df, "day", 49, "is_day_49").drop("day")
+    df = time_features(df, "timestamp")
+    df = one_hot(df, "RoadType", ROAD_TYPES, default="Residential", drop=False)
+    df = one_hot(df, "Weather", WEATHERS, default="Sunny", drop=False)
+    df = quality.guard(add_flag(df, "day", 49, "is_day_49"), checks)
+    return df.drop("day", "RoadType", "Weather", *([] if keep_time_parts else ["hour", "minute"]))
 
 
 def fit_target(train_rows: DataFrame) -> TargetEncoding:
@@ -105,8 +111,7 @@ def train_features(readings: DataFrame, strategy: str = "auto", enforce: bool =
     cutoff = split_cutoff(readings, "row_id", VAL_FRACTION, SPLIT_SEED)
     enc = train_encoding_from_raw(readings, cutoff)
     df = _drop_provenance(clean(readings, strategy=strategy))
-    df = encode(decode(gate(df) if enforce else df))
-    df = gate_features(df) if enforce else df
+    df = encode(decode(df), checks=row_checks(domains=True) if enforce else ())
     df = target_encode_apply(df.withColumn("is_val", split_flag("row_id", cutoff, SPLIT_SEED)), enc)
     return df.select("row_id", *FEATURES, "demand", "is_val"), enc
 
@@ -127,18 +132,18 @@ def serve_features(test: DataFrame, train_raw: DataFrame, strategy: str = "auto"
     df = _drop_provenance(clean(test, ladders.serving_plan(), strategy=strategy))
     df = df.withColumns({"Weather": close_vocab("Weather", WEATHERS, "Sunny"),
                          "RoadType": close_vocab("RoadType", ROAD_TYPES, "Residential")})
-    df = encode(decode(gate(df) if enforce else df, rounded=True), keep_time_parts=False)
-    df = target_encode_apply(gate_features(df) if enforce else df, train_encoding_from_raw(train_raw))
+    df = encode(decode(df, rounded=True), keep_time_parts=False, checks=row_checks() if enforce else ())
+    df = target_encode_apply(df, train_encoding_from_raw(train_raw))
     return align(df, FEATURES, keep=["row_id"])
 
 
-def const_features(test: DataFrame, train_raw: DataFrame, temperature: float = 16.3803) -> DataFrame:
+def const_features(test: DataFrame, train_raw: DataFrame, temperature: float = 16.3803, enforce: bool = True) -> DataFrame:
     """The cheap test preparation: constant Temperature, exact decode, binary
     maps, time features (parts kept), vocab closure (null -> default),
     one-hots, day flag, geohash target encoding fitted on the training split
     (same rows as the training path); geohash dropped (24 columns + row_id)."""
     df = fill_const(test, "Temperature", temperature)
-    df = encode(decode(df))
+    df = encode(decode(df), checks=row_checks() if enforce else ())
     df = target_encode_apply(df, train_encoding_from_raw(train_raw))
     return df.drop("geohash")
 
@@ -149,18 +154,20 @@ OPEN_WEATHERS = ["Clear", "Rainy", "Snowy"]
 LENIENT_MAP = {"Yes": 1, "No": 0}
 
 
-def alt_features(test: DataFrame, train_raw: DataFrame, strategy: str = "auto") -> DataFrame:
+def alt_features(test: DataFrame, train_raw: DataFrame, strategy: str = "auto", enforce: bool = True) -> DataFrame:
     """The second test preparation: the alternative ladders, lenient Yes/No maps,
     open-vocabulary one-hots, time of day over 1440 minutes, an existing day flag
-    kept, target encoding from the raw training table."""
+    kept, target encoding from the raw training table. Its maps and vocabularies are
+    open, so only times, coordinates and Temperature are checked."""
     df = _drop_provenance(clean(test, ladders.alt_plan(), strategy=strategy))
     for c in ("LargeVehicles", "Landmarks"):
         df = binary_encode(df, c, LENIENT_MAP, default=0)
     df = one_hot(df, "RoadType", OPEN_ROAD_TYPES, skip_existing=True)
     df = one_hot(df, "Weather", OPEN_WEATHERS, skip_existing=True)
-    df = time_features(df, "timestamp", style="day_minute", keep_parts=False)
-    df = add_flag(df, "day", 49, "is_day_49").drop("day")
-    return target_encode_apply(decode(df), train_encoding_from_raw(train_raw)).drop("geohash")
+    df = decode(add_flag(time_features(df, "timestamp", style="day_minute"), "day", 49, "is_day_49"))
+    time_and_place = ("not_null:Temperature", "range:hour", "domain:geohash")
+    df = quality.guard(df, [c for c in row_checks() if c.name in time_and_place] if enforce else ())
+    return target_encode_apply(df.drop("day", "hour", "minute"), train_encoding_from_raw(train_raw)).drop("geohash")
 
 
 def train_and_serve(readings: DataFrame, test: DataFrame, strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
@@ -173,14 +180,15 @@ def train_and_serve(readings: DataFrame, test: DataFrame, strategy: str = "auto"
         return tr.result()[0], sv.result()
 
 
-def score(features: DataFrame, train_features_df: DataFrame, weights: dict, clip: bool = True) -> DataFrame:
+def score(features: DataFrame, train_features_df: DataFrame, weights: dict, clip: bool = True, expected: DataFrame | None = None) -> DataFrame:
     """Scoring path: scaler refit on the training rows' continuous columns,
     applied to the serving features, batched network inference, clip at 0,
-    checked output contract ``Index, demand``."""
+    checked output contract ``Index, demand``. ``expected``: the table whose row ids
+    must all come out, each once (see ``submission``)."""
     train_rows = train_features_df.filter(~F.col("is_val"))
     params = scaler_params(scaler_fit(train_rows, CONTINUOUS), CONTINUOUS)
     scaled = scaler_apply(features, params)
     pred = mlp_score(scaled, FEATURES, weights, keep=["row_id"], out="demand")
     if clip:
         pred = pred.withColumn("demand", clip_lower("demand", 0.0))
-    return submission(pred, "row_id", "demand")
+    return submission(pred, "row_id", "demand", expected=expected)
