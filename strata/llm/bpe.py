@@ -31,9 +31,11 @@ import codecs
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -325,23 +327,25 @@ def decode_documents(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id"
     return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].alias("token_ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode every text, decode the ids again, and return digests of both:
-    ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+    ``doc_id, n_tokens, ids_sha256, decoded_sha256``, with ``keep_ids`` also
+    ``token_ids array<int>`` (then a document's ids are held, 4 bytes each).
 
     Ids flow from the encoder into the decoder piece by piece; neither the ids
     nor the decoded text of a document are held whole. A null or empty text has
     0 tokens and the digests of nothing; repeated rows give repeated results.
     """
     spec = docs.sparkSession.sparkContext.broadcast({"spec": load_vocab(vocab_path)})
+    kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("token_ids", pa.list_(pa.int32()))] if keep_ids else [])
 
     def run(batches):
         bpe = transducer(spec.value)
         number = [str(i) for i in range(len(bpe.token_bytes))].__getitem__
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        out = []
+        schema = pa.schema(kinds)
+        out, held = [], 0
         for i, text in rows_of(batches, "doc_id", "text"):
-            ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
+            ids_sha, text_sha, n, kept = hashlib.sha256(), hashlib.sha256(), 0, array("i")
 
             def pieces():
                 nonlocal n
@@ -349,18 +353,31 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
                     if ids:
                         ids_sha.update(((("," if n else "") + ",".join(map(number, ids)))).encode())
                         n += len(ids)
+                        if keep_ids:
+                            kept.extend(ids)
                         yield ids
 
             for piece in bpe.decode(pieces()):
                 text_sha.update(piece.encode())
-            out.append((i, n, ids_sha.hexdigest(), text_sha.hexdigest()))
-            if len(out) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.field(k).type) for k in range(4)], schema=schema)
-                out = []
+            out.append((i, n, ids_sha.hexdigest(), text_sha.hexdigest(), kept))
+            held += len(kept)
+            if len(out) == 4096 or held > 1 << 20:
+                yield _round_trips(out, schema)
+                out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.field(k).type) for k in range(4)], schema=schema)
+            yield _round_trips(out, schema)
+
+    sql = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if keep_ids else "")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, sql)
+
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _round_trips(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = [pa.array([r[k] for r in rows], schema.field(k).type) for k in range(4)]
+    if len(schema) == 5:
+        ends = np.cumsum([0, *(len(r[4]) for r in rows)])
+        ids = np.concatenate([np.frombuffer(r[4], np.int32) for r in rows])
+        cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+    return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
 ships_by_value(__name__)

@@ -13,7 +13,6 @@ The model is fitted on a bounded sample of labelled rows
 from __future__ import annotations
 
 import math
-import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +61,8 @@ SCRIPT_STARTS = [
     (0x10000, "Other"), (0x20000, "Han"),
 ]
 _STARTS = [a for a, _ in SCRIPT_STARTS]
-_WORD = re.compile(r"[^\W\d_]+")
+#: A letter and what follows it of letters and of marks on them; numerals are none.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def script_of(ch: str) -> str:
@@ -83,7 +84,7 @@ class Model:
     langs: list[str]
     index: dict[str, int]
     logp: np.ndarray  # (n-grams + 1, languages), centred; the last row is an unknown n-gram
-    scripts: dict[str, np.ndarray]  # script -> penalty per language
+    scripts: dict[str, np.ndarray]  # script -> the languages that are candidates for it
 
 
 def training_sample(docs: DataFrame, chosen: Column, max_docs_per_lang: int = MAX_DOCS_PER_LANG,
@@ -145,7 +146,7 @@ def fit(sample: DataFrame) -> Model:
     scripts = {}
     for s, n in shares.items():
         used = n >= SCRIPT_SHARE * np.maximum(total, 1)
-        scripts[s] = np.where(used, 0.0, WRONG_SCRIPT) if used.any() else np.zeros(len(langs))
+        scripts[s] = np.flatnonzero(used if used.any() else n > 0)
     return Model(langs, index, logp.astype(np.float32), scripts)
 
 
@@ -156,33 +157,47 @@ class Scorer:
         self.m = model
         self.at: dict[str, int] = {}
         self.table = np.zeros((0, len(model.langs)), np.float32)
+        #: Whether the model has seen the word's script at all.
+        self.seen = np.zeros(0, bool)
+        self._logp: dict[tuple, np.ndarray] = {}
+
+    def _of(self, candidates: np.ndarray) -> np.ndarray:
+        """The n-grams' scores for the candidates alone."""
+        key = tuple(candidates.tolist())
+        if key not in self._logp:
+            self._logp[key] = np.ascontiguousarray(self.m.logp[:, candidates])
+        return self._logp[key]
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Index into ``table`` of every word."""
+        """Index into ``table`` of every word. The word's script narrows the
+        languages: only its candidates are scored, the others stand at a floor. A
+        word in a script that the model has not seen tells nothing."""
         new = set(words).difference(self.at)
         if new and len(self.at) + len(new) > MEMO_WORDS:
-            self.at, self.table = {}, self.table[:0]
+            self.at, self.table, self.seen = {}, self.table[:0], self.seen[:0]
             new = set(words)
         if new:
-            new = sorted(new)
+            by_script: dict[str, list[str]] = {}
+            for w in sorted(new):
+                by_script.setdefault(script_of(w[0]), []).append(w)
             unknown = len(self.m.index)
-            flat, starts = [], []
-            for w in new:
-                starts.append(len(flat))
-                flat.extend(self.m.index.get(g, unknown) for g in grams(w))
-            score = np.add.reduceat(self.m.logp[flat], starts, axis=0) / 2
-            score = np.clip(score - score.max(1, keepdims=True), -WORD_CLIP, 0)
-            neutral = np.zeros(len(self.m.langs))
-            for k, w in enumerate(new):
-                s = script_of(w[0])
-                if s != "Latin" or s not in self.m.scripts:
-                    score[k] = score[k] - self.m.scripts[s] if s in self.m.scripts else neutral
-            if "Latin" in self.m.scripts and self.m.scripts["Latin"].any():
-                latin = [k for k, w in enumerate(new) if script_of(w[0]) == "Latin"]
-                score[latin] -= self.m.scripts["Latin"]
-            for w in new:
-                self.at[w] = len(self.at)
-            self.table = np.concatenate([self.table, score.astype(np.float32)])
+            tables, seen = [self.table], [self.seen]
+            for s, group in by_script.items():
+                candidates = self.m.scripts.get(s)
+                score = np.zeros((len(group), len(self.m.langs)), np.float32)
+                if candidates is not None:
+                    flat, starts = [], []
+                    for w in group:
+                        starts.append(len(flat))
+                        flat.extend(self.m.index.get(g, unknown) for g in grams(w))
+                    own = np.add.reduceat(self._of(candidates)[flat], starts, axis=0) / 2
+                    score[:] = -(WORD_CLIP + WRONG_SCRIPT)
+                    score[:, candidates] = np.clip(own - own.max(1, keepdims=True), -WORD_CLIP, 0)
+                for w in group:
+                    self.at[w] = len(self.at)
+                tables.append(score)
+                seen.append(np.full(len(group), candidates is not None))
+            self.table, self.seen = np.concatenate(tables), np.concatenate(seen)
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
 
@@ -248,23 +263,29 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 
 def _labelled(rows: list[tuple], scorer: Scorer, penalty: float):
-    """(row, words, labels) of rows whose text has letters and a model exists."""
+    """``(row, words, labels, letters per language, letters)``; no labels without
+    letters or a model. Words in a script the model has not seen count for no language."""
     words = [words_of(r[1]) for r in rows]
     busy = [k for k, w in enumerate(words) if w] if scorer.m.langs else []
-    labels: dict[int, np.ndarray] = {}
+    out = [(r, words[k], None, None, sum(map(len, words[k]))) for k, r in enumerate(rows)]
     if busy:
         at = scorer.rows([w for k in busy for w in words[k]])
         cuts = np.cumsum([len(words[k]) for k in busy])[:-1]
-        found = viterbi([scorer.table[a] for a in np.split(at, cuts)], penalty)
-        labels = dict(zip(busy, found))
-    return [(r, words[k], labels.get(k)) for k, r in enumerate(rows)]
+        places = np.split(at, cuts)
+        for k, place, label in zip(busy, places, viterbi([scorer.table[a] for a in places], penalty)):
+            letters = np.fromiter(map(len, words[k]), np.int64, len(words[k]))
+            per = np.bincount(label, weights=letters * scorer.seen[place], minlength=len(scorer.m.langs))
+            out[k] = (rows[k], words[k], label, per, int(letters.sum()))
+    return out
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of every row, from its whole text alone.
 
     ``und`` with score 0 where the text is null or has no letter (or the model
-    knows no language). Equal shares go to the first language by name. Repeated
+    knows no language). The score is the language's share of all letters, of which
+    those in scripts that the model has not seen belong to none (a text of nothing
+    else scores 0). Equal shares go to the first language by name. Repeated
     rows give repeated results; other columns are not read, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.logp, model.scripts))
@@ -273,15 +294,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         scorer = Scorer(Model(*sent.value))
         for rows in task_slices(batches, ("doc_id", "text"), lambda r: len(r[1] or "") + 64, TASK_CHARS):
             langs, scores = [], []
-            for _, words, label in _labelled(rows, scorer, penalty):
-                if label is None:
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                letters = np.fromiter(map(len, words), np.int64, len(words))
-                per = np.bincount(label, weights=letters, minlength=len(scorer.m.langs))
-                langs.append(scorer.m.langs[int(per.argmax())])
-                scores.append(float(per.max() / per.sum()))
+            for _, _, label, per, letters in _labelled(rows, scorer, penalty):
+                langs.append(UNDETERMINED if label is None else scorer.m.langs[int(per.argmax())])
+                scores.append(0.0 if label is None else float(per.max() / letters))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -291,7 +306,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def filter_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text",
                       penalty: float = SWITCH_PENALTY) -> DataFrame:
     """The rows whose text has letters and a language that holds ``min_score`` of
-    them, all columns as they were; judged in the scan, without a shuffle."""
+    them, all columns as they were; judged in the scan, without a shuffle. A model
+    without languages judges nothing: all rows stay."""
+    if not model.langs:
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.logp, model.scripts))
     at = docs.columns.index(text_col)
 
@@ -306,12 +324,8 @@ def filter_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCOR
                 weight += len(t or "") + 64
                 if weight >= TASK_CHARS or k == batch.num_rows - 1:
                     keep = []
-                    for _, words, label in _labelled(rows, scorer, penalty):
-                        if label is None:
-                            keep.append(False)
-                            continue
-                        per = np.bincount(label, weights=np.fromiter(map(len, words), np.int64, len(words)))
-                        keep.append(bool(per.max() >= min_score * per.sum()))
+                    for _, _, label, per, letters in _labelled(rows, scorer, penalty):
+                        keep.append(label is not None and bool(per.max() >= min_score * letters))
                     yield batch.slice(first, len(rows)).filter(pa.array(keep, pa.bool_()))
                     rows, first, weight = [], k + 1, 0
 
@@ -327,7 +341,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(Model(*sent.value))
         for rows in task_slices(batches, ("doc_id", "text"), lambda r: len(r[1] or "") + 64, TASK_CHARS):
             out = []
-            for (i, _), _, label in _labelled(rows, scorer, penalty):
+            for (i, _), _, label, _, _ in _labelled(rows, scorer, penalty):
                 if label is not None:
                     first = np.concatenate([[0], np.flatnonzero(np.diff(label.astype(np.int64))) + 1])
                     n = np.diff(np.concatenate([first, [len(label)]]))

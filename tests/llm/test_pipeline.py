@@ -38,8 +38,8 @@ def test_run_against_brute_force(spark):
     for i, text in rows:
         if i not in bad:
             ids = library.encode(text, add_special_tokens=False).ids
-            want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF001).collect()}
+            want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.token_ids) for r in corpus_pipeline.run(spark, SF001).collect()}
     assert got == want
 
 
@@ -51,12 +51,12 @@ def test_stages_keep_the_columns_and_take_edges(spark):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == docs.columns, name
             docs = spark.createDataFrame(out.collect(), out.schema)
-        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
 
 
 def test_one_query_per_operator():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from conftest import SF001, SF01
 from strata.llm import bpe, chat, components, decontam, html_text, langid, minhash, sharding
 from strata.llm.common import table
 
@@ -108,9 +108,69 @@ def test_viterbi_against_enumeration(monkeypatch, few):
 
 def test_language_scripts_narrow_candidates(spark, tiny_model):
     m = fit_tiny(spark, tiny_model)
-    assert (m.scripts["Cyrillic"] == 0).sum() == 1 and (m.scripts["Latin"] == 0).sum() == 2
-    got = langid.identify(spark.createDataFrame([(1, "ыыы"), (2, "你好"), (3, "123 ...")], "doc_id long, text string"), m).orderBy("doc_id").collect()
-    assert got[0].lang_pred == "ru" and got[1].lang_pred in m.langs and (got[2].lang_pred, got[2].score) == ("und", 0.0)
+    assert [m.langs[k] for k in m.scripts["Cyrillic"]] == ["ru"] and [m.langs[k] for k in m.scripts["Latin"]] == ["en", "fr"]
+    texts = [(1, "ыыы"), (2, "你好"), (3, "123 ..."), (4, "½ ② ² Ⅷ"), (5, "the cat 你好你好你好"), (6, "हिन्दी"), (7, "the ½ cat")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, m).collect()}
+    assert got[1] == ("ru", 1.0) and got[2] == ("en", 0.0) and got[3] == got[4] == ("und", 0.0)  # numerals are no letters
+    assert got[5] == ("en", 0.5) and got[6] == ("en", 0.0) and got[7] == ("en", 1.0)
+    assert langid.words_of("Ein हिन्दी ภาษา x2y½") == ["ein", "हिन्दी", "ภาษา", "x", "y"]  # marks stay in words
+    assert sorted(r.doc_id for r in langid.filter_identified(df, m).collect()) == [1, 5, 7]
+
+
+def brute_language(sample):
+    """text -> (language, score) by plain counts, whole Viterbi tables and no memory."""
+    langs = sorted({lang for lang, _ in sample})
+    counts = {lang: [{}, {}, {}] for lang in langs}
+    for lang, t in sample:
+        for w in langid.words_of(t):
+            for g in langid.grams(w):
+                c = counts[lang][len(g) - 1]
+                c[g] = c.get(g, 0) + 1
+    known = [set().union(*(counts[lang][n] for lang in langs)) for n in range(3)]
+    sums = {lang: [sum(c.values()) for c in counts[lang]] for lang in langs}
+
+    def gram(g):
+        n = len(g) - 1
+        if g not in known[n]:
+            return np.zeros(len(langs))
+        x = np.array([np.log(counts[lang][n].get(g, 0) + 0.5) - np.log(sums[lang][n] + 0.5 * len(known[n])) for lang in langs])
+        return x - x.mean()
+
+    def predict(text):
+        words = langid.words_of(text)
+        if not words:
+            return "und", 0.0
+        best, back = None, []
+        for w in words:
+            s = sum(gram(g) for g in langid.grams(w)) / 2
+            s = np.clip(s - s.max(), -langid.WORD_CLIP, 0)
+            if best is None:
+                best = s
+                continue
+            step = [max(range(len(langs)), key=lambda j: (best[j] - langid.SWITCH_PENALTY * (j != k), j == k, -j)) for k in range(len(langs))]
+            best = np.array([best[j] - langid.SWITCH_PENALTY * (j != k) for k, j in enumerate(step)]) + s
+            back.append(step)
+        k, path = int(np.argmax(best)), []
+        for step in reversed(back):
+            path.append(k)
+            k = step[k]
+        path = [k, *reversed(path)]
+        per = [sum(len(w) for w, p in zip(words, path) if p == k) for k in range(len(langs))]
+        return langs[per.index(max(per))], max(per) / sum(per)
+
+    return predict
+
+
+def test_language_of_whole_documents_against_brute_force(spark):
+    docs = table(spark, SF001, "documents")
+    sample = langid.training_sample(docs, ~langid.held_out(), max_docs_per_lang=8)
+    predict = brute_language([tuple(r) for r in sample.select("lang", "text").collect()])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(sample)).collect()}
+    short = [r for r in docs.select("doc_id", "text").collect() if len(r.text or "") < 2500]
+    assert len(short) > 100
+    wrong = [(r.doc_id, got[r.doc_id], predict(r.text)) for r in short]
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for _, a, b in wrong), [w for w in wrong if w[1] != w[2]][:3]
 
 
 def test_language_edges(spark, tiny_model):
@@ -124,6 +184,7 @@ def test_language_edges(spark, tiny_model):
     assert kept.columns == edge(spark).columns and kept.count() == len(EDGE) - 4
     blank = langid.fit(empty(spark).select("lang", "text"))
     assert {r.lang_pred for r in langid.identify(edge(spark), blank).collect()} == {"und"}
+    assert langid.filter_identified(edge(spark), blank).count() == len(EDGE)  # without a label nothing is judged
 
 
 # --- decontamination
