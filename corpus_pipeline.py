@@ -28,8 +28,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the text decoded from them."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token ids of every document, their count, and digests of ids and of the text
+    decoded from them."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("encode", encode)]
