@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,17 @@ def band_rule(col: ColumnOrName, bands: Sequence[tuple[float, Any]], else_label:
     return out.otherwise(F.lit(else_label))
 
 
+@dataclass(frozen=True)
+class Bands:
+    """``band_rule`` as a value, so that a fitted ladder can be saved with it."""
+    bands: tuple[tuple[float, Any], ...]
+    else_label: Any
+    null_label: Any = None
+
+    def __call__(self, col: ColumnOrName) -> Column:
+        return band_rule(col, self.bands, self.else_label, self.null_label)
+
+
 # --- conditionals ----------------------------------------------------------------
 
 def fill_where(col: ColumnOrName, stat: ColumnOrName, guard: Column | None = None) -> Column:

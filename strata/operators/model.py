@@ -122,7 +122,7 @@ def mlp_score(df: DataFrame, features: Sequence[str], weights: dict[str, np.ndar
             res[out] = y.astype(np.float64)
             yield res
 
-    return df.select(*keep, *feats).mapInPandas(score, schema)
+    return df.select(*dict.fromkeys([*keep, *feats])).mapInPandas(score, schema)
 
 
 def fit_regressor(df: DataFrame, features: Sequence[str], y: str, is_val: str | None = None,

@@ -29,13 +29,16 @@ def split_cutoff(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = 42,
     Reads only the row-id column. Each level is one small job over a bounded
     histogram of the next four digits; levels go on until the boundary bucket
     holds at most ``direct_rows`` rows (or the hash ends), which are then ranked
-    directly (a top-k)."""
+    directly (a top-k). Row ids must be there and unique: a null one, or a repeated
+    one at the cut-off (where it would change the size), is an error."""
     hashed = df.select(split_hash(row_id, seed).alias("_h"))
     prefix, need, n_bucket = "", None, None
     while n_bucket is None or (n_bucket > direct_rows and len(prefix) < 32):
         depth = len(prefix) + 4  # 65,536 buckets per level
         sub = hashed.filter(F.col("_h").startswith(prefix)) if prefix else hashed
         hist = sub.groupBy(F.substring("_h", 1, depth).alias("_p")).count().collect()
+        if any(r["_p"] is None for r in hist):
+            raise ValueError(f"split: {row_id} holds nulls; a row without an id belongs to no side")
         hist.sort(key=lambda r: r["_p"])  # at most 65,536 rows
         if need is None:
             need = math.ceil(frac * sum(r["count"] for r in hist))
@@ -47,10 +50,15 @@ def split_cutoff(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = 42,
                 break
             need -= row["count"]
     if len(prefix) == 32:
+        if n_bucket > 1:
+            raise ValueError(f"split: {row_id} repeats at the cut-off, so no exact split exists")
         return prefix
-    last = (hashed.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(need)
-            .agg(F.max("_h").alias("m")).collect())
-    return last[0]["m"]
+    at_cut = hashed.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(need + 1).orderBy(F.desc("_h")).limit(2).collect()
+    if n_bucket == need:  # the bucket ends here
+        return at_cut[0]["_h"]
+    if at_cut[0]["_h"] == at_cut[1]["_h"]:
+        raise ValueError(f"split: {row_id} repeats at the cut-off, so no exact split exists")
+    return at_cut[1]["_h"]
 
 
 def split_flag(row_id: str, cutoff: str | None, seed: int = 42) -> Column:

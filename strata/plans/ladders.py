@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from strata.functions.columns import band_rule, geo_prefix, parse_hm
+from strata.functions.columns import Bands, geo_prefix, parse_hm
 from strata.operators.impute import Tier
 
 # Rule labels of the training ladders.
@@ -39,7 +39,7 @@ def with_helpers(df: DataFrame, ts: str = "timestamp", geohash: str = "geohash")
 
 
 def infer_weather(null_label=None):
-    return lambda t: band_rule(t, WEATHER_BANDS, WEATHER_ELSE, null_label=null_label)
+    return Bands(tuple(WEATHER_BANDS), WEATHER_ELSE, null_label)
 
 
 def road_ladder() -> list[Tier]:
