@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +20,16 @@ from strata.operators import model as mdl
 from strata.operators import profile as prof
 from strata.operators import quality as qa
 from strata.operators import relational as rel
+from strata.operators.batches import epoch_batches
+from strata.operators.network import Schedule, fit_network
 from strata.operators.scale import scaler_apply, scaler_fit, scaler_params, standardize
 from strata.operators.split import split_exact
-from strata.plans import ladders
+from strata.plans import fitted, ladders
 from strata.plans import oracle as O
 from strata.plans import pipelines as P
-from strata.session import ensure_checkpoint_dir
+from strata.session import cut_lineage, ensure_checkpoint_dir
 from strata.sources import io
+from strata.sources.checkpoint import save_checkpoint
 from strata.sources.fixtures import readings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -939,6 +943,97 @@ def q_load_weights(spark, sf):
     return P.score(train.select("row_id", *P.FEATURES), train, w)
 
 
+# ---------------------------------------------------------------- training, saved models, streams with gates
+BATCH_ROWS = 512
+_EPOCHS = (1, 2)
+_BATCHED = " UNION ALL ".join(f"SELECT {e} AS epoch, row_id, demand, CAST(floor((row_number() OVER (ORDER BY md5(CAST(row_id AS VARCHAR) || ':42:{e}')) - 1) / {BATCH_ROWS}) AS BIGINT) AS batch FROM r"
+                              for e in _EPOCHS)
+
+
+def _batched(spark, sf):
+    r = R(spark, sf).select("row_id", "demand")
+    out = None
+    for e in _EPOCHS:
+        one = epoch_batches(r, "row_id", BATCH_ROWS, 42, e).withColumn("epoch", F.lit(e))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("epoch", "batch").agg(F.count("*").alias("n_rows"), F.avg("demand").alias("mean_demand"), F.avg((F.col("demand") - F.lit(0.5)) ** 2).alias("loss"))
+
+
+@query("epoch_batches", W(O.base_ctes(False) + [("b", _BATCHED)], f"SELECT CAST(epoch AS INTEGER) AS epoch, batch, count(*) AS n_rows, {O.r6('avg(demand)')} AS mean_demand FROM b GROUP BY epoch, batch"))
+def q_epoch_batches(spark, sf):
+    return _batched(spark, sf).select("epoch", "batch", "n_rows", "mean_demand")
+
+
+@query("epoch_losses", W(O.base_ctes(False) + [("b", _BATCHED), ("l", "SELECT epoch, batch, avg((demand - 0.5) * (demand - 0.5)) AS loss FROM b GROUP BY epoch, batch")],
+                         f"SELECT CAST(epoch AS INTEGER) AS epoch, count(*) AS n_batches, {O.r6('avg(loss)')} AS mean_of_batch_means, {O.r6('sqrt(avg(loss))')} AS rmse FROM l GROUP BY epoch"))
+def q_epoch_losses(spark, sf):
+    return _batched(spark, sf).groupBy("epoch").agg(F.count("*").alias("n_batches"), F.avg("loss").alias("mean_of_batch_means"), F.sqrt(F.avg("loss")).alias("rmse"))
+
+
+FOLDS = 5
+
+
+@query("target_encode_oof", W(O.base_ctes(False) + [
+    ("f", f"SELECT row_id, geohash, demand, CAST(CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':42:fold'), 1, 8) AS BIGINT) % {FOLDS} AS INTEGER) AS fold FROM r"),
+    ("k", f"SELECT CAST(unnest(range({FOLDS})) AS INTEGER) AS fold"),
+    ("st", "SELECT f.geohash, k.fold, avg(demand) AS m, median(demand) AS md FROM k JOIN f ON f.fold <> k.fold GROUP BY f.geohash, k.fold"),
+    ("g", "SELECT k.fold, avg(demand) AS gm, median(demand) AS gmd FROM k JOIN f ON f.fold <> k.fold GROUP BY k.fold")],
+    f"SELECT f.row_id, f.fold, {O.r6('coalesce(st.m, g.gm)')} AS geohash_target_mean, {O.r6('coalesce(st.md, g.gmd)')} AS geohash_target_median "
+    "FROM f LEFT JOIN st ON f.geohash = st.geohash AND f.fold = st.fold JOIN g ON f.fold = g.fold"))
+def q_target_encode_oof(spark, sf):
+    from strata.operators.target import target_encode_oof_apply, target_encode_oof_fit
+    r = R(spark, sf).select("row_id", "geohash", "demand")
+    enc = target_encode_oof_fit(r, "row_id", "geohash", "demand", FOLDS)
+    return target_encode_oof_apply(r, enc, "row_id").select("row_id", "fold", "geohash_target_mean", "geohash_target_median")
+
+
+@query("load_checkpoint", W(TRAIN_CTES + mlp_ctes("tf"), SCORE_OUT))
+def q_load_checkpoint(spark, sf):
+    """The weights go through a checkpoint file, read by the data source."""
+    path = scratch(spark) + "/best.pt"
+    save_checkpoint(mdl.init_mlp_weights(len(P.FEATURES)), path)
+    train, _ = P.train_features(R(spark, sf))
+    return P.score(train.select("row_id", *P.FEATURES), train, mdl.weights_from_table(io.load_weights(spark, path)), expected=R(spark, sf))
+
+
+@query("serve_saved", W(SERVE_CTES, f"SELECT row_id, {feat_cols()} FROM sf"))
+def q_serve_saved(spark, sf):
+    """The serving path from a model that was saved and loaded: nothing is refitted."""
+    r = R(spark, sf)
+    path = scratch(spark)
+    fitted.fit_serving(r.drop("demand"), r).write().save(path)
+    return PipelineModel.load(path).transform(r.drop("demand"))
+
+
+#: One row in so many is broken on its way into the stream.
+BROKEN = 97
+
+
+@query("serve_gated_stream", W(SERVE_CTES, f"SELECT row_id, {feat_cols()} FROM sf WHERE row_id % {BROKEN} <> 0"))
+def q_serve_gated_stream(spark, sf):
+    """The stream with gates: rows with a broken time are set aside, the others come out."""
+    from strata.streaming.serve import fit_serve_model, run_gated_stream
+    r = R(spark, sf)
+    test, base = r.drop("demand"), scratch(spark)
+    test.withColumn("timestamp", F.when(F.col("row_id") % BROKEN == 0, F.lit("late")).otherwise(F.col("timestamp"))).write.parquet(f"{base}/src")
+    run_gated_stream(spark, f"{base}/src", test.schema, fit_serve_model(test, r), f"{base}/sink", f"{base}/quarantine", f"{base}/metrics", f"{base}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/sink").drop("batch")
+
+
+@query("fit_network")
+def q_fit_network(spark, sf):
+    """Training of the scored network on the 21 features, validated after every epoch;
+    residuals of its best epoch on the validation rows. Steps over all training rows, so
+    that the number of jobs does not grow with the table. (Sums in another order give
+    other last digits, which training amplifies; tests hold it against NumPy.)"""
+    train = cut_lineage(P.train_features(R(spark, sf))[0])
+    scaler = fitted.Standardizer(P.CONTINUOUS).fit(train.filter(~F.col("is_val")))
+    scaled = scaler.transform(train)
+    weights, _ = fit_network(scaled, P.FEATURES, "demand", scratch(spark), schedule=Schedule(epochs=6, batch_rows=None, rate=1e-2))
+    val = scaled.filter("is_val")
+    return mdl.residual_table(mdl.mlp_score(val, P.FEATURES, weights, keep=["row_id", "demand"]), "demand", "prediction")
+
+
 # ---------------------------------------------------------------- 2.11 quality gates
 @query("q_rowcount", W(O.base_ctes(False), gates_sql([
     ("rowcount", "abs(count(*) FILTER (WHERE Weather IS NOT NULL) - (SELECT count(*) FROM events))", "r")])))
