@@ -8,13 +8,16 @@ articles that only its id names so (``<section id="related-work">``), is one of
 them is decided at the end of the page. The text-to-tag ratio of each line, without
 link text, is smoothed with a Gaussian over its neighbours; two-means clustering
 of the smoothed ratios sets the threshold between content and the rest. The
-content lines select the region: all articles (or the main element) if no text
-outside them is content by its own ratio, or else the innermost container that
-holds all content lines, or the one around it as
-long as it is a part (a section, a table's part, one of several like it) or has
-text right beside it. All lines of the region come out in page order, so that short
-paragraphs and lists of links inside an article stay; only a container of nothing
-but short links (a menu) goes.
+content lines select the region on every page: the innermost container that holds
+all of them, or the one around it as long as it is a part (a section, a table's
+part, one of several like it) or has text right beside it. ``<article>`` and
+``<main>`` only weigh in: their lines' ratios count ``ARTICLE_WEIGHT`` times. All lines
+of the region come out in page order, so that short paragraphs and lists of links
+inside an article stay; only a container of nothing but short links (a menu) goes.
+
+Work is linear in the page: a tag that is never closed by ``>`` ends the page, end
+tags without a start are passed over, and containers nested deeper than
+``MAX_DEPTH`` count as their ancestor at that depth.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ LINK_SHARE = 0.5
 #: A menu has at least so many links, of so many characters at most in the mean.
 MENU_LINKS = 3
 MENU_CHARS = 30
+#: How much more a line inside an article counts.
+ARTICLE_WEIGHT = 1.25
+#: Nesting of containers that is told apart.
+MAX_DEPTH = 256
 #: Between blocks of the text.
 BLOCK_JOIN = "\n\n"
 
@@ -56,8 +63,18 @@ NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 NOISE_WORDS = frozenset(
     "ad adbox ads advert advertisement advertisements advertising adverts alert banner breadcrumb breadcrumbs comment comments commentlist consent "
     "cookie cookies copyright disclaimer disqus form forms gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices "
-    "notification pager pagination popup privacy promo promoted promotion recommended related replies respond search share sharing sidebar sidenav "
+    "notification pager pagination popup privacy promo promoted promotion recommended related replies respond responses search share sharing sidebar sidenav "
     "signup skip social sponsor sponsored subnav subscribe subscription toolbar topbar widget widgets".split())
+#: Words of names that only tell where or how something is laid out. A
+#: name is noise if it has a noise word and nothing but those beside it.
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box btn button center col column container content desktop element field fixed float footer global grid group head "
+    "header holder id inline inner item items js large layout left link links list main middle mini mobile module new outer page panel part post posts "
+    "primary right row secondary section shell side site slot small stack sticky strip sub tab tabs text title top unit wide wrap wrapper zone".split())
+#: What readers wrote, whatever element it is in; names of headers
+#: that hold a title.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond responses".split())
+TITLED = frozenset("article content entry main page post section story text title".split())
 #: Words that say what an element has, not what it is.
 ABOUT_WORDS = frozenset("has no with without".split())
 #: Elements whose id is an anchor made of their title.
@@ -75,6 +92,13 @@ def _names(text: str | None) -> set[str]:
     return {w.lower() for w in _WORDS.findall(text or "")}
 
 
+def _is_noise(name: str, noise: frozenset) -> bool:
+    words = {w for w in _names(name) if len(w) > 1}
+    if "header" in words and words & TITLED:
+        words -= {"header"}
+    return bool(words & noise) and words <= noise | LAYOUT_WORDS
+
+
 class _Frame:
     __slots__ = ("tag", "skip", "article", "path", "doubts")
 
@@ -97,6 +121,7 @@ class Lines(HTMLParser):
         self.opened = 0
         self.made: list[tuple] = [("", "")]
         self.kinds: list[str] = []
+        self.open: dict[str, int] = {}  # elements on the stack by name
 
     # -- lines
 
@@ -139,22 +164,27 @@ class Lines(HTMLParser):
         own, slug = _names(a.get("class")), _names(a.get("id"))
         if (own | slug) & ABOUT_WORDS:
             return False
-        noise = NOISE_WORDS | ({"footer"} if article else {"footer", "header"})
-        if own & noise:
+        noise = NOISE_WORDS | {"footer"} if article else NOISE_WORDS | {"footer", "header"}
+        if any(_is_noise(name, noise) for name in (a.get("class") or "").split()):
             return True
-        if not slug & noise or tag in HEADINGS:
+        if tag in HEADINGS or not _is_noise(a.get("id") or "", noise):
             return False
+        if slug & COMMENT_WORDS and tag != "p":
+            return True
         if tag in ANCHORED or (tag == "div" and "section" in own):
             return False if article else "bare" if slug <= noise else "slug"
         return True
 
     def _pop_to(self, k):
         for f in self.stack[k:]:
+            self.open[f.tag] -= 1
             if f.tag == "a":
                 self.links = max(0, self.links - 1)
         del self.stack[k:]
 
     def _close_open(self, tags, scope):
+        if not any(self.open.get(t) for t in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             t = self.stack[k].tag
             if t in tags:
@@ -175,6 +205,8 @@ class Lines(HTMLParser):
                 self.parts.append(" ")
             self.tags += 1
             return
+        if tag in ("main", "article") and self.stack[-1].skip:
+            self._leave_menu(tag)
         top = self.stack[-1]
         noise = top.skip or self._noise(tag, attrs, top.article)
         skip, article, path, doubts = noise is True, top.article, top.path, top.doubts
@@ -186,7 +218,8 @@ class Lines(HTMLParser):
             if tag in CONTAINERS:
                 self.opened += 1
                 self.made.append((tag, dict(attrs).get("class") or ""))
-                path = (*path, self.opened)
+                if len(path) < MAX_DEPTH:
+                    path = (*path, self.opened)
                 if not article and (tag in ("article", "main") or dict(attrs).get("role") in ("main", "article")
                                     or dict(attrs).get("itemprop") == "articleBody"):
                     article = self.opened
@@ -194,6 +227,13 @@ class Lines(HTMLParser):
             self.links += 1
             self.anchors += not skip
         self.stack.append(_Frame(tag, skip, article, path, doubts))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _leave_menu(self, tag):
+        """A menu or header that was never closed does not hold the page's text."""
+        k = next(k for k, f in enumerate(self.stack) if f.skip)
+        if self.stack[k].tag in ("nav", "header") or (tag == "main" and self.stack[k].tag in ("div", "ul", "menu", "section")):
+            self._pop_to(k)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -203,6 +243,8 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self._break()
+        if not self.open.get(tag):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
                 self._pop_to(k)
@@ -241,7 +283,7 @@ def menus(lines: list[tuple], made: list[tuple]) -> set[int]:
     links: dict[int, list[int]] = {}
     text = set()
     for line in lines:
-        if _of_links(line):
+        if _of_links(line) and not line[4]:
             for p in line[3]:
                 seen = links.setdefault(p, [0, 0])
                 seen[0] += line[5]
@@ -272,10 +314,19 @@ def region_of(lines: list[tuple], content: np.ndarray, made: list[tuple]) -> tup
         own = made[a[depth - 1]]
         depth -= 1
         start, end = grown(lo, hi, depth)
-        beside = lines[start:lo] + lines[hi:end]
-        # text right in the container above, or in one like this: this is a part of it
-        if beside and own[0] not in PARTS and not any(
-                not _of_links(line) and (len(line[3]) == depth or made[line[3][depth]] == own) for line in beside):
+        beside = [*range(start, lo), *range(hi, end)]
+        # text right in the container above, or in one like this: this is a part of it.
+        # Beside the page's own blocks stand its other parts too, so there one like this
+        # has to hold content
+        page = not depth or made[a[depth - 1]][0] == "body"
+
+        def part(k):
+            line = lines[k]
+            if _of_links(line):
+                return False
+            return len(line[3]) == depth or (made[line[3][depth]] == own and (not page or own[0] == "article" or content[k]))
+
+        if beside and own[0] not in PARTS and not any(map(part, beside)):
             break
         if beside or own[0] in PARTS:
             found = depth
@@ -307,23 +358,24 @@ def main_blocks(html: str | None) -> list[str]:
     if not html:
         return []
     parser = Lines()
-    parser.feed(html)
+    end = html.rfind(">") + 1  # a tag after it is never closed
+    tail = html[end:]
+    parser.feed(html[:end] + (tail[:tail.find("<")] if "<" in tail else tail))
     lines = parser.finish()
     if not lines:
         return []
     doubts = settled(lines, parser.kinds)
     plain = [line for line, kind in zip(lines, doubts) if kind is None]
-    ratios = np.array([max(0, len(t) - link) / (1 + tags) for t, tags, link, *_ in plain], float)
+    ratios = np.array([max(0, len(t) - link) / (1 + tags) * (ARTICLE_WEIGHT if article else 1) for t, tags, link, _, article, *_ in plain], float)
     content, cut = content_lines(ratios)
-    # a short line beside the text can be in the upper cluster for its neighbours alone
-    own = content & (ratios > cut)
-    if all(plain[k][4] for k in np.flatnonzero(own if own.any() else content)):
-        return [line[0] for line in plain if line[4]]
     gone = menus([line for line, kind in zip(lines, doubts) if kind != "form"], parser.made)
-    left = [k for k, line in enumerate(plain) if gone.isdisjoint(line[3])]
-    if not left:
+    left = np.array([k for k, line in enumerate(plain) if gone.isdisjoint(line[3])], int)
+    if not len(left):
         return []
-    depth, at = region_of([plain[k] for k in left], content[left], parser.made)
+    # a short line beside the text can be in the upper cluster for its neighbours
+    # alone; it only counts where no line is content by its own ratio too
+    own = content[left] & (ratios[left] > cut)
+    depth, at = region_of([plain[k] for k in left], own if own.any() else content[left], parser.made)
     # inside the text's container an id is an anchor; the whole page is none, there only an id of other words too
     text = {None, "slug", "bare"} if parser.made[at][0] not in ("", "body") else {None, "slug"}
     return [line[0] for line, kind in zip(lines, doubts)

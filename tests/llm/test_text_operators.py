@@ -415,6 +415,43 @@ def test_main_text_of_the_table(spark):
         assert (got[p.page_id].text, got[p.page_id].n_chars, got[p.page_id].url) == (want, len(want), p.url)
 
 
+def test_ratios_decide_without_semantic_tags(monkeypatch):
+    """The same text with <article> called <div>; and with every tag that means
+    something and every name gone, most pages still come out right, by ratios alone."""
+    import pyarrow.parquet as pq
+    pages = [h for h in pq.read_table(f"{SF01}/pages.parquet").column("html").to_pylist() if h]
+    want = [html_text.main_blocks(h) for h in pages]
+    assert [html_text.main_blocks(re.sub(r"<(/?)(article|main)\b", r"<\1div", h)) for h in pages] == want
+    bare = [re.sub(r"<(div|ul|p|li|form|span)\b[^>]*>", r"<\1>", re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", h)) for h in pages]
+    right = sum(html_text.main_blocks(h) == w for h, w in zip(bare, want))
+    monkeypatch.setattr(html_text, "content_lines", lambda ratios: (np.ones(len(ratios), bool), -1.0))
+    assert right > 0.7 * len(pages) > 2 * sum(html_text.main_blocks(h) == w for h, w in zip(bare, want))
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<main><article><p>{LONG}</p></article><section id=responses><p>{LONG}</p></section></main>", [LONG]),
+    (f'<div class=content><div class="page-header"><h1>Title</h1></div><p>{LONG}</p></div>', ["Title", LONG]),
+    (f'<article><div class="form-factor"><p>{LONG}</p></div><div class="search-algorithms">Two</div><p class="social-history">Three</p><div class="social-share-bar">Share</div></article>', [LONG, "Two", "Three"]),
+    (f"<nav><a href=x>m</a><main><p>{LONG}</p></main>", [LONG]),
+    (f"<div class=menu><a href=x>m</a><main><p>{LONG}</p></main>", [LONG]),
+    (f"<nav><a href=x>m</a><article><p>{LONG}</p></article>", [LONG]),
+    (f"<div>Buy now!</div><div><h1>Head</h1><p>{LONG}</p><p>Short.</p></div><div>Made by us</div>", ["Head", LONG, "Short."]),
+])
+def test_main_text_by_contract(page, want):
+    assert html_text.main_blocks(f"<body>{page}</body>") == [" ".join(x.split()) for x in want]
+
+
+@pytest.mark.parametrize("page", [lambda n: "<p>text " + "<a " * n, lambda n: "<i>" * n + "</x>" * n + "t", lambda n: "<div>t" * n, lambda n: "<a " * n + ">t", lambda n: "<!--" * n, lambda n: "</" * n + ">"])
+def test_broken_pages_take_linear_time(page):
+    import time
+    took = []
+    for n in (4000, 32_000):
+        start = time.process_time()
+        html_text.main_blocks(page(n))
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0] + 1
+
+
 def test_main_text_edges(spark):
     rows = [(1, None), (2, ""), (3, "plain text"), (4, "<p>open <b>tags"), (5, "<"), (6, "<nav><a>x</a></nav>"), (7, "<article><p>" + "long " * 200_000), (7, "<p>again"),
             (None, "<p>no id"), (8, "<div>" * 3000 + "deep" + "</div>" * 3000), (9, "<p>cut &amp"), (10, "<script>never closed <p>x</p>")]
