@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators.stats import present, quantiles, statistics, value_bins
-from strata.session import materialize
+from strata.session import cut_lineage, materialize
 
 
 def _stack(df: DataFrame, cols: Sequence[str], fields: Sequence[str], prefix: str = "") -> DataFrame:
@@ -52,24 +52,23 @@ def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (exact, linear), max per column.
 
-    Moments: one aggregation. Quartiles: the columns are unpivoted in one scan
-    to ``(column, value)`` and binned (map-side combined), and every column's
-    quartiles come from one grouped exact-quantile aggregation — a value map
-    per column within the map bound, rank refinement beyond it (no column's
-    values are ever gathered into one unbounded task buffer)."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    one = df.agg(*aggs)
-    moments = _stack(one, cols, ["count", "mean", "std", "min", "max"])
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                                        for c in cols])))
-    bins, m = materialize(value_bins(long, ["column"], "value"))  # total bins bound every group
+    One scan: the columns are unpivoted to ``(column, value)`` and binned
+    (map-side combined). Moments follow from the bins (deviations from the mean,
+    so nothing cancels), quartiles from one grouped exact-quantile aggregation — a value
+    map per column within the map bound, one rank search for all quartiles beyond it
+    (no column's values are ever gathered into one unbounded task buffer). NaN counts
+    as null; a column without values has count 0 and nulls."""
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    bins, m = materialize(value_bins(df.select(F.inline(names)), ["column"], "value"))  # total bins bound every group
+    v, n = F.col("value"), F.col("_n")
+    first = bins.groupBy("column").agg(F.sum(n).alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    first = cut_lineage(first)  # a row per column
+    spread = bins.join(F.broadcast(first.select("column", "mean", "count")), "column").groupBy("column", "count").agg(F.sum(n * (v - F.col("mean")) ** 2).alias("ss"))
+    std = spread.select("column", F.when(F.col("count") > 1, F.sqrt(F.col("ss") / (F.col("count") - 1))).alias("std"))
     q = quantiles(bins, ["column"], "value", (0.25, 0.5, 0.75), ["p25", "p50", "p75"], bins_bound=m["count"])
-    return (moments.join(q, "column", "left")
-            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    return (every.join(first, "column", "left").join(std, "column", "left").join(q, "column", "left")
+            .select("column", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def col_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -122,113 +122,91 @@ def group_quantile(bins: DataFrame, keys: Sequence[str], value: str, q: float, n
                    out: str = "_stat", count_out: str | None = "_cnt",
                    max_distinct: int | None = None, buckets: int = BUCKETS,
                    bins_bound: int | None = None) -> DataFrame:
-    """Exact ``q`` quantile per group (position ``q*(N-1)``, linear
-    interpolation — ``percentile`` / ``quantile_cont``), from bins.
-    ``max_distinct`` defaults to the module's ``MAX_DISTINCT`` at call time."""
+    """Exact ``q`` quantile per group (see ``quantiles``)."""
+    return quantiles(bins, keys, value, (q,), (out,), n, bins_bound, max_distinct, buckets, count_out)
+
+
+def quantiles(bins: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str],
+              n: str = "_n", bins_bound: int | None = None, max_distinct: int | None = None,
+              buckets: int = BUCKETS, count_out: str | None = None) -> DataFrame:
+    """Exact quantiles per group (position ``q*(N-1)``, linear interpolation —
+    ``percentile`` / ``quantile_cont``), from bins: one ``percentile`` aggregate for
+    groups of at most ``max_distinct`` values (default: the module's ``MAX_DISTINCT`` at
+    call time; ``bins_bound``: a known bound on the bins of any group, which saves
+    measuring), else one rank search for all of a group's quantiles together."""
     from strata.session import BROADCAST_BYTES, materialize
 
     max_distinct = MAX_DISTINCT if max_distinct is None else max_distinct
     b, k = _keyed(bins, keys)
     b = b.withColumn(value, F.col(value).cast("double"))
-    shape = b.groupBy(*k).agg(F.sum(n).alias("_N"), F.count(F.lit(1)).alias("_D"),
-                              F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    if bins_bound is not None and bins_bound <= max_distinct:
-        n_big = 0
-    else:
-        n_big = shape.filter(F.col("_D") > max_distinct).count()
-    if n_big == 0:
-        aggs = [F.percentile(F.col(value), F.lit(q), F.col(n)).alias(out)]
-        if count_out:
-            aggs.append(F.sum(n).alias(count_out))
-        return _unkey(b.groupBy(*k).agg(*aggs), keys)
 
+    def direct(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(*k).agg(F.percentile(F.col(value), F.array(*[F.lit(float(q)) for q in qs]), F.col(n)).alias("_q"), F.sum(n).alias("_N"))
+        return found.select(*k, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)], "_N")
+
+    def done(res: DataFrame) -> DataFrame:
+        return _unkey(res.withColumnRenamed("_N", count_out) if count_out else res.drop("_N"), keys)
+
+    if bins_bound is not None and bins_bound <= max_distinct:
+        return done(direct(b))
+    shape = b.groupBy(*k).agg(F.sum(n).alias("_N"), F.count(F.lit(1)).alias("_D"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     big, bm = materialize(shape.filter(F.col("_D") > max_distinct))
+    if not bm["count"]:
+        return done(direct(b))
     marked = F.broadcast(big) if bm["bytes"] <= BROADCAST_BYTES else big
-    small_res = (b.join(marked.select(*k), k, "left_anti").groupBy(*k)
-                 .agg(F.percentile(F.col(value), F.lit(q), F.col(n)).alias(out), F.sum(n).alias("_N")))
-    big_res = _refine_quantile(b, big, k, value, n, out, max_distinct, buckets, q)
-    res = small_res.unionByName(big_res)
-    if count_out:
-        res = res.withColumnRenamed("_N", count_out)
-    else:
-        res = res.drop("_N")
-    return _unkey(res, keys)
+    return done(direct(b.join(marked.select(*k), k, "left_anti")).unionByName(_search(b, marked, k, value, n, qs, names, max_distinct, buckets)))
 
 
-def _refine_quantile(b: DataFrame, big: DataFrame, k: list[str], value: str, n: str, out: str,
-                     max_distinct: int, buckets: int, q: float) -> DataFrame:
-    """Quantile of groups with many distinct values, by rank selection."""
-    from strata.session import cut_lineage
+def _search(b: DataFrame, big: DataFrame, k: list[str], value: str, n: str, qs: Sequence[float], names: Sequence[str],
+            max_distinct: int, buckets: int) -> DataFrame:
+    """Quantiles of groups with many distinct values, by rank selection. One state
+    table holds all ranks of all groups, and every round refines them together, so
+    several quantiles cost the passes of one. Few groups can be large, so the state
+    is small (its bytes are measured) and is broadcast to the bins."""
+    from strata.session import BROADCAST_BYTES, cut_lineage, materialize
 
     # one row per (group, value): bins may repeat a value (e.g. observed
     # values plus fills), and the rank window below needs distinct values
     b = cut_lineage(b.join(big.select(*k), k, "left_semi").groupBy(*k, value).agg(F.sum(n).alias(n)))
+    at = [(F.col("_N") - 1) * F.lit(float(q)) for q in qs]
+    wanted = F.array(*[F.struct(F.lit(2 * i + side).alias("_id"), side_of(p).cast("long").alias("_r")) for i, p in enumerate(at) for side, side_of in ((0, F.floor), (1, F.ceil))])
+    # per (group, rank): the interval of values that still holds it, its distinct
+    # values, and how many values lie below it
+    state = big.select(*k, F.inline(wanted), "_lo", "_hi", "_D").withColumn("_below", F.lit(0).cast("long"))
+    state, m = materialize(state, F.count_if(F.col("_D") > max_distinct).alias("open"))
 
-    pos = (F.col("_N") - 1) * F.lit(q)
-    ranks = big.select(*k, "_N", F.floor(pos).cast("long").alias("_r_lo"),
-                       F.ceil(pos).cast("long").alias("_r_hi"), "_lo", "_hi", "_D")
-    # one search state per (group, side): the target rank, the value interval
-    # that still holds it, and how many values lie below that interval
-    state = (ranks.select(*k, F.lit(0).alias("_side"), F.col("_r_lo").alias("_r"), "_lo", "_hi", "_D")
-             .unionByName(ranks.select(*k, F.lit(1).alias("_side"), F.col("_r_hi").alias("_r"),
-                                       "_lo", "_hi", "_D"))
-             .withColumn("_below", F.lit(0).cast("long")))
-
-    def candidates(st: DataFrame) -> DataFrame:
-        return (b.join(st, k)
-                .filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi"))))
+    def candidates() -> DataFrame:
+        st = F.broadcast(state) if m["bytes"] <= BROADCAST_BYTES else state
+        return b.join(st, k).filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
 
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    while not state.filter(F.col("_D") > max_distinct).isEmpty():
-        cand = candidates(state)
+    while m["open"]:
+        cand = candidates()
         # bounds from the distinct values: each part holds about 1/buckets of them
-        bounds = cand.groupBy(*k, "_side").agg(F.percentile_approx(F.col(value), cuts, 100 * buckets).alias("_cuts"))
+        bounds, bm = materialize(cand.groupBy(*k, "_id").agg(F.percentile_approx(F.col(value), cuts, 100 * buckets).alias("_cuts")))
         part = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-        per_part = (cand.join(bounds, [*k, "_side"]).withColumn("_b", part)
-                    .groupBy(*k, "_side", "_r", "_below", "_b")
-                    .agg(F.sum(n).alias("_c"), F.count(F.lit(1)).alias("_d"),
-                         F.min(value).alias("_blo"), F.max(value).alias("_bhi")))
-        w = Window.partitionBy(*k, "_side").orderBy("_b")  # <= `buckets` rows per partition
-        cum = F.sum("_c").over(w)
-        picked = (per_part.withColumn("_cum", cum)
-                  .filter((F.col("_cum") - F.col("_c") <= F.col("_r") - F.col("_below"))
-                          & (F.col("_r") - F.col("_below") < F.col("_cum"))))
-        state = cut_lineage(picked.select(
-            *k, "_side", "_r", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-            F.col("_d").alias("_D"), (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below")))
+        # the row estimate leaves the cuts out: 8 bytes each
+        near = F.broadcast(bounds) if bm["bytes"] + 8 * buckets * bm["count"] <= BROADCAST_BYTES else bounds
+        per_part = (cand.join(near, [*k, "_id"]).withColumn("_b", part)
+                    .groupBy(*k, "_id", "_r", "_below", "_b")
+                    .agg(F.sum(n).alias("_c"), F.count(F.lit(1)).alias("_d"), F.min(value).alias("_blo"), F.max(value).alias("_bhi")))
+        w = Window.partitionBy(*k, "_id").orderBy("_b")  # <= `buckets` rows per partition
+        picked = (per_part.withColumn("_cum", F.sum("_c").over(w))
+                  .filter((F.col("_cum") - F.col("_c") <= F.col("_r") - F.col("_below")) & (F.col("_r") - F.col("_below") < F.col("_cum"))))
+        state, m = materialize(picked.select(
+            *k, "_id", "_r", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), F.col("_d").alias("_D"),
+            (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below")), F.count_if(F.col("_d") > max_distinct).alias("open"))
 
     # rank inside the remaining interval: a window over few distinct values per group
-    cand = candidates(state)
-    w = Window.partitionBy(*k, "_side").orderBy(value)
-    hit = (cand.withColumn("_cum", F.sum(n).over(w))
-           .filter((F.col("_cum") - F.col(n) <= F.col("_r") - F.col("_below"))
-                   & (F.col("_r") - F.col("_below") < F.col("_cum"))))
-    sides = hit.groupBy(*k).agg(F.max(F.when(F.col("_side") == 0, F.col(value))).alias("_v_lo"),
-                                F.max(F.when(F.col("_side") == 1, F.col(value))).alias("_v_hi"))
-    res = sides.join(ranks.select(*k, "_N"), k)
-    frac = (F.col("_N") - 1) * F.lit(q) - F.floor((F.col("_N") - 1) * F.lit(q))
-    med = (F.lit(1.0) - frac) * F.col("_v_lo") + frac * F.col("_v_hi")
-    return res.select(*k, med.alias(out), "_N")
-
-
-def quantiles(bins: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str],
-              n: str = "_n", bins_bound: int | None = None, max_distinct: int | None = None) -> DataFrame:
-    """Several exact quantiles per group from one bin table: one ``percentile``
-    aggregate when the groups are small, else rank refinement per quantile."""
-    max_distinct = MAX_DISTINCT if max_distinct is None else max_distinct
-    b, k = _keyed(bins, keys)
-    b = b.withColumn(value, F.col(value).cast("double"))
-    if bins_bound is None or bins_bound > max_distinct:
-        bins_bound = b.groupBy(*k).count().agg(F.max("count")).collect()[0][0] or 0
-    if bins_bound <= max_distinct:
-        arr = F.percentile(F.col(value), F.array(*[F.lit(float(x)) for x in qs]), F.col(n))
-        one = b.groupBy(*k).agg(arr.alias("_q"))
-        return _unkey(one.select(*k, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)]), keys)
-    out = None
-    for x, nm in zip(qs, names):
-        one = group_quantile(b, k, value, x, n, out=nm, count_out=None, max_distinct=max_distinct)
-        out = one if out is None else out.join(one, k)
-    return _unkey(out, keys)
+    w = Window.partitionBy(*k, "_id").orderBy(value)
+    hit = (candidates().withColumn("_cum", F.sum(n).over(w))
+           .filter((F.col("_cum") - F.col(n) <= F.col("_r") - F.col("_below")) & (F.col("_r") - F.col("_below") < F.col("_cum"))))
+    found = hit.groupBy(*k).agg(*[F.max(F.when(F.col("_id") == i, F.col(value))).alias(f"_v{i}") for i in range(2 * len(qs))]).join(big.select(*k, "_N"), k)
+    out = []
+    for i, (p, nm) in enumerate(zip(at, names)):
+        frac = p - F.floor(p)
+        out.append(((F.lit(1.0) - frac) * F.col(f"_v{2 * i}") + frac * F.col(f"_v{2 * i + 1}")).alias(nm))
+    return found.select(*k, *out, "_N")
 
 
 def group_stat(bins: DataFrame, keys: Sequence[str], value: str, stat: str, n: str = "_n",

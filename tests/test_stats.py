@@ -53,3 +53,18 @@ def test_quantiles_refinement_matches_numpy(spark):
     exp = np.quantile(v, [0.25, 0.5, 0.75])
     for got in (fast, slow):
         assert all(abs(got[i] - exp[i]) < 1e-12 for i in range(3))
+
+
+def test_many_ranks_cost_the_rounds_of_one(spark, monkeypatch):
+    """All quartiles of all groups are refined together."""
+    import strata.session as session
+    rows = [(g, float((k * 7919) % 1009) ** 2, 1 + k % 3) for g in "ab" for k in range(900)] + [("c", 1.0, 2)]
+    bins = spark.createDataFrame(rows, "g string, v double, _n long")
+    calls, real = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, *m: calls.append(1) or real(df, *m))
+    one = S.quantiles(bins, ["g"], "v", (0.5,), ["m"], max_distinct=30).orderBy("g").collect()
+    rounds = len(calls)
+    three = S.quantiles(bins, ["g"], "v", (0.25, 0.5, 0.75), ["a", "m", "z"], max_distinct=30).orderBy("g").collect()
+    assert rounds > 3 and len(calls) == 2 * rounds and [r.m for r in one] == [r.m for r in three]
+    whole = S.quantiles(bins, ["g"], "v", (0.25, 0.5, 0.75), ["a", "m", "z"]).orderBy("g").collect()
+    assert all(abs(x - y) < 1e-9 for p, q in zip(three, whole) for x, y in zip(p[1:], q[1:]))
