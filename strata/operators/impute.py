@@ -112,19 +112,23 @@ def cascade_fills(df: DataFrame, col: str, tiers: Sequence[Tier], strategy: str
     """
     df = widen(df, col, tiers)
     bins, group_keys, null_keys, dtype, n_total, n_bytes = _bin_table(df, col, tiers)
-    if strategy == "auto":
-        strategy = "window" if n_total <= window_max_bins else "bins"
-    if strategy == "window":
-        fills = _tiers_window(bins, tiers, null_keys, dtype, n_total)
-    elif strategy == "bins":
-        fills = _tiers_join(bins, tiers, group_keys, null_keys, dtype, n_total)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+    fills = _cascade(bins, tiers, group_keys, null_keys, dtype, n_total, strategy, window_max_bins)
     if materialize_fills:
         fills = cut_lineage(fills)
     return Fills(col, fills, null_keys, n_bytes)
 
 
+def _cascade(bins: DataFrame, tiers: Sequence[Tier], group_keys: Sequence[str], null_keys: Sequence[str], dtype, n_bins: int,
+             strategy: str, window_max_bins: int) -> DataFrame:
+    if strategy == "auto":
+        strategy = "window" if n_bins <= window_max_bins else "bins"
+    if strategy == "window":
+        return _tiers_window(bins, tiers, null_keys, dtype, n_bins)
+    if strategy == "bins":
+        return _tiers_join(bins, tiers, group_keys, null_keys, dtype, n_bins)
+    raise ValueError(f"unknown strategy {strategy!r}")
+
+
 def _bin_table(df: DataFrame, col: str, tiers: Sequence[Tier]):
     """One scan: value bins at the finest tier grain + null bins, from one
     map-side combined count, checkpointed and measured. Null bins also keep the
@@ -136,10 +140,7 @@ def _bin_table(df: DataFrame, col: str, tiers: Sequence[Tier]):
     at = [F.col(k) if k in group_keys else F.when(is_null, F.col(k)).alias(k) for k in null_keys]
     counted = df.select(*at, F.col(col).alias("_v")).groupBy(*null_keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     shape = counted.select(*null_keys, "_v", "_n", F.col("_v").isNull().alias("_isnull"), F.lit(None).cast("string").alias("_rule"))
-    per_row = F.lit(64)
-    for k in null_keys:
-        per_row = per_row + F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 8
-    bins, m = materialize(shape, F.coalesce(F.sum(F.when(F.col("_isnull"), per_row.cast("long"))), F.lit(0)).alias("null_bytes"))
+    bins, m = materialize(shape, F.coalesce(F.sum(F.when(F.col("_isnull"), _null_bytes(null_keys))), F.lit(0)).alias("null_bytes"))
     return bins, group_keys, null_keys, dtype, m["count"], m["null_bytes"]
 
 
@@ -358,23 +359,160 @@ def _reads(tiers: Sequence[Tier]) -> set[str]:
 Plan = Sequence[tuple[str, Sequence[Tier]]]
 
 
+# --- bins of a whole plan from one scan
+
+
+@dataclass(frozen=True)
+class LadderKeys:
+    """What a ladder's bins are keyed by: ``group`` in every row, ``null`` (those and
+    the inputs of derived tiers) in rows without a value, and ``extra`` where such an
+    input is itself missing: the keys that its own ladder fills it by."""
+    group: tuple[str, ...]
+    null: tuple[str, ...]
+    extra: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+
+def ladder_keys(plan: Plan) -> dict[str, LadderKeys]:
+    out: dict[str, LadderKeys] = {}
+    for col, tiers in plan:
+        group = _uniq([k for t in tiers if t.stat in GROUP_STATS for k in t.keys])
+        null = _uniq(group + [t.derive_from for t in tiers if t.stat == "derive" and t.derive_from])
+        extra = []
+        for d in null:
+            if d in out and d not in group:  # an earlier column of the plan, as a derived tier's input
+                extra.append((d, tuple(k for k in _uniq([*out[d].null, *(x for _, ks in out[d].extra for x in ks)]) if k != col)))
+        out[col] = LadderKeys(tuple(group), tuple(null), tuple(extra))
+    return out
+
+
+def one_scan(plan: Plan) -> bool:
+    """Whether bins of the plan's columns can come from one scan: no ladder groups by a
+    column that an earlier one fills (its groups would change with the fills)."""
+    done: set[str] = set()
+    for col, tiers in plan:
+        if done & {k for t in tiers if t.stat in GROUP_STATS for k in t.keys}:
+            return False
+        done.add(col)
+    return True
+
+
+LADDER = "_ladder"
+
+
+def _all_keys(keys: dict[str, LadderKeys]) -> list[str]:
+    return _uniq([k for lk in keys.values() for k in (*lk.null, *(x for _, xs in lk.extra for x in xs))])
+
+
+def plan_bins(df: DataFrame, plan: Plan) -> DataFrame:
+    """``(_ladder, keys..., _v_<column>..., _n)``: value bins and null bins of every
+    ladder from one scan and one map-side combined count (a row goes to each ladder's
+    grain, as in grouping sets). Counts are additive, so bins of two tables together
+    are ``merge_bins`` of theirs."""
+    for col, tiers in plan:
+        df = widen(df, col, tiers)
+    keys = ladder_keys(plan)
+    names = _all_keys(keys)
+    grains = []
+    for col, lk in keys.items():
+        is_null = F.col(col).isNull()
+        at = {}
+        for k in names:
+            nothing = F.lit(None).cast(df.schema[k].dataType)
+            if k in lk.group:
+                at[k] = F.col(k)
+            elif k in lk.null:
+                at[k] = F.when(is_null, F.col(k))
+            else:
+                missing = [F.col(d).isNull() for d, xs in lk.extra if k in xs]
+                at[k] = F.when(is_null & reduce(lambda a, b: a | b, missing), F.col(k)) if missing else nothing
+        values = [(F.col(c) if c == col else F.lit(None).cast(df.schema[c].dataType)).alias(f"_v_{c}") for c in keys]
+        grains.append(F.struct(F.lit(col).alias(LADDER), *[c.alias(k) for k, c in at.items()], *values))
+    rows = df.select(F.inline(F.array(*grains)))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def merge_bins(a: DataFrame, b: DataFrame) -> DataFrame:
+    both = a.unionByName(b)
+    return both.groupBy(*[c for c in both.columns if c != "_n"]).agg(F.sum("_n").alias("_n"))
+
+
+def _ladder_bins(bins: DataFrame, col: str, lk: LadderKeys, fill) -> DataFrame:
+    """One ladder's bins in the form of ``_bin_table``. ``fill(rows, column)`` fills
+    an earlier column in the null bins that a derived tier reads it in."""
+    own = bins.filter(F.col(LADDER) == col)
+    shape = [*lk.null, F.col(f"_v_{col}").alias("_v"), "_n"]
+    if not lk.extra:
+        own = own.select(*shape)
+    else:
+        missing = own.filter(F.col(f"_v_{col}").isNull())
+        for d, _ in lk.extra:
+            missing = fill(missing, d)
+        own = own.filter(F.col(f"_v_{col}").isNotNull()).select(*shape).unionByName(missing.select(*shape).groupBy(*lk.null, "_v").agg(F.sum("_n").alias("_n")))
+    return own.select(*lk.null, "_v", "_n", F.col("_v").isNull().alias("_isnull"), F.lit(None).cast("string").alias("_rule"))
+
+
+def _null_bytes(keys: Sequence[str]) -> Column:
+    per_row = F.lit(64)
+    for k in keys:
+        per_row = per_row + F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 8
+    return per_row.cast("long")
+
+
+def measured_bins(df: DataFrame, plan: Plan) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """The plan's bins, written once, with each ladder's number of bins and the
+    bytes of its null bins, measured while they are written."""
+    metrics = []
+    for i, (col, lk) in enumerate(ladder_keys(plan).items()):
+        own = F.col(LADDER) == col
+        metrics += [F.count_if(own).alias(f"n{i}"), F.coalesce(F.sum(F.when(own & F.col(f"_v_{col}").isNull(), _null_bytes(lk.null))), F.lit(0)).alias(f"b{i}")]
+    bins, m = materialize(plan_bins(df, plan), *metrics)
+    return bins, {col: (m[f"n{i}"], m[f"b{i}"]) for i, (col, _) in enumerate(plan)}
+
+
+def plan_lookups(bins: DataFrame, plan: Plan, bound: int) -> list[tuple[str, list[TierLookup]]]:
+    """Every tier's statistic of a whole plan from its bins alone, frozen as lookups
+    (see ``ladder_lookups``); ``bound``: a bound on the bins of a ladder."""
+    frozen: dict[str, list[TierLookup]] = {}
+    for (col, tiers), lk in zip(plan, ladder_keys(plan).values()):
+        own = _ladder_bins(bins, col, lk, lambda rows, d: apply_lookups(rows, d, frozen[d]).drop(*prov_cols(d)))
+        frozen[col] = []
+        _tiers_join(cut_lineage(own), tiers, lk.group, lk.null, bins.schema[f"_v_{col}"].dataType, bound, capture=frozen[col])
+    return list(frozen.items())
+
+
 def plan_fills(df: DataFrame, plan: Plan, strategy: str = "auto", broadcast_bytes: int = BROADCAST_BYTES,
                max_parallel: int = 4) -> list[Fills]:
     """Fill tables of several cascades with sequential semantics: a later cascade
     sees the fills of every earlier column it reads (as a key or a derive input).
 
-    A cascade that reads no earlier column does not wait for it: independent
-    cascades compute their fill tables concurrently (one driver thread each
-    submitting Spark jobs under the caller's job group and pool), each from only
-    the fills it depends on."""
+    All bins come from one scan of the rows (``plan_bins``) unless a ladder groups by a
+    column that an earlier one fills; then each cascade scans the rows with the
+    fills it depends on. A cascade that reads no earlier column does not wait for it:
+    independent ones compute their fill tables concurrently (one driver thread
+    each submitting Spark jobs under the caller's job group and pool)."""
     plan = list(plan)
     futures: dict[str, Future] = {}
+    keys = ladder_keys(plan)
+    bins, sizes = measured_bins(df, plan) if one_scan(plan) else (None, {})
 
-    def run(i: int) -> Fills:
+    def scanned(i: int) -> Fills:
         col, tiers = plan[i]
         deps = [futures[c].result() for c, _ in plan[:i] if c in _reads(tiers)]
         return cascade_fills(apply_fills(df, deps, broadcast_bytes) if deps else df, col, tiers, strategy, materialize_fills=True)
 
+    def from_bins(i: int) -> Fills:
+        col, tiers = plan[i]
+        lk, (n, n_bytes) = keys[col], sizes[col]
+
+        def fill(rows: DataFrame, d: str) -> DataFrame:
+            f = futures[d].result()
+            return _join_fills(rows, f, f.n_bytes <= broadcast_bytes).drop(*prov_cols(d))
+
+        own = _ladder_bins(bins, col, lk, fill)
+        fills = _cascade(own, tiers, list(lk.group), list(lk.null), bins.schema[f"_v_{col}"].dataType, n, strategy, WINDOW_MAX_BINS)
+        return Fills(col, cut_lineage(fills), list(lk.null), n_bytes)
+
+    run = from_bins if bins is not None else scanned
     with ThreadPoolExecutor(max_workers=max_parallel) as pool:
         for i, (col, _) in enumerate(plan):
             futures[col] = pool.submit(inheritable_thread_target(df.sparkSession)(run), i)

@@ -43,12 +43,12 @@ def guard(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     if not checks:
         return df
     any_bad = reduce(lambda a, b: a | b, [F.coalesce(c.violation, F.lit(False)) for c in checks])
-    # the names are put together only inside the error; rand() is always >= 0 and keeps
-    # the test where it stands, as a pushed-down one would repeat the expressions
-    # behind every checked column
+    # the names are put together only inside the error. The test must stay where it
+    # stands: pushed down, it would repeat the expressions behind every checked column.
+    # A filter is not pushed through a projection that holds rand()
     names = F.concat_ws("; ", *[F.when(c.violation, F.lit(c.name)) for c in checks])
-    passes = F.when(any_bad, F.raise_error(F.concat(F.lit("quality gate: "), names)).cast("boolean")).otherwise(F.rand(0) >= 0)
-    return df.filter(passes)
+    passes = F.when(any_bad, F.raise_error(F.concat(F.lit("quality gate: "), names)).cast("boolean")).otherwise(F.col("__pin") >= 0)
+    return df.withColumn("__pin", F.rand(0)).filter(passes).drop("__pin")
 
 
 def failed(checks: Sequence[Check]) -> Column:
