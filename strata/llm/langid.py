@@ -39,11 +39,11 @@ WRONG_SCRIPT = 40.0
 #: Least and most that one word can tell for or against a language, in nats.
 WORD_CLIP = 15.0
 #: Characters of text that a task labels at once (a longer text by itself).
-TASK_CHARS = 2_000_000
+TASK_CHARS = 1_000_000
 #: Documents of a slice that are labelled one by one rather than in step.
 FEW = 4
 #: Distinct words whose scores a task remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: A document is kept by the filter if one language holds so much of its letters.
 MIN_SCORE = 1 / 3
 UNDETERMINED = "und"
