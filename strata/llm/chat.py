@@ -6,9 +6,10 @@ conversation as many, each the prefix of the next. Turn hashes that include the
 turn's position are summed up along a conversation, so the running sum after k
 turns stands for its first k turns. A conversation whose full sum is a running
 sum of a longer one is a prefix of it: an anti-join keeps the maximal ones, and
-of equal ones the smallest id. Conversations are handled in blocks of
-``BLOCK`` turns with a prefix scan over blocks, so one of any length is never
-sorted, summed or rendered in one task.
+of equal ones the smallest id. Turns get their places from a range partitioning
+with two-level counts, whatever their numbers are; conversations are then handled in
+blocks of exactly ``BLOCK`` turns with a prefix scan over blocks, so one of any length is
+never sorted, summed or rendered in one task.
 """
 
 from __future__ import annotations
@@ -40,6 +41,18 @@ def _rows(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str,
                     F.md5(c[text_col].cast("binary")).alias("digest")).where("conv is not null")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with their place ``pos`` (from 1) in the conversation and its size ``n``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(rows.repartitionByRange(parts, "conv", "turn", "role", "digest").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = dealt.groupBy("conv", "part").agg(F.count("*").alias("c"))
+    per = per.select("conv", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("earlier"), F.sum("c").over(Window.partitionBy("conv")).alias("n"))
+    order = Window.partitionBy("conv", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("digest").asc_nulls_first())
+    at = dealt.withColumn("k", F.row_number().over(order)).join(per, ["conv", "part"])
+    return at.withColumn("pos", F.col("earlier") + F.col("k")).drop("part", "k", "earlier")
+
+
 def turns(rows: DataFrame) -> DataFrame:
     """``(conv, pos, turn, role, digest, n, p1, p2, f1, f2)``: the turns in order
     with the running hash sums up to each (p) and of the conversation (f). Texts
@@ -48,16 +61,12 @@ def turns(rows: DataFrame) -> DataFrame:
     Repeated rows count once; turns order by number, role and digest of the text,
     nulls first; rows without a conversation id belong to none and are left out.
     """
-    rows = rows.select("conv", "turn", "role", "digest").distinct().withColumn("blk", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    size = _offsets(rows, n=F.count("*"))
-    order = Window.partitionBy("conv", "blk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("digest").asc_nulls_first())
-    at = rows.withColumn("k", F.row_number().over(order)).join(size, ["conv", "blk"])
-    at = at.withColumn("pos", F.col("n_before") + F.col("k")).withColumnRenamed("n_all", "n")
+    at = _placed(rows.select("conv", "turn", "role", "digest").distinct()).withColumn("blk", F.floor((F.col("pos") - 1) / BLOCK))
     for j in (1, 2):  # two independent 64-bit hashes; sums are exact decimals
         at = at.withColumn(f"h{j}", F.xxhash64(F.lit(j), "pos", F.col("role").isNull(), "role", F.col("digest").isNull(), "digest").cast("decimal(38,0)"))
-    at = cut_lineage(at.select("conv", "blk", "k", "pos", "n", "turn", "role", "digest", "h1", "h2"))
+    at = cut_lineage(at.select("conv", "blk", "pos", "n", "turn", "role", "digest", "h1", "h2"))
     sums = _offsets(at, h1=F.sum("h1"), h2=F.sum("h2"))
-    run = Window.partitionBy("conv", "blk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("conv", "blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     out = at.withColumns({f"r{j}": F.sum(f"h{j}").over(run) for j in (1, 2)}).join(sums, ["conv", "blk"])
     return out.select("conv", "pos", "turn", "role", "digest", "n", *[(F.col(f"r{j}") + F.col(f"h{j}_before")).alias(f"p{j}") for j in (1, 2)],
                       *[F.col(f"h{j}_all").alias(f"f{j}") for j in (1, 2)])

@@ -638,6 +638,14 @@ def test_long_conversation_comes_in_parts(spark):
     assert [r.n_turns for r in got] == [256, 256, 256, 232]
 
 
+def test_blocks_hold_as_many_turns_whatever_their_numbers(spark):
+    rows = [(1, None, "user", f"t{k}") for k in range(700)] + [(2, 1000 * k, "user", f"t{k}") for k in range(600)] + [(3, 1000 * k, "user", f"t{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    placed = chat.turns(chat._rows(df, "conv_id", "turn", "role", "text"))
+    assert placed.groupBy("conv", F.floor((F.col("pos") - 1) / chat.BLOCK)).count().agg(F.max("count")).first()[0] == chat.BLOCK
+    assert sorted(map(tuple, chat.format_chats(df).collect())) == brute_chats(rows)
+
+
 # --- sharding
 
 def test_shards_fit_and_split_only_where_needed(spark):
