@@ -132,7 +132,31 @@ def op10(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op11_prefix_trie")
+@query("op11_prefix_trie", """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos, d, chars
+  FROM (SELECT *, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS chars
+        FROM conversations WHERE conv_id IS NOT NULL)),
+bits AS (
+  SELECT DISTINCT c, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+      lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)) AS r FROM t),
+h AS (SELECT c, xor(r, CAST(4294967295 AS BIGINT)) % 6 AS h, c - c % 100 AS base FROM bits),
+heads AS (SELECT h.c, t.pos, t.d, t.chars FROM h JOIN t ON t.c = h.base AND t.pos <= h.h),
+own AS (SELECT h.c, t.pos - h.h + (SELECT count(*) FROM heads WHERE heads.c = h.c) AS pos, t.d, t.chars FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
+turns AS (SELECT * FROM heads UNION ALL SELECT * FROM own),
+members AS (
+  SELECT c, pos, string_agg(d, '') OVER (PARTITION BY c ORDER BY pos) AS key, chars, pos = count(*) OVER (PARTITION BY c) AS ends FROM turns
+  UNION ALL SELECT c, 0, '', 0, c NOT IN (SELECT c FROM turns) FROM h),
+node AS (
+  SELECT key, pos AS depth, min(c) AS conv, count(*) AS n, min(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends FROM members GROUP BY key, pos),
+kids AS (SELECT left(key, length(key) - 32) AS key, count(*) AS kids FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (key)),
+below AS (SELECT a.key, count(*) FILTER (WHERE b.kids = 0) AS leaves, sum((b.n - 1) * b.chars) AS saved FROM full_node a JOIN full_node b ON starts_with(b.key, a.key) GROUP BY a.key)
+SELECT f.conv AS conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv AS parent_conv_id, f.n AS n_convs, CAST(f.kids AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN below USING (key) LEFT JOIN full_node p ON f.depth > 0 AND p.key = left(f.key, length(f.key) - 32)""")
 def op11(spark, sf_dir):
     return conv_trie.prefix_trie(table(spark, sf_dir, "conversations"), conv_trie.rebuilt)
 
