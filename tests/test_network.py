@@ -161,3 +161,35 @@ def test_batches_are_exact(spark, n, size):
     repeated = df.select(F.lit(3).alias("row_id"))
     sizes = sorted(r["count"] for r in epoch_batches(repeated, "row_id", size).groupBy("batch").count().collect())
     assert sum(sizes) == n and sizes[1:] == [size] * len(sizes[1:])
+
+
+def test_passes_are_dealt_to_all_cores_and_taken_in_blocks(spark, monkeypatch):
+    df, rows = made(spark)
+    parts, plain = [], net.total
+    monkeypatch.setattr(net, "total", lambda batch, step: parts.append(batch.rdd.getNumPartitions()) or plain(batch, step))
+    s = Schedule(**{**SMALL.__dict__, "epochs": 1})
+    w, _ = net.fit_network(df.coalesce(1), ["a", "b", "c", "d"], "y", run_path(spark, "net"), schedule=s)
+    assert min(parts) >= spark.sparkContext.defaultParallelism > 1  # one file, yet a share for every core
+    again, _ = net.fit_network(df.orderBy("y").coalesce(1), ["a", "b", "c", "d"], "y", run_path(spark, "net"), schedule=s)
+    assert all((w[k] == again[k]).all() for k in w)  # added in the same order, whatever the order of the table
+
+    rng = np.random.default_rng(3)
+    x, y, ids = rng.normal(size=(1000, 4)), rng.normal(size=1000), np.arange(1000)
+    step = net.Step(net.initial_weights(4, s.hidden), len(s.hidden), s.dropout, 5)
+    sizes, blocks = [], net.Step._sums
+    monkeypatch.setattr(net.Step, "_sums", lambda self, x, y, ids: sizes.append(len(x)) or blocks(self, x, y, ids))
+    np.testing.assert_allclose(step.sums(x, y, ids), blocks(step, x, y, ids), rtol=1e-12)
+    assert max(sizes) <= net.BLOCK_ROWS and sum(sizes) == 1000
+
+
+def test_dropout_draws_the_upper_bits_as_a_fraction():
+    ids, m = np.array([0, 1, 7, -3, 1 << 62]), (1 << 64) - 1
+    for share in (0.0, 0.1, 0.25, 1 / 3):
+        got = net.keep_mask(ids, 5, share, 77)
+        for a, i in enumerate(ids.tolist()):
+            for b in range(5):
+                z = (i * 0x9E3779B97F4A7C15 + 77 + (b + 1) * 0xD1B54A32D192ED03) & m
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    z = (z ^ z >> shift) * factor & m
+                z ^= z >> 31
+                assert got[a, b] == ((z >> 11) * 2.0 ** -53 >= share) / (1 - share)
