@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.functions.columns import close_vocab
-from strata.operators.impute import TierLookup, apply_lookups, ladder_lookups
+from strata.operators.impute import TierLookup, apply_lookups, freeze_plan
 from strata.operators.quality import Check, failed
 from strata.operators.relational import align
 from strata.operators.target import TargetEncoding, target_encode_apply
@@ -38,13 +38,7 @@ def fit_serve_model(reference: DataFrame, train_raw: DataFrame, plan=None) -> Se
     """Freeze the serving ladders on ``reference`` (columns in dependency
     order: a later ladder is fitted on the earlier ladders' output) and fit
     the target encoding on the training split of ``train_raw``."""
-    plan = plan or ladders.serving_plan()
-    ref = ladders.with_helpers(reference)
-    frozen = []
-    for col, tiers in plan:
-        lk = ladder_lookups(ref, col, tiers)
-        frozen.append((col, lk))
-        ref = apply_lookups(ref, col, lk)
+    frozen = freeze_plan(ladders.with_helpers(reference), plan or ladders.serving_plan())
     return ServeModel(frozen, P.train_encoding_from_raw(train_raw))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF001
+from strata.operators import impute as imp
 from strata.operators import model as mdl
 from strata.operators import quality as qa
 from strata.operators.impute import Tier
@@ -51,6 +52,47 @@ def test_serving_from_a_loaded_model(spark):
     pd.testing.assert_frame_equal(by_row(loaded.transform(few)), by_row(loaded.transform(test).where("row_id % 7 = 3")))
 
 
+def test_ladders_are_frozen_from_one_scan(spark, monkeypatch):
+    test = ladders.with_helpers(readings(spark, SF001).drop("demand"))
+    plan = ladders.serving_plan()
+    with monkeypatch.context() as m:
+        m.setattr(imp, "one_scan", lambda plan: False)  # a scan per ladder
+        want = imp.freeze_plan(test, plan)
+    monkeypatch.setattr(imp, "_bin_table", None)  # not called: the bins of all ladders come from one scan
+    got = imp.freeze_plan(test, plan)
+    assert [c for c, _ in got] == [c for c, _ in want]
+    for (_, a), (_, b) in zip(got, want):
+        assert [(k.tier, k.value, k.n_bytes) for k in a] == [(k.tier, k.value, k.n_bytes) for k in b]
+        for x, y in zip(a, b):
+            assert (x.table is None) == (y.table is None)
+            if x.table is not None:
+                assert x.table.schema == y.table.schema and x.table.exceptAll(y.table).isEmpty() and y.table.exceptAll(x.table).isEmpty()
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark):
+    """The JVM only interprets methods of more than 8,000 bytes."""
+    r = readings(spark, SF001)
+    test = r.drop("demand")
+    frames = [fitted.fit_serving(test, r).transform(test), P.serve_features(test, r), P.train_features(r)[0], P.alt_features(test, r)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan is generated only while it runs
+    try:
+        for df in frames:
+            codes = df.select("*")._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_features_used_twice_in_a_plan(spark):
+    r = readings(spark, SF001)
+    one = P.serve_features(r.drop("demand"), r)
+    n = one.count()
+    assert one.unionAll(one).count() == 2 * n
+    assert one.join(one.select("row_id", F.col("latitude").alias("lat")), "row_id").count() == n
+
+
 def test_scaler_and_network_come_back(spark):
     train = spark.createDataFrame([(k, float(k % 7), float(k % 3), float(k % 7) * 2 - k % 3, k % 4 == 0) for k in range(80)], "row_id long, a double, b double, demand double, is_val boolean")
     scaler = fitted.Standardizer(["a"]).fit(train)
