@@ -193,3 +193,46 @@ def test_dropout_draws_the_upper_bits_as_a_fraction():
                     z = (z ^ z >> shift) * factor & m
                 z ^= z >> 31
                 assert got[a, b] == ((z >> 11) * 2.0 ** -53 >= share) / (1 - share)
+
+
+@pytest.mark.parametrize("hidden", [(), (5,), (7, 5), (9, 8, 7), (9, 8, 7, 6), (6, 5, 4, 3, 2)])
+def test_few_passes_bring_the_gradients_of_the_whole_batch(hidden):
+    rng, n = np.random.default_rng(len(hidden)), 700
+    x, y, ids = rng.normal(size=(n, 4)) + [0, 1, -2, 3], rng.normal(size=n), rng.integers(-1 << 40, 1 << 40, n)
+    s = Schedule(hidden=hidden, dropout=(0.3, 0.0, 0.2, 0.1, 0.25)[:len(hidden)])
+    w = {k: v if v.ndim == 2 else rng.normal(size=v.shape) for k, v in net.initial_weights(4, hidden).items()}
+    for i in range(len(hidden)):
+        w[f"network.{4 * i + 1}.weight"][0] = 0  # a unit whose scale is 0
+    passes = []
+
+    def sum_up(step):
+        passes.append(step)
+        return np.sum([step.sums(x[at], y[at], ids[at]) for at in np.array_split(np.arange(n), 3)], axis=0)
+
+    got, moments, rows, loss = net.gradients(sum_up, w, hidden, s.dropout, 99, 4)
+    want, want_moments, want_loss = autodiff_free_step(w, x, y, ids, s, 99)
+    assert got.keys() == want.keys() and rows == n and math.isclose(loss, want_loss, rel_tol=1e-12)
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-9, atol=1e-12, err_msg=k)
+    for a, b in zip(moments, want_moments, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+    assert len(passes) == len(hidden) + len(hidden) // 2 + 1  # 2 per layer and 1 if each waits for the sums of one layer
+
+
+def test_full_batches_sum_the_products_once_and_read_packed_rows(spark, monkeypatch):
+    df, _ = made(spark)
+    passes, plain = [], net.total
+    monkeypatch.setattr(net, "total", lambda batch, step: passes.append(batch.schema["x"].dataType.simpleString()) or plain(batch, step))
+    net.fit_network(df, ["a", "b", "c", "d"], "y", run_path(spark, "net"), schedule=SMALL)
+    assert passes == ["binary"] * (1 + SMALL.epochs * 3)
+
+    monkeypatch.setattr(net, "PACK_BYTES", 3 * 8 * 6)
+    monkeypatch.setattr(net, "PART", 2)
+    rows = df.select(F.col("row_id").alias("id"), F.array("a", "b", "c", "d").alias("x"), "y", "is_val").coalesce(1).sortWithinPartitions("row_id")
+    packs = net.packed(rows, 4)
+    for flag in (False, True):
+        some = packs.where(F.col("is_val") == flag).drop("is_val").toArrow()
+        assert max(len(i) for i in some["id"].to_pylist()) == 3 * 8  # three rows a pack
+        x, y, ids = (np.concatenate(v) for v in zip(*(p for b in some.to_batches() for p in net._arrays(b))))
+        want = rows.where(F.col("is_val") == flag).collect()
+        assert ids.tolist() == [r.id for r in want] and y.tolist() == [r.y for r in want] and x.tolist() == [r.x for r in want]
